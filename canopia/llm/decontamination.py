@@ -39,8 +39,12 @@ def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], small: bool)
         at = docs.where(F.size("_words") >= n).select("_id", "_hash", "_words", F.posexplode("_words").alias("_at", "_first"))
         at = at.where(F.col("_at") <= F.size("_words") - n).withColumn("_hashed", _gram_hash(F.col("_words"), F.col("_at"), n))
         same = F.col("_hashed") == F.col("_key")
-        for k in range(n):  # verified word by word: equal hashes are not trusted
-            same = same & (F.get("_words", F.col("_at") + k) == F.get("_gram", F.lit(k)))
+        if small:
+            for k in range(n):  # verified word by word: equal hashes are not trusted
+                same = same & (F.get("_words", F.col("_at") + k) == F.get("_gram", F.lit(k)))
+        else:  # a shuffled row carries its own n words only
+            at = at.select("_id", "_hash", "_at", "_hashed", F.slice("_words", F.col("_at") + 1, n).alias("_own"))
+            same = same & (F.col("_own") == F.col("_gram"))
         found = at.join(known, same).select("_id", "_hash", "_at", F.lit(n).alias("_len"), "_items")
         out = found if out is None else out.unionByName(found)
     return out
