@@ -1,79 +1,34 @@
-"""Token ids by a public byte-level vocabulary, with the pieces between spaces encoded once."""
+"""Token ids of whole texts by a public byte-level vocabulary."""
 
 from __future__ import annotations
 
-import os
-import re
-import struct
-from functools import lru_cache
+import base64
 
-#: The white space of the vocabulary's splitting pattern.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: No token crosses the borders of these pieces: the splitting pattern takes at most one space before other characters.
-PIECE = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-REMEMBERED = 400_000
-LONGEST_REMEMBERED = 64
+import numpy as np
 
-
-def public_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+#: The vocabulary file; the ids are those of the file byte_bpe_50k.json, which tests compare.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 class Encoder:
-    """Encodes whole texts to little-endian 32-bit ids; remembers a bounded number of short pieces."""
-
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
-        self._at: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str], offsets: bool) -> dict[str, tuple[bytes, bytes]]:
-        """Encode what is not known yet; returns pieces too long to be remembered."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self._known or (offsets and p not in self._at)]
-        if not new:
-            return {}
-        if len(self._known) + len(new) > REMEMBERED:
-            self._known.clear()
-            self._at.clear()
-            new = list(dict.fromkeys(pieces))
-        once = {}
-        encode = self._tokenizer.encode_batch if offsets else self._tokenizer.encode_batch_fast
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, encode(part, add_special_tokens=False), strict=True):
-                ids = struct.pack(f"<{len(e.ids)}I", *e.ids)
-                at = struct.pack(f"<{len(e.ids)}I", *(o[0] for o in e.offsets)) if offsets else b""
-                if len(p) <= LONGEST_REMEMBERED:
-                    self._known[p] = ids
-                    if offsets:
-                        self._at[p] = at
-                else:
-                    once[p] = ids, at
-        return once
-
-    def ids(self, text: str) -> bytes:
-        pieces = PIECE.findall(text)
-        try:
-            return b"".join(map(self._known.__getitem__, pieces))
-        except KeyError:
-            pass
-        once, known = self._learn(pieces, False), self._known
-        return b"".join([known[p] if p in known else once[p][0] for p in pieces])
-
-    def starts(self, text: str) -> tuple[list[str], list[bytes]]:
-        """Pieces of the text and, for each, the character offsets in it at which its tokens start."""
-        pieces = PIECE.findall(text)
-        once, at = self._learn(pieces, True), self._at
-        return pieces, [at[p] if p in at else once[p][1] for p in pieces]
-
-
-@lru_cache(1)
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker."""
-    return Encoder(path)
+    """Encodes texts to ids. ``path`` names a vocabulary file of ranks; unset, the public package's own."""
+
+    def __init__(self, path: str | None = None) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self._encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self._bytes[rank] = len(token)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """Unsigned 32-bit ids of the whole text; the strings of special tokens are ordinary text; null is empty."""
+        return np.array(self._encoding.encode_ordinary(text or ""), "<u4")
+
+    def byte_starts(self, ids: np.ndarray) -> np.ndarray:
+        """The byte of the text at which each token starts."""
+        ends = np.cumsum(self._bytes[ids])
+        return ends - self._bytes[ids]
