@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from canopia.llm.decontamination import contamination
 from canopia.llm.embedding_dedup import embedding_groups
+from canopia.llm.line_dedup import dedup_lines
 from canopia.llm.packing import pack
 from canopia.llm.quality import score_quality
 from canopia.llm.sharding import SHARDS, SLOTS, assign_shards
@@ -34,6 +35,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without passages that stand earlier, and what was deleted."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_spans", "n_removed")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document."""
     return section_tokens(table(spark, sf_dir, "documents"))
@@ -63,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_decontamination, op2_simhash_dedup, op4_token_counts, op5_sharding, op8_best_fit_packing, op9_quality_classifier,
+            op1_decontamination, op2_simhash_dedup, op3_line_dedup, op4_token_counts, op5_sharding, op8_best_fit_packing, op9_quality_classifier,
             op10_embedding_dedup,
         )
     }

@@ -155,5 +155,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Rows of ``docs`` whose id is the smallest of its group; all columns stay. Of repeated rows with that id one stays; rows with null ids stay."""
     groups = simhash_groups(docs, id_col, text_col, ngram)
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    single = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return single.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    # Both steps share one shuffle by id.
+    single = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    return single.unionByName(docs.where(F.col(id_col).isNull()))
