@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from canopia.llm.decontamination import contamination
 from canopia.llm.embedding_dedup import embedding_groups
+from canopia.llm.html_extraction import extract_text
 from canopia.llm.language_model import score_texts
 from canopia.llm.line_dedup import dedup_lines
 from canopia.llm.packing import pack
@@ -51,6 +52,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), ["doc_id"], SHARDS, SLOTS).select("doc_id", "slot", "shard")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of each document by a unigram base and by the Pitman-Yor model."""
     return score_texts(table(spark, sf_dir, "documents"))
@@ -75,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_decontamination, op2_simhash_dedup, op3_line_dedup, op4_token_counts, op5_sharding, op7_lm_scoring, op8_best_fit_packing, op9_quality_classifier,
+            op1_decontamination, op2_simhash_dedup, op3_line_dedup, op4_token_counts, op5_sharding, op6_html_extraction, op7_lm_scoring, op8_best_fit_packing, op9_quality_classifier,
             op10_embedding_dedup,
         )
     }
