@@ -20,7 +20,7 @@ cylinder AS (SELECT c.tree_id, c.branch, c.branch_order, c.position, c.cyl, CASE
     "reading": """reading AS (SELECT CASE event_type WHEN 'view' THEN 'A' ELSE 'B' END AS kind, CAST(ts AS DATE) AS day, event_id AS seq, epoch_us(ts) AS micros, CAST(value AS DOUBLE) AS value
   FROM events WHERE event_type IN ('view', 'click'))""",
     "run": """run AS (SELECT 'ModelData_plot_winter_' || CAST(o_custkey AS VARCHAR) || '-0.08-0.09-5-0.04-0.045-3-5-1-' || CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS VARCHAR) || '.mat' AS file,
-  o_totalprice AS volume, (o_orderkey % 300) / 10.0 AS height, (o_orderkey % 77) / 100.0 AS dbh FROM orders)""",
+  o_totalprice / 997.0 AS volume, (o_orderkey % 300) / 9.7 AS height, (o_orderkey % 77) / 97.0 AS dbh FROM orders)""",
     "pixel": """pixel AS (SELECT vec_id AS image, CAST(label AS BIGINT) AS band, CAST(floor(k / 8.0) AS BIGINT) AS "row", k % 8 AS col, CAST(embedding[k + 1] AS DOUBLE) AS value
   FROM (SELECT vec_id, label, embedding, unnest(range(0, 64)) AS k FROM embeddings WHERE label IS NOT NULL))""",
 }

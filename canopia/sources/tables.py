@@ -73,7 +73,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     name = F.concat(F.lit("ModelData_plot_winter_"), F.col("o_custkey").cast("string"), F.lit("-0.08-0.09-5-0.04-0.045-3-5-1-"), rank.cast("string"), F.lit(".mat"))
     return read(spark, sf_dir, "orders").select(
-        name.alias("file"), F.col("o_totalprice").alias("volume"), (F.pmod("o_orderkey", F.lit(300)) / 10).alias("height"), (F.pmod("o_orderkey", F.lit(77)) / 100).alias("dbh")
+        name.alias("file"), (F.col("o_totalprice") / 997.0).alias("volume"), (F.pmod("o_orderkey", F.lit(300)) / 9.7).alias("height"), (F.pmod("o_orderkey", F.lit(77)) / 97.0).alias("dbh")
     )
 
 
