@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of text that are split together; longer texts make longer pieces, one text each.
-PIECE = 4_000_000
+PIECE = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
