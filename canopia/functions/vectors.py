@@ -35,8 +35,9 @@ def scaled(a: Vector, k: Column) -> Vector:
 
 
 def angle_deg(a: Vector, b: Vector) -> Column:
-    """Angle between unit vectors in degrees; the cosine is clamped, so rounding never leaves its domain."""
-    return F.degrees(F.acos(F.least(F.greatest(dot(a, b), F.lit(-1.0)), F.lit(1.0))))
+    """Angle between unit vectors in degrees, null if one is; the cosine is clamped, so rounding never leaves its domain."""
+    c = dot(a, b)
+    return F.when(c.isNotNull(), F.degrees(F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))))
 
 
 def axis_distance(q: Vector, start: Vector, axis: Vector) -> tuple[Column, Column]:

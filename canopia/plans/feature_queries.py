@@ -14,7 +14,7 @@ ORACLE: dict = {}
 
 BRANCHES = f""", bt AS (SELECT tree_id, branch, branch_order, min(cyl) AS first_cylinder, sum({V}) AS volume, sum(length) AS length FROM cylinder GROUP BY ALL),
 br AS (SELECT b.tree_id, b.branch, b.branch_order, b.volume, b.length, p.branch AS parent_branch, f.radius, p.radius AS parent_radius, f.sz - min(f.sz) OVER (PARTITION BY b.tree_id) AS height,
-  degrees(acos(least(greatest(f.ax * p.ax + f.ay * p.ay + f.az * p.az, -1.0), 1.0))) AS angle
+  CASE WHEN p.ax IS NOT NULL THEN degrees(acos(least(greatest(f.ax * p.ax + f.ay * p.ay + f.az * p.az, -1.0), 1.0))) END AS angle
 FROM bt b JOIN cylinder f ON f.tree_id = b.tree_id AND f.cyl = b.first_cylinder LEFT JOIN cylinder p ON p.tree_id = f.tree_id AND p.cyl = f.parent)"""
 
 

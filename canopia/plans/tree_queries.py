@@ -104,7 +104,7 @@ def agg8_taper(spark, sf_dir):
 
 @query(f""", b AS (SELECT tree_id, branch, branch_order, sum({V}) AS volume, sum({A}) AS area, sum(length) AS length, min(cyl) AS first_cylinder FROM cylinder GROUP BY ALL)
 SELECT b.tree_id, b.branch, CAST(b.branch_order AS BIGINT) AS branch_order, p.branch AS parent_branch, round(2 * f.radius, 4) + 0.0 AS diameter, round(b.volume, 4) + 0.0 AS volume, round(b.area, 4) + 0.0 AS area,
-  round(b.length, 4) + 0.0 AS length, round(degrees(acos(least(greatest(f.ax * p.ax + f.ay * p.ay + f.az * p.az, -1.0), 1.0))), 3) + 0.0 AS angle, round(f.sz - min(f.sz) OVER (PARTITION BY b.tree_id), 4) + 0.0 AS height,
+  round(b.length, 4) + 0.0 AS length, round(CASE WHEN p.ax IS NOT NULL THEN degrees(acos(least(greatest(f.ax * p.ax + f.ay * p.ay + f.az * p.az, -1.0), 1.0))) END, 3) + 0.0 AS angle, round(f.sz - min(f.sz) OVER (PARTITION BY b.tree_id), 4) + 0.0 AS height,
   round(degrees(atan2(f.ay, f.ax)), 4) + 0.0 AS azimuth, round(degrees(acos(least(greatest(f.az, -1.0), 1.0))), 4) + 0.0 AS zenith, b.first_cylinder
 FROM b JOIN cylinder f ON f.tree_id = b.tree_id AND f.cyl = b.first_cylinder LEFT JOIN cylinder p ON p.tree_id = f.tree_id AND p.cyl = f.parent""", "cylinder")
 def agg9_branch_table(spark, sf_dir):
