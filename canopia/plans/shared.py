@@ -39,6 +39,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most ``rows`` rows to a Python worker at once in this session: texts are long, and a batch is held whole on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
