@@ -10,23 +10,24 @@ from canopia.plans.shared import discard, materialize
 
 
 def depths(nodes: DataFrame, key: list[str], parent: str = "parent", max_rounds: int = 40) -> DataFrame:
-    """``key`` and ``depth``: steps from the root (no parent), by doubling jumps: as many rounds as the depth has binary digits.
+    """``key``, ``depth`` (steps from the root, which has no parent) and ``root``, by doubling jumps: as many rounds as the depth has binary digits.
 
-    ``key`` is the group and the node, like ``["tree_id", "branch"]``. Nodes under a missing parent or in a circle have no depth.
+    ``key`` is the group and the node, like ``["tree_id", "branch"]``. Nodes under a missing parent or in a circle have neither.
     """
     group, node = key[:-1], key[-1]
-    state = materialize(nodes.select(*key, F.col(parent).alias("_up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth")), "depths")
+    state = materialize(nodes.select(*key, F.col(parent).alias("_up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce(parent, node).alias("root")), "depths")
     for _ in range(max_rounds):
         if state.where(F.col("_up").isNotNull()).isEmpty():
             break
-        above = state.select(*group, F.col(node).alias("_up"), F.col("_up").alias("_up2"), F.col("depth").alias("_more"), F.lit(True).alias("_found"))
+        above = state.select(*group, F.col(node).alias("_up"), F.col("_up").alias("_up2"), F.col("depth").alias("_more"), F.col("root").alias("_root"), F.lit(True).alias("_found"))
         after = state.join(above, [*group, "_up"], "left").select(
-            *key, F.col("_up2").alias("_up"), F.when(F.col("_up").isNull(), F.col("depth")).when(F.col("_found"), F.col("depth") + F.col("_more")).alias("depth")
+            *key, F.col("_up2").alias("_up"), F.when(F.col("_up").isNull(), F.col("depth")).when(F.col("_found"), F.col("depth") + F.col("_more")).alias("depth"), F.coalesce("_root", "root").alias("root")
         )
         after = materialize(after, "depths")
         discard(state)
         state = after
-    return state.select(*key, F.when(F.col("_up").isNull(), F.col("depth")).alias("depth"))
+    known = F.col("_up").isNull() & F.col("depth").isNotNull()
+    return state.select(*key, F.when(known, F.col("depth")).alias("depth"), F.when(known, F.col("root")).alias("root"))
 
 
 def ancestors(nodes: DataFrame, key: list[str], parent: str = "parent", max_depth: int = 64) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canopia.operators import graph, mesh, spatial, tree
+from canopia.operators import graph, mesh, segmentation, spatial, tree
 from canopia.plans.oracle import with_tables
 from canopia.plans.tree_queries import V, rounded
 from canopia.sources import tables
@@ -91,7 +91,7 @@ def gra1_components(spark, sf_dir):
 
 @query(", d AS (SELECT tree_id, branch, 0 AS depth FROM branch WHERE parent IS NULL UNION ALL SELECT b.tree_id, b.branch, d.depth + 1 FROM branch b JOIN d ON d.tree_id = b.tree_id AND d.branch = b.parent) SELECT tree_id, branch, CAST(depth AS BIGINT) AS depth FROM d", "branch", recursive=True)
 def gra3_branch_order(spark, sf_dir):
-    return rounded(graph.depths(tables.branches(spark, sf_dir), ["tree_id", "branch"]))
+    return rounded(graph.depths(tables.branches(spark, sf_dir), ["tree_id", "branch"]).drop("root"))
 
 
 @query(f""", v AS (SELECT branch, sum({V}) AS volume FROM cylinder GROUP BY branch), n AS (SELECT b.tree_id, b.branch, b.parent, coalesce(v.volume, 0) AS volume FROM branch b LEFT JOIN v USING (branch)),
@@ -162,3 +162,20 @@ def lea1_leaf_density(spark, sf_dir):
     h = (F.col("sz") - F.min("sz").over(t)) / F.nullif(F.max("sz").over(t) - F.min("sz").over(t), F.lit(0.0))
     blocks = tables.cylinders(spark, sf_dir).select("tree_id", "cyl", "branch_order", (F.col("position") / last).alias("position"), F.coalesce(h, F.lit(0.0)).alias("height"))
     return rounded(mesh.leaf_density(blocks).select("tree_id", "cyl", "density"), 6)
+
+
+@query()
+def gra2_segments(spark, sf_dir):
+    """Tested on a synthetic tree."""
+    p = tables.points(spark, sf_dir)
+    members = spatial.cover(p, 0.08, 0.1, 1)[1]
+    return segmentation.segments(p, members, spatial.cover_neighbours(p, members, 0.1), base_band=0.1).select("tree_id", "centre", "layer", "segment", "parent_segment")
+
+
+@query()
+def fit5_cylinders(spark, sf_dir):
+    """Tested on a synthetic tree."""
+    p = tables.points(spark, sf_dir)
+    members = spatial.cover(p, 0.08, 0.1, 1)[1]
+    s = segmentation.segments(p, members, spatial.cover_neighbours(p, members, 0.1), base_band=0.1)
+    return rounded(segmentation.cylinders(p, members, s, layers=3))
