@@ -125,15 +125,17 @@ def attributes(cylinders: DataFrame, orders: int = 6) -> DataFrame:
     return joined.fillna(0)
 
 
-def height_bins(cylinders: DataFrame, step: float = 1.0) -> DataFrame:
+def height_bins(cylinders: DataFrame, step: float = 1.0, longest: int | None = None) -> DataFrame:
     """Per tree and height bin above the lowest end: volume, area and length, shared out by how far each cylinder reaches into each bin.
 
-    A level cylinder counts for the bin that it is in.
+    A level cylinder counts for the bin that it is in. With ``longest``, cylinders over more bins than that are left out.
     """
     tip = F.col("sz") + F.col("length") * F.col("az")
     c = cylinders.withColumn("_lo", F.least("sz", tip)).withColumn("_hi", F.greatest("sz", tip))
     ground = F.min("_lo").over(Window.partitionBy("tree_id"))
     c = c.withColumn("_a", (F.col("_lo") - ground) / step).withColumn("_b", (F.col("_hi") - ground) / step)
+    if longest is not None:
+        c = c.where(F.floor("_b") - F.floor("_a") < longest)
     c = c.withColumn("bin", F.explode(F.sequence(F.floor("_a"), F.floor("_b"))))
     inside = F.least("_b", F.col("bin") + 1) - F.greatest("_a", F.col("bin"))
     share = F.when(F.col("_b") > F.col("_a"), inside / (F.col("_b") - F.col("_a"))).otherwise(1.0)

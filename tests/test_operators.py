@@ -110,3 +110,33 @@ def test_depths_and_subtrees(spark):
     assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 2, (1, 4): 2, (2, 1): 0, (1, 9): None}
     sums = {(r.tree_id, r.branch): (r.n_below, r.v_sum) for r in graph.subtree_sums(n.where("tree_id = 1 AND branch < 9"), ["tree_id", "branch"], "v").collect()}
     assert sums == {(1, 1): (3, 15), (1, 2): (2, 14), (1, 3): (0, 4), (1, 4): (0, 8)}
+
+
+def test_hull_of_outer_cells_is_the_whole_hull(spark):
+    import numpy as np
+
+    from canopia.operators import crown
+
+    r = np.random.default_rng(2)
+    p = r.normal(size=(400, 2))
+    df = spark.createDataFrame([(1, k, float(x), float(y), 0.0) for k, (x, y) in enumerate(p)], "tree_id long, pid long, x double, y double, z double")
+    got = crown.hulls(df, 0.3).first()
+    assert (got.area, got.xc, got.yc) == pytest.approx(crown.hull(p))
+    assert crown.hull(np.array([[0.0, 0], [2, 0], [2, 2], [0, 2], [1, 1]])) == pytest.approx((4, 1, 1)) and crown.hull(np.zeros((3, 2)))[0] == 0
+
+
+def test_height_clusters_are_the_walk(spark):
+    from canopia.operators import features
+
+    r = random.Random(3)
+    heights = {t: [round(r.uniform(0, 4), 3) for _ in range(n)] for t, n in ((1, 12), (2, 1), (3, 30))}
+    rows = [(t, 1, h) for t, hs in heights.items() for h in hs]
+    want = {}
+    for t, hs in heights.items():
+        n, first = 0, -math.inf
+        for h in sorted(hs):
+            if h - first > 0.4:
+                n, first = n + 1, h
+        want[t] = len(hs) / n
+    got = features.height_clusters(spark.createDataFrame(rows, "tree_id long, branch_order int, height double"))
+    assert {x.tree_id: x.value for x in got.collect()} == pytest.approx(want)
