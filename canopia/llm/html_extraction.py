@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopia.llm.labelled_pages import MARK, labelled_pages
+from canopia.plans.shared import bounded_batches
 
 #: Training: so many labelled pages, passes of gradient descent, step and penalty.
 PAGES, PASSES, STEP, PENALTY, SEED = 1000, 200, 0.1, 1e-4, 11
@@ -243,6 +244,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", to: str = "text", len
     have an empty text. Repeated rows come out as often as they came in; an empty table gives an empty one. One narrow pass; the
     fitted weights are some hundred numbers.
     """
+    bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(trained())
 
     @F.pandas_udf("string")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopia.llm.tokenizing import Encoder
-from canopia.plans.shared import materialize
+from canopia.plans.shared import bounded_batches, materialize
 
 CAPACITY, END = 2048, 0
 #: Pieces of one length are numbered in so many independent groups.
@@ -147,6 +147,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     texts are the end id alone; a null id stays null; repeated rows are packed as often as they come; an empty table gives
     an empty one. The driver sees the number of pieces of each length (``capacity`` numbers at most), nothing else.
     """
+    bounded_batches(docs.sparkSession)
     pieces = materialize(cut(docs, id_col, text_col, capacity, path), "pieces")
     lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = docs.sparkSession.sparkContext.broadcast(Slots(plan(lengths, capacity)))

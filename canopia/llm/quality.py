@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopia.llm.words import Words, pieces
+from canopia.plans.shared import bounded_batches
 
 #: At most so many labelled documents are fitted and broadcast (their vectors: SAMPLE x RANK numbers).
 SAMPLE = 4096
@@ -132,6 +133,7 @@ def score_quality(
     Columns of ``docs`` with those names are replaced, all others stay. Texts without words (null, empty, blank) get the share
     of label 1 among the labelled; without any label every score is 0.5. Repeated rows get equal scores.
     """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, sample))
 
     @F.pandas_udf("double")

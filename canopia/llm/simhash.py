@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from canopia.llm.buckets import compare_buckets, runs
 from canopia.operators.components import connected_components
-from canopia.plans.shared import materialize
+from canopia.plans.shared import bounded_batches, materialize
 
 #: Two fingerprints of 8 bytes with at most 3 different bits share at least 5 bytes in place.
 BYTES, MAX_BITS = 8, 3
@@ -43,6 +43,8 @@ def fingerprint(text: str | None, ngram: int = 3, seed: int = 42) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", ngram: int = 3, seed: int = 42, to: str = "fp") -> DataFrame:
     """``docs`` with the fingerprint as a signed long; works in Arrow batches, in place, without a shuffle."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, ngram, seed) for t in texts], np.uint64).view(np.int64))

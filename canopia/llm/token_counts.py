@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopia.llm.tokenizing import Encoder
+from canopia.plans.shared import bounded_batches
 
 
 def attribute(raw: bytes, token_starts: np.ndarray, token_ends: np.ndarray, separator: bytes) -> list[tuple[int, int, int, int]]:
@@ -47,6 +48,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mark = separator.encode()
     if not mark:
         raise ValueError("the separator must not be empty")
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path)
