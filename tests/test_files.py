@@ -85,7 +85,7 @@ def test_clouds_arrive_once_in_a_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
 
 
-@pytest.mark.parametrize("name,want", [("ModelData_wytham_winter_714-0.2-0.22-4-0.04-0.044-3-5-1-0.mat", ("ModelData_wytham_winter_714", 714, "0.2-0.22-4-0.04-0.044-3-5-1", 0)), ("odd", ("odd", None, None, None))])
+@pytest.mark.parametrize("name,want", [("ModelData_plot_winter_714-0.2-0.22-4-0.04-0.044-3-5-1-0.mat", ("ModelData_plot_winter_714", 714, "0.2-0.22-4-0.04-0.044-3-5-1", 0)), ("odd", ("odd", None, None, None))])
 def test_run_names(spark, name, want):
     from canopia.operators.runs import named
 
