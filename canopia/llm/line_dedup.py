@@ -1,4 +1,4 @@
-"""Dedup of repeated runs of lines by winnowing over line hashes, in DataFrame functions only."""
+"""Dedup of repeated runs of words by winnowing over word hashes, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -11,82 +11,63 @@ from canopia.plans.shared import broadcast_if_small, materialize
 
 #: A repeated run counts from so many words on.
 MIN_WORDS = 50
-#: Lines in a fingerprint, and fingerprints in a winnowing window: any run of 2 * LINES - 1 equal lines is found.
-LINES = 3
-#: Characters on either side of a found run in which it is extended word by word, and the lines that they are taken from.
-REACH, AROUND = 250, 16
-#: A line that stands again within so many lines is taken once: it goes round in a circle.
-CIRCLE = 8
-#: Lines whose lengths are added up together.
+#: Words in which a run is extended on either side in the first round; each further round, for runs that are equal that far, takes GROW times as many.
+REACH, GROW = 32, 16
+#: Words whose lengths are added up together.
 BLOCK = 64
-# Texts are broken at their line ends and, so that passages inside longer lines count too, after signs and before words
-# with some initials: such breaks depend on the words beside them alone, so the same passage breaks alike wherever it stands.
-BREAK = r"(?<=[ \n])(?:(?=[p-sP-S])|(?<=\n)|(?<=[.;:!?|] ))"
 WORD_ENDS = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 SPACE = " \t\n\r\x0b\x0c"
 WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), BREAK)
+def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
+    """``(_id, _hash, _at, _fp)``: the selected fingerprints of each text and the words they start at.
 
-
-def _fingerprints(docs: DataFrame) -> DataFrame:
-    """``(_id, _hash, _at, _fp, _most, _least, _around)``: the selected fingerprints of each text and the lines they start at.
-
-    ``_least`` is the most words that a run of this one alone can have if neither neighbouring line is in it, ``_most`` what may come to it else;
-    ``_around`` holds 15 bits of the hashes of those two lines.
+    A fingerprint is a run of k words; the one that starts at the least of w neighbouring hashes of two words is selected (of equal
+    ones the first), where k + w - 1 = ``min_words``. So every run of ``min_words`` words, in any script, has a fingerprint of its own,
+    the same wherever it stands, and those of a longer run are at most w apart: each overlaps the next or touches it.
     """
-    k = LINES
-    lines = _lines(F.col("_text"))
-    # Every word but a text's last has one gap after it, so gaps count words.
-    d = docs.select("_id", "_hash", lines.alias("_l")).select(
-        "_id", "_hash", F.transform("_l", lambda p: F.xxhash64(p)).alias("_h"), F.transform("_l", lambda p: F.regexp_count(p, F.lit(GAP))).alias("_n")
-    )
-    # A text of fewer lines is one fingerprint: hashes pass over what is missing.
-    gram = lambda i: F.xxhash64(*[F.get("_h", i + j) for j in range(k)])
-    d = d.select("_id", "_hash", "_n", "_h", F.transform(F.sequence(F.lit(0), F.greatest(F.size("_h") - k, F.lit(0))), gram).alias("_g"))
-    least = lambda i: F.least(*[F.get("_g", i + j) for j in range(k)])
-    d = d.select("_id", "_hash", "_n", "_h", "_g", F.transform(F.sequence(F.lit(0), F.greatest(F.size("_g") - k, F.lit(0))), least).alias("_m"))
-
-    def print_at(x: Column, i: Column) -> Column:
-        """The fingerprint, if it is the least of a window and none of those just before; else null. Whole texts stay in one row till here."""
-        chosen = reduce(lambda a, b: a | b, [F.coalesce(F.get("_m", i - j) == x, F.lit(False)) for j in range(k)])
-        again = F.array_contains(F.slice("_g", F.greatest(i - CIRCLE, F.lit(0)) + 1, F.least(i, F.lit(CIRCLE))), x)
-        own = lambda js: reduce(lambda a, b: a + b, [F.coalesce(F.get("_n", i + j), F.lit(0)) for j in js])
-        least_ = own(range(-1, k + 1)) + 1
-        most = own([*range(-k, -1), *range(k + 1, 2 * k)])
-        side = lambda j: F.coalesce(F.get("_h", j), F.lit(0)).bitwiseAND(F.lit(0x7FFF))
-        around = (side(i - 1) * 32768 + side(i + k)).cast("int")
-        return F.when(chosen, F.when(~again, F.struct(i.alias("at"), x.alias("fp"), most.alias("most"), least_.alias("least"), around.alias("around"))))
-
-    d = d.select("_id", "_hash", F.explode(F.filter(F.transform("_g", print_at), lambda p: p.isNotNull())).alias("_p"))
-    return d.select("_id", "_hash", F.col("_p.at").alias("_at"), F.col("_p.fp").alias("_fp"), *[F.col(f"_p.{c}").alias(f"_{c}") for c in ("most", "least", "around")])
+    k = min_words // 2 + 1
+    w = min_words - k + 1
+    d = docs.select("_id", "_hash", F.split(F.btrim("_text", F.lit(SPACE)), GAP).alias("_w")).where(F.size("_w") >= min_words)
+    # The hash above, the place below: the least of a window says where it stands. No text has 2^31 words.
+    value = lambda x, i: F.shiftleft(F.xxhash64(x, F.get("_w", i + 1)), 31).bitwiseOR(i.cast("long"))
+    d = d.select("_id", "_hash", "_w", F.transform(F.slice("_w", F.lit(1), F.size("_w") - k + 1), value).alias("_v"))
+    have = 1
+    while have < w:  # the least of ``have`` neighbours, then of more
+        step = min(have, w - have)
+        d = d.select("_id", "_hash", "_w", F.zip_with("_v", F.slice("_v", F.lit(step + 1), F.size("_v")), lambda a, b: F.least(a, b)).alias("_v"))
+        have += step
+    d = d.select("_id", "_hash", "_w", F.array_distinct(F.slice("_v", F.lit(1), F.size("_v") - w + 1)).alias("_v"))
+    at = lambda v: v.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    d = d.select("_id", "_hash", F.inline(F.transform("_v", lambda v: F.struct(at(v).alias("_at"), F.xxhash64(F.slice("_w", at(v) + 1, F.lit(k))).alias("_fp")))))
+    return d
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(_id, _hash, _from, _to, _id0, _hash0, _from0)``: runs of lines that stand earlier, line by line, in text ``_id0``.
+    """``(_id, _hash, _from, _to, _id0, _hash0, _from0)``: runs of words that stand earlier, word by word, in text ``_id0``.
 
-    Texts are in order of their id (nulls first), then of their hash. A run is a chain of repeated fingerprints, each
-    overlapping the one before, at one distance from the first place of each: every line in it is compared by hash.
-    Runs that are too short with all lines that their fingerprints may have missed are left out.
+    Texts are in order of their id (nulls first), then of their hash. A run is a chain of repeated fingerprints, each overlapping or
+    touching the one before, at one distance from where they stand earlier: the place before in the same text if there is one, else the first place of all.
+    So what goes round in a circle is one run at the distance of a round.
     """
-    prints = materialize(_fingerprints(docs), "fingerprints")
+    prints = materialize(_fingerprints(docs, min_words), "fingerprints")
     several = prints.groupBy("_fp").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("_fp")
-    near = materialize(prints.join(several, "_fp", "left_semi"), "repeated")
-    place = F.struct("_id", "_hash", "_at")
-    first = near.groupBy("_fp").agg(F.min(F.struct("_id", "_hash", "_at", "_around")).alias("_first"))
-    differ = F.col("_around").bitwiseXOR(F.col("_first._around"))
-    alone = (F.shiftrightunsigned(differ, 15) != 0) & (differ.bitwiseAND(F.lit(0x7FFF)) != 0)
-    later = near.join(first, "_fp").where(~(place.eqNullSafe(F.struct("_first._id", "_first._hash", "_first._at")))).select(
-        "_id", "_hash", "_at", F.when(alone, F.col("_least")).otherwise(F.col("_least") + F.col("_most")).alias("_most"), F.col("_first._id").alias("_id0"), F.col("_first._hash").alias("_hash0"), (F.col("_at") - F.col("_first._at")).alias("_shift")
+    near = materialize(prints.join(several, "_fp", "left_semi").distinct(), "repeated")  # rows that repeat id and text are one
+    first = near.groupBy("_fp").agg(F.min(F.struct("_id", "_hash", "_at")).alias("_first"))
+    within = Window.partitionBy("_fp", "_id", "_hash").orderBy("_at")
+    linked = near.withColumn("_at_before", F.lag("_at").over(within)).join(first, "_fp")
+    own = F.col("_at_before").isNotNull()
+    later = linked.select(
+        "_id", "_hash", "_at", F.when(own, F.col("_id")).otherwise(F.col("_first._id")).alias("_id0"), F.when(own, F.col("_hash")).otherwise(F.col("_first._hash")).alias("_hash0"),
+        (F.col("_at") - F.coalesce("_at_before", F.col("_first._at"))).alias("_shift"),
     ).where(~(F.col("_id").eqNullSafe(F.col("_id0")) & (F.col("_hash") == F.col("_hash0")) & (F.col("_shift") == 0)))
+    k = min_words // 2 + 1
     line = Window.partitionBy("_id", "_hash", "_id0", "_hash0", "_shift").orderBy("_at")
-    gap = F.col("_at") - F.lag("_at").over(line) > LINES
+    gap = F.col("_at") - F.lag("_at").over(line) > k
     return (
         later.withColumn("_run", F.sum(F.coalesce(gap.cast("int"), F.lit(0))).over(line))
-        .groupBy("_id", "_hash", "_id0", "_hash0", "_shift", "_run").agg(F.min("_at").alias("_from"), (F.max("_at") + LINES).alias("_to"), F.sum("_most").alias("_most"))
-        .where(F.col("_most") >= min_words)
+        .groupBy("_id", "_hash", "_id0", "_hash0", "_shift", "_run").agg(F.min("_at").alias("_from"), (F.max("_at") + k).alias("_to"))
         .select("_id", "_hash", "_from", "_to", "_id0", "_hash0", (F.col("_from") - F.col("_shift")).alias("_from0"))
     )
 
@@ -102,72 +83,80 @@ def _same(a: Column, b: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.size(equal)).cast("int")
 
 
-def _pieces(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, WORD_ENDS))
-
-
-def _before(text: Column) -> Column:
-    """The words of what stands before a place with the white space after each, the last first; a word cut off at the front is left out."""
-    return F.reverse(F.when(F.length(text) == REACH, F.slice(_pieces(text), 2, REACH)).otherwise(_pieces(text)))
-
-
-def _after(text: Column) -> Column:
-    """The words of what stands after a place with the white space after each; a word cut off at the end is left out."""
-    return F.when(F.length(text) == REACH, F.slice(_pieces(text), 1, F.greatest(F.size(_pieces(text)) - 1, F.lit(0)))).otherwise(_pieces(text))
-
-
-def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(_i, _h, _pos, _offset, _count, _text)``: for places between lines (twice the line's number) the characters and words before,
-    and the text before; for those numbered by one more the text after.
+def _places(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
+    """``(_i, _h, _pos, _offset, _near)``: for places between words (twice the word's number) the characters before, and the ``reach``
+    words before with the white space after each, the last first; for those numbered by one more the words after.
 
-    Lengths are added up by blocks of lines, so a place in a long text costs no more than one in a short text.
+    Lengths are added up by blocks of words, so a place in a long text costs no more than one in a short text.
     """
-    per_doc = materialize(wanted.groupBy("_i", "_h").agg(F.collect_set("_pos").alias("_all")), "places_wanted")  # at most two for each line
+    per_doc = materialize(wanted.groupBy("_i", "_h").agg(F.collect_set("_pos").alias("_all")), "places_wanted")  # at most two for each word
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
 
-    def up_to(numbers: str, sums: str, pos: Column) -> Column:
+    def up_to(pos: Column) -> Column:
         whole = F.floor(pos / BLOCK).cast("int")
-        return F.get(sums, whole) + total(F.slice(numbers, whole * BLOCK + 1, pos - whole * BLOCK))
-
-    def sums(numbers: str) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / BLOCK).cast("int")), lambda b: total(F.slice(numbers, b * BLOCK + 1, BLOCK)))
-        return F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / BLOCK).cast("int")), lambda b: total(F.slice(blocks, 1, b)))
+        return F.get("_len_sums", whole) + total(F.slice("_len", whole * BLOCK + 1, pos - whole * BLOCK))
 
     def place(two: Column) -> Column:
         p = F.floor(two / 2).cast("int")
-        before = F.right(F.array_join(F.slice("_l", F.greatest(p - AROUND, F.lit(0)) + 1, F.least(p, F.lit(AROUND))), ""), F.lit(REACH))
-        after = F.left(F.array_join(F.slice("_l", p + 1, AROUND), ""), F.lit(REACH))
-        text = F.when(two % 2 == 0, before).otherwise(after)
-        return F.struct(two.alias("_pos"), up_to("_len", "_len_sums", p).alias("_offset"), up_to("_n", "_n_sums", p).alias("_count"), text.alias("_text"))
-
-    d = docs.join(broadcast_if_small(per_doc), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_i", "_h", "_all", _lines(F.col("_text")).alias("_l"))
-    d = d.select("*", F.transform("_l", F.length).alias("_len"), F.transform("_l", _words).alias("_n"))
-    d = d.select("*", sums("_len").alias("_len_sums"), sums("_n").alias("_n_sums"))
+        before = F.reverse(F.slice("_l", F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach))))
+        return F.struct(two.alias("_pos"), (F.col("_blank") + up_to(p)).alias("_offset"), F.when(two % 2 == 0, before).otherwise(F.slice("_l", p + 1, F.lit(reach))).alias("_near"))
+
+    d = docs.join(broadcast_if_small(per_doc), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_i", "_h", "_all", "_text", F.ltrim("_text", F.lit(SPACE)).alias("_cut"))
+    d = d.select("_i", "_h", "_all", (F.length("_text") - F.length("_cut")).alias("_blank"), F.split("_cut", WORD_ENDS).alias("_l"))
+    d = d.select("*", F.transform("_l", F.length).alias("_len"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("_len") / BLOCK).cast("int")), lambda b: total(F.slice("_len", b * BLOCK + 1, BLOCK)))
+    d = d.select("*", blocks.alias("_blocks"))
+    # Running sums of the blocks: those of whole groups of BLOCK blocks first, so very long texts cost no square.
+    groups = F.transform(F.sequence(F.lit(0), F.floor(F.size("_blocks") / BLOCK).cast("int")), lambda g: total(F.slice("_blocks", g * BLOCK + 1, BLOCK)))
+    d = d.select("*", groups.alias("_groups"))
+    whole = lambda b: F.floor(b / BLOCK).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), F.size("_blocks")), lambda b: total(F.slice("_groups", F.lit(1), whole(b))) + total(F.slice("_blocks", whole(b) * BLOCK + 1, b - whole(b) * BLOCK)))
+    d = d.select("*", sums.alias("_len_sums"))
     places = materialize(d.select("_i", "_h", F.inline(F.transform("_all", place))), "places")
     if places.count() == (per_doc.agg(F.sum(F.size("_all"))).first()[0] or 0):
         return places
     return places.dropDuplicates(["_i", "_h", "_pos"])  # rows that repeat id and text have given the same places
 
 
-def _spans(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(__id, __hash, __spans)``: the characters to delete from each text, as sorted ``(start, end)``."""
-    runs = materialize(repeated_runs(docs, min_words), "runs").withColumn("_to0", F.col("_from0") + F.col("_to") - F.col("_from"))
+def _extended(docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
+    """``runs`` with both ends moved by up to ``reach`` words as far as the words equal those beside the earlier place; ``_start`` and ``_end`` in characters."""
+    runs = runs.withColumn("_to0", F.col("_from0") + F.col("_to") - F.col("_from"))
     ends = [("_id", "_hash", "_from"), ("_id", "_hash", "_to"), ("_id0", "_hash0", "_from0"), ("_id0", "_hash0", "_to0")]
     number = lambda p: F.col(p) * 2 + (0 if "from" in p else 1)
     wanted = [runs.select(F.col(i).alias("_i"), F.col(h).alias("_h"), number(p).alias("_pos")) for i, h, p in ends]
-    places = _places(docs, reduce(DataFrame.unionByName, wanted))
+    places = _places(docs, reduce(DataFrame.unionByName, wanted), reach)
     for i, h, p in ends:
-        kept = ["_offset", "_count", "_text"] if i == "_id" else ["_text"]
-        own = places.select("_i", "_h", "_pos", *[F.col(c).alias(c + p) for c in kept])
+        own = places.select("_i", "_h", "_pos", *[F.col(c).alias(c + p) for c in (["_offset", "_near"] if i == "_id" else ["_near"])])
         runs = runs.join(own, F.col(i).eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_h")) & (number(p) == F.col("_pos"))).drop("_i", "_h", "_pos")
-    runs = runs.select(
-        "_id", "_hash", "_offset_from", "_offset_to", (F.col("_count_to") - F.col("_count_from")).alias("_n"), _before(F.col("_text_from")).alias("_before"), _after(F.col("_text_to")).alias("_after"),
-        _before(F.col("_text_from0")).alias("_before0"), _after(F.col("_text_to0")).alias("_after0"),
-    ).select("*", _same(F.col("_before"), F.col("_before0")).alias("_n_left"), _same(F.col("_after"), F.col("_after0")).alias("_n_right"))
-    size = lambda words, n: F.aggregate(F.slice(words, 1, F.col(n)), F.lit(0), lambda s, w: s + F.length(w))
-    found = runs.where(F.col("_n") + F.col("_n_left") + F.col("_n_right") >= min_words).select(
-        "_id", "_hash", F.struct((F.col("_offset_from") - size("_before", "_n_left")).alias("start"), (F.col("_offset_to") + size("_after", "_n_right")).alias("end")).alias("_span")
+    runs = runs.select("*", _same(F.col("_near_from"), F.col("_near_from0")).alias("_left"), _same(F.col("_near_to"), F.col("_near_to0")).alias("_right"))
+    size = lambda words, n: F.aggregate(F.slice(words, F.lit(1), F.col(n)), F.lit(0), lambda s, x: s + F.length(x))
+    return runs.select(
+        "_id", "_hash", (F.col("_from") - F.col("_left")).alias("_from"), (F.col("_to") + F.col("_right")).alias("_to"), "_id0", "_hash0", (F.col("_from0") - F.col("_left")).alias("_from0"),
+        (F.col("_offset_from") - size("_near_from", "_left")).alias("_start"), (F.col("_offset_to") + size("_near_to", "_right")).alias("_end"),
+        ((F.col("_left") == reach) | (F.col("_right") == reach)).alias("_more"),
     )
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """``(_i, _h)``: the texts that an earlier id has as a whole."""
+    texts = materialize(docs.select("_id", "_hash").distinct(), "texts")
+    first = texts.groupBy("_hash").agg(F.min(F.struct("_id")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1").select(F.col("_hash").alias("_h"), "_first")
+    found = texts.join(broadcast_if_small(materialize(first, "first_texts")), F.col("_hash") == F.col("_h")).where(~F.col("_id").eqNullSafe(F.col("_first._id")))
+    return materialize(found.select(F.col("_id").alias("_i"), "_h"), "copies")
+
+
+def _spans(docs: DataFrame, min_words: int) -> DataFrame:
+    """``(__id, __hash, __spans)``: the characters to delete from each text, as sorted ``(start, end)``."""
+    copies = broadcast_if_small(_copies(docs))
+    is_copy = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
+    whole = docs.join(copies, is_copy, "left_semi").where(_words(F.col("_text")) >= min_words).select("_id", "_hash", F.lit(0).alias("_start"), F.length("_text").alias("_end"))
+    docs = docs.join(copies, is_copy, "left_anti")
+    left, reach, done = materialize(repeated_runs(docs, min_words), "runs"), REACH, [whole]
+    while not left.isEmpty():
+        moved = materialize(_extended(docs, left, reach), "extended")
+        done.append(moved.where(~F.col("_more") & (F.col("_to") - F.col("_from") >= min_words)).select("_id", "_hash", "_start", "_end"))
+        left, reach = moved.where("_more").drop("_start", "_end", "_more").distinct(), reach * GROW
+    found = reduce(DataFrame.unionByName, done).select("_id", "_hash", F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")).alias("_span"))
     per_doc = found.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("_span")).alias("__spans"))
     return materialize(per_doc.select(F.col("_id").alias("__id"), F.col("_hash").alias("__hash"), "__spans"), "spans")
 
@@ -178,9 +167,9 @@ def dedup_lines(
     """``docs`` with later repeated runs of ``min_words`` words or more deleted from the text, and counts of spans and words deleted.
 
     Of each fingerprint the first place (in order of id, then of the text's hash, then in the text) stays; a run at a later place
-    is extended both ways, word by word, as far as it equals what surrounds the first place, and deleted if it is long
-    enough then. A run is found if it holds 2 * LINES - 1 whole lines, or is a whole text. All other columns stay; columns with the names of
-    the counts are replaced. A null text stays null, an empty one empty; of equal texts under different ids the later become empty.
+    is extended both ways, word by word and without a limit, as far as it equals what surrounds the earlier place, and deleted if it is long
+    enough then. Every run of ``min_words`` words holds a fingerprint. It is compared with one earlier place of each fingerprint, not with all. All other columns
+    stay; columns with the names of the counts are replaced. A null text stays null, an empty one empty; of equal texts under different ids the later become empty.
     Rows that repeat both id and text are one document: they get equal results and never repeat each other. A null id is an
     id. An empty table gives an empty one.
     """

@@ -208,3 +208,12 @@ def test_item_digest_is_the_contracts(spark, small_dir):
 
     rows = op1_decontamination(spark, small_dir).collect()
     assert all(r.items_sha256 == hashlib.sha256(b"").hexdigest() for r in rows if not r.contaminated) and any(r.contaminated for r in rows)
+
+
+@pytest.mark.parametrize("letters", ["abcdenrst", "aeioubcdf", "абвгдежз", "αβγδεζηθ", "ابتثجحخد", "अआइईउऊकख"])
+def test_line_dedup_finds_short_passages_in_any_script(spark, letters):
+    passages = [words(51, letters) for _ in range(40)]
+    rows = [(2 * k, " ".join([*words(45, letters), *p, *words(40, letters)])) for k, p in enumerate(passages)]
+    rows += [(2 * k + 1, " ".join([*words(38, letters), *p, *words(47, letters)])) for k, p in enumerate(passages)]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(docs(spark, rows)).collect()}
+    assert all(got[2 * k] == 0 and got[2 * k + 1] >= 51 for k in range(len(passages)))
