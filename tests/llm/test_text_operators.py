@@ -217,3 +217,13 @@ def test_line_dedup_finds_short_passages_in_any_script(spark, letters):
     rows += [(2 * k + 1, " ".join([*words(38, letters), *p, *words(47, letters)])) for k, p in enumerate(passages)]
     got = {r.doc_id: r.n_removed for r in dedup_lines(docs(spark, rows)).collect()}
     assert all(got[2 * k] == 0 and got[2 * k + 1] >= 51 for k in range(len(passages)))
+
+
+def test_line_dedup_deletes_what_goes_round_in_a_circle(spark):
+    refrain = ". ".join(" ".join(words(4)) for _ in range(3)) + ".\n"
+    head, other = " ".join(words(30)), " ".join(words(30))
+    rows = [(1, head + "\n" + refrain * 100), (2, other + "\n" + refrain * 100), (3, "b " * 400), (4, "b " * 300)]
+    got = {r.doc_id: r for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got[1].text == head + "\n" + refrain and got[1].n_removed == 99 * 12
+    assert got[2].text == other + "\n" and got[2].n_removed == 1200
+    assert got[3].text == "b " and got[4].text == ""
