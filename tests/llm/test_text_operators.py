@@ -227,3 +227,16 @@ def test_line_dedup_deletes_what_goes_round_in_a_circle(spark):
     assert got[1].text == head + "\n" + refrain and got[1].n_removed == 99 * 12
     assert got[2].text == other + "\n" and got[2].n_removed == 1200
     assert got[3].text == "b " and got[4].text == ""
+
+
+def test_line_dedup_extends_over_long_lines(spark):
+    lines = [" ".join(words(80)) for _ in range(4)]
+    copy = "\n".join(lines)
+    parts = [" ".join(words(30)) for _ in range(40)]
+    inner = " ".join(parts)
+    rows = [(0, words(1)[0] + " " + copy), (1, copy + " " + words(1)[0])]
+    # Each part but the first and last also stands in an earlier text, so only the ends of the passage lead to text 50.
+    rows += [(10 + k, " ".join([*words(9), p, *words(9)])) for k, p in enumerate(parts[1:-1])] + [(50, inner), (60, " ".join([*words(9), inner, *words(9)]))]
+    got = {r.doc_id: r for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got[1].n_removed == 320 and len(got[1].text.split()) == 1
+    assert got[60].n_removed == 1200 and got[60].n_spans == 1
