@@ -44,7 +44,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document."""
-    return section_tokens(table(spark, sf_dir, "documents"))
+    return section_tokens(table(spark, sf_dir, "documents"), added=True)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

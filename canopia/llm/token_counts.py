@@ -38,10 +38,10 @@ def attribute(raw: bytes, token_starts: np.ndarray, token_ends: np.ndarray, sepa
     return list(zip(chars[starts].tolist(), chars[ends].tolist(), tokens.tolist(), crossing.tolist(), strict=True))
 
 
-def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", path: str | None = None) -> DataFrame:
+def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", path: str | None = None, added: bool = False) -> DataFrame:
     """One row per section of each row of ``docs``: ``id_col``, ``section`` (from 0), ``start``, ``end`` (characters), ``n_tokens``, ``n_crossing``.
 
-    The counts of a document's sections add up to its own number of tokens, without special tokens. Only the two named columns are
+    The counts of a document's sections add up to its own number of tokens; ``added`` tells whether the strings of added tokens in a text are such tokens. Only the two named columns are
     read. A null or empty text is one empty section without tokens; a null id stays null; repeated rows come out as often as they
     came in; an empty table gives an empty one. One pass without a shuffle.
     """
@@ -51,7 +51,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, added)
         for batch in batches:
             rows: list[tuple] = []
             for i, text in zip(batch["_id"].tolist(), batch["_text"].tolist(), strict=True):

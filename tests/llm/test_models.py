@@ -263,3 +263,24 @@ def test_pipeline_is_its_stages_by_brute_force(spark, small_dir):
     assert {r.doc_id for r in clean.collect()} == set(kept) - hit
     packed = corpus_pipeline.run(spark, small_dir)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(kept) - hit
+
+
+def test_added_tokens_have_the_ids_of_an_unmodified_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from canopia.llm.queries import op4_token_counts, op8_best_fit_packing
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "é \n<|endoftext|><|endoftext|>\n x", "<|endoftext |> <|endoftext|", " plain"]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = Encoder()
+    assert [encoder.ids(t).tolist() for t in texts] == want and want[0] == [64, 50256, 65]
+    assert encoder.byte_starts(encoder.ids(texts[0])).tolist() == [0, 1, 14]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in op8_best_fit_packing(spark, str(tmp_path)).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array([*want[r.doc_id], 0], "<u4").tobytes())
+    counts = Counter()
+    for r in op4_token_counts(spark, str(tmp_path)).collect():
+        counts[r.doc_id] += r.n_tokens
+    assert [counts[i] for i in range(len(texts))] == [len(w) for w in want]
