@@ -30,18 +30,26 @@ def depths(nodes: DataFrame, key: list[str], parent: str = "parent", max_rounds:
     return state.select(*key, F.when(known, F.col("depth")).alias("depth"), F.when(known, F.col("root")).alias("root"))
 
 
-def ancestors(nodes: DataFrame, key: list[str], parent: str = "parent", max_depth: int = 64) -> DataFrame:
-    """``key``, ``ancestor``, ``distance``: every node with all nodes above it and itself at distance 0; one join for each level."""
+def ancestors(nodes: DataFrame, key: list[str], parent: str = "parent") -> DataFrame:
+    """``key``, ``ancestor``, ``distance``: every node with all nodes above it and itself at distance 0; one join for each level.
+
+    Raises ``ValueError`` if the parents go round in a circle: then a level is never empty.
+    """
     group, node = key[:-1], key[-1]
     up = nodes.select(*group, F.col(node).alias("ancestor"), F.col(parent).alias("_next"))
     level = materialize(nodes.select(*key, F.col(node).alias("ancestor"), F.lit(0).alias("distance")), "ancestors")
-    out = level
-    for k in range(1, max_depth + 1):
+    out, k, most = level, 0, None
+    while True:
+        k += 1
         level = materialize(level.join(up, [*group, "ancestor"]).where(F.col("_next").isNotNull()).select(*key, F.col("_next").alias("ancestor"), F.lit(k).alias("distance")), "ancestors")
         if level.isEmpty():
-            break
+            return out
+        if k % 64 == 0:  # above a node stand fewer nodes than there are, and one missing parent
+            most = nodes.count() if most is None else most
+            if k > most:
+                raise ValueError("parents go round in a circle")
+            out = materialize(out, "ancestors")
         out = out.unionByName(level)
-    return out
 
 
 def subtree_sums(nodes: DataFrame, key: list[str], value: str, parent: str = "parent") -> DataFrame:

@@ -140,3 +140,9 @@ def test_height_clusters_are_the_walk(spark):
         want[t] = len(hs) / n
     got = features.height_clusters(spark.createDataFrame(rows, "tree_id long, branch_order int, height double"))
     assert {x.tree_id: x.value for x in got.collect()} == pytest.approx(want)
+
+
+def test_subtree_sums_of_a_chain_deeper_than_64(spark):
+    n = spark.createDataFrame([(1, i, i - 1 if i else None, 1.0) for i in range(70)], "tree_id long, branch long, parent long, v double")
+    sums = {r.branch: (r.n_below, r.v_sum) for r in graph.subtree_sums(n, ["tree_id", "branch"], "v").collect()}
+    assert sums == {i: (69 - i, 70.0 - i) for i in range(70)}
