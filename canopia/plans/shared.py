@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 #: Rows that one broadcast may hold.
 BROADCAST_ROWS = 200_000
+#: A key counts as hot from this share of all rows on: one in so many.
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset, a folder of the warehouse.
-
-    The warehouse is shared by definition, so nothing is ever put on one machine's own disk.
-    """
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a local session takes a folder of its warehouse, and any other raises an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoint"
     return root.rstrip("/")
 
@@ -39,6 +40,19 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, times: str, hot: int = HOT_KEYS) -> DataFrame:
+    """``rows`` with what ``table`` has for their ``key``, which is unique there; ``times`` counts the rows of each key.
+
+    Keys with more than one in ``hot`` of all rows, so fewer than ``hot`` keys, are broadcast and their rows never
+    shuffled; all others are joined by a shuffle. Both are read from written tables.
+    """
+    total = table.agg(F.sum(times)).first()[0] or 0
+    often = table.where(F.col(times) > total / hot).drop(times)
+    seldom = table.where(F.col(times) <= total / hot).drop(times)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom, key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send at most ``rows`` rows to a Python worker at once in this session: texts are long, and a batch is held whole on both sides."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
