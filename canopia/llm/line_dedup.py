@@ -2,71 +2,111 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopia.plans.shared import broadcast_if_small, materialize
+from canopia.plans.shared import broadcast_if_small, join_by_key, materialize
 
 #: A repeated run counts from so many words on.
 MIN_WORDS = 50
-#: Words in which a run is extended on either side in the first round; each further round, for runs that are equal that far, takes GROW times as many.
+#: Words by which a run is extended on either side in the first round; each further round, for runs that are equal that far, takes GROW times as many.
 REACH, GROW = 32, 16
-#: Words whose lengths are added up together.
-BLOCK = 64
+#: Words whose lengths are added up together, and neighbouring hashes whose least is taken together.
+BLOCK, EIGHT = 64, 8
+#: Rounds in which hashes that are no window's least are left out; what a last round would still drop is kept and does no harm.
+ROUNDS = 3
 WORD_ENDS = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 SPACE = " \t\n\r\x0b\x0c"
 WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once; an array bound like this is sliced without copying the whole of it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _split(text: Column) -> Column:
+    return F.split(F.btrim(text, F.lit(SPACE)), GAP)
+
+
+def _at(value: Column) -> Column:
+    """The place in a hash with its place below it."""
+    return value.bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def _near_least(values: Column, w: int) -> Column:
+    """``values`` without most of those that are not the least of any ``w`` neighbours.
+
+    A window of w that does not hold all eight of its value's block holds ``whole`` blocks next to it. So a window's least is
+    its block's, or below the least of those blocks on one side.
+    """
+    whole = (w - EIGHT + 1) // EIGHT
+    if whole < 1:
+        return values
+    least = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(values) - 1, 3)), lambda j: F.least(*[F.get(values, j * EIGHT + i) for i in range(EIGHT)]))
+    beside = lambda b, j, way: reduce(F.least, [F.coalesce(F.get(b, j + way * i), F.lit((1 << 63) - 1)) for i in range(1, whole + 1)]) if whole > 1 else F.coalesce(F.get(b, j + way), F.lit((1 << 63) - 1))
+    limits = lambda b: F.transform(b, lambda x, j: F.greatest(x, beside(b, j, 1), beside(b, j, -1)))
+    return _let(least, lambda b: _let(limits(b), lambda m: F.filter(values, lambda x, i: x <= F.get(m, F.shiftright(i, 3)))))
+
+
+def _thinned(values: Column, w: int, rounds: int = ROUNDS) -> Column:
+    """``values`` without those between two lesser ones that all windows of ``w`` reach: the windows' least ones stay."""
+    if not rounds:
+        return values
+    reached = lambda v, i: _at(F.get(v, i + 1)) - _at(F.get(v, i - 1)) > w
+    keep = lambda v: F.filter(v, lambda x, i: F.coalesce(F.get(v, i - 1) > x, F.lit(True)) | F.coalesce(F.get(v, i + 1) > x, F.lit(True)) | reached(v, i))
+    return _let(keep(values), lambda v: _thinned(v, w, rounds - 1))
+
+
+def _sizes(min_words: int) -> tuple[int, int]:
+    """Words of a fingerprint, and neighbouring places of which one is taken: together they are ``min_words`` and one more."""
+    k = max(min_words // 3, 1)
+    return k, min_words - k + 1
+
+
 def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
     """``(_id, _hash, _at, _fp)``: the selected fingerprints of each text and the words they start at.
 
     A fingerprint is a run of k words; the one that starts at the least of w neighbouring hashes of two words is selected (of equal
     ones the first), where k + w - 1 = ``min_words``. So every run of ``min_words`` words, in any script, has a fingerprint of its own,
-    the same wherever it stands, and those of a longer run are at most w apart: each overlaps the next or touches it.
+    the same wherever it stands, and those of a longer run start at most w apart.
     """
-    k = min_words // 2 + 1
-    w = min_words - k + 1
-    d = docs.select("_id", "_hash", F.split(F.btrim("_text", F.lit(SPACE)), GAP).alias("_w")).where(F.size("_w") >= min_words)
+    k, w = _sizes(min_words)
     # The hash above, the place below: the least of a window says where it stands. No text has 2^31 words.
-    value = lambda x, i: F.shiftleft(F.xxhash64(x, F.get("_w", i + 1)), 31).bitwiseOR(i.cast("long"))
-    d = d.select("_id", "_hash", "_w", F.transform(F.slice("_w", F.lit(1), F.size("_w") - k + 1), value).alias("_v"))
-    have = 1
-    while have < w:  # the least of ``have`` neighbours, then of more
-        step = min(have, w - have)
-        d = d.select("_id", "_hash", "_w", F.zip_with("_v", F.slice("_v", F.lit(step + 1), F.size("_v")), lambda a, b: F.least(a, b)).alias("_v"))
-        have += step
-    d = d.select("_id", "_hash", "_w", F.array_distinct(F.slice("_v", F.lit(1), F.size("_v") - w + 1)).alias("_v"))
-    at = lambda v: v.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    d = d.select("_id", "_hash", F.inline(F.transform("_v", lambda v: F.struct(at(v).alias("_at"), F.xxhash64(F.slice("_w", at(v) + 1, F.lit(k))).alias("_fp")))))
-    return d
-
-
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(_id, _hash, _from, _to, _id0, _hash0, _from0)``: runs of words that stand earlier, word by word, in text ``_id0``.
-
-    Texts are in order of their id (nulls first), then of their hash. A run is a chain of repeated fingerprints, each overlapping or
-    touching the one before, at one distance from where they stand earlier: the place before in the same text if there is one, else the first place of all.
-    So what goes round in a circle is one run at the distance of a round.
-    """
-    prints = materialize(_fingerprints(docs, min_words), "fingerprints")
-    several = prints.groupBy("_fp").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("_fp")
-    near = materialize(prints.join(several, "_fp", "left_semi").distinct(), "repeated")  # rows that repeat id and text are one
-    first = near.groupBy("_fp").agg(F.min(F.struct("_id", "_hash", "_at")).alias("_first"))
+    value = lambda t: F.transform(t, lambda x, i: F.shiftleft(F.xxhash64(x, F.get(t, i + 1)), 31).bitwiseOR(i.cast("long")))
+    starts = lambda v: F.slice(v, F.lit(1), F.greatest(F.size(v) - k + 1, F.lit(0)))
+    start = lambda p: _at(p).cast("int")
+    prints = lambda t, v: F.transform(v, lambda p: F.struct(start(p).alias("_at"), F.xxhash64(F.slice(t, start(p) + 1, F.lit(k))).alias("_fp")))
+    chosen = _let(_split(F.col("_text")), lambda t: _let(starts(value(t)), lambda v: _let(_near_least(v, w), lambda u: prints(t, _thinned(u, w)))))
+    return docs.where(F.col("_text").isNotNull()).select("_id", "_hash", F.inline(chosen))
+
+
+def _linked(near: DataFrame) -> DataFrame:
+    """Repeated fingerprints ``(_fp, _id, _hash, _at)`` with an earlier place ``(_id0, _hash0, _shift)``: the one before in the same text if there is one, else the first of all."""
+    first = materialize(near.groupBy("_fp").agg(F.min(F.struct("_id", "_hash", "_at")).alias("_first"), F.count(F.lit(1)).alias("_times")), "first_places")
     within = Window.partitionBy("_fp", "_id", "_hash").orderBy("_at")
-    linked = near.withColumn("_at_before", F.lag("_at").over(within)).join(first, "_fp")
+    linked = join_by_key(materialize(near.withColumn("_at_before", F.lag("_at").over(within)), "within"), first, "_fp", "_times")
     own = F.col("_at_before").isNotNull()
-    later = linked.select(
+    return linked.select(
         "_id", "_hash", "_at", F.when(own, F.col("_id")).otherwise(F.col("_first._id")).alias("_id0"), F.when(own, F.col("_hash")).otherwise(F.col("_first._hash")).alias("_hash0"),
         (F.col("_at") - F.coalesce("_at_before", F.col("_first._at"))).alias("_shift"),
     ).where(~(F.col("_id").eqNullSafe(F.col("_id0")) & (F.col("_hash") == F.col("_hash0")) & (F.col("_shift") == 0)))
-    k = min_words // 2 + 1
+
+
+def _runs(near: DataFrame, min_words: int) -> DataFrame:
+    """``(_id, _hash, _from, _to, _id0, _hash0, _from0)``: chains of repeated fingerprints, each at most w words on, at one distance from where they stand earlier.
+
+    Texts are in order of their id (nulls first), then of their hash. What goes round in a circle is one run at the distance of a
+    round. The words between two fingerprints of a chain may still differ.
+    """
+    k, w = _sizes(min_words)
     line = Window.partitionBy("_id", "_hash", "_id0", "_hash0", "_shift").orderBy("_at")
-    gap = F.col("_at") - F.lag("_at").over(line) > k
+    gap = F.col("_at") - F.lag("_at").over(line) > w
     return (
-        later.withColumn("_run", F.sum(F.coalesce(gap.cast("int"), F.lit(0))).over(line))
+        _linked(near).withColumn("_run", F.sum(F.coalesce(gap.cast("int"), F.lit(0))).over(line))
         .groupBy("_id", "_hash", "_id0", "_hash0", "_shift", "_run").agg(F.min("_at").alias("_from"), (F.max("_at") + k).alias("_to"))
         .select("_id", "_hash", "_from", "_to", "_id0", "_hash0", (F.col("_from") - F.col("_shift")).alias("_from0"))
     )
@@ -76,86 +116,122 @@ def _words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 
 
-def _same(a: Column, b: Column) -> Column:
+def _equal(a: Column, b: Column) -> Column:
+    """Which words of two lists are equal, whatever white space follows them."""
+    return F.zip_with(a, b, lambda x, y: F.btrim(x, F.lit(SPACE)).eqNullSafe(F.btrim(y, F.lit(SPACE))))
+
+
+def _leading(a: Column, b: Column) -> Column:
     """How many leading words of two lists are equal."""
-    equal = F.zip_with(a, b, lambda x, y: F.btrim(x, F.lit(SPACE)).eqNullSafe(F.btrim(y, F.lit(SPACE))))
-    at = F.array_position(equal, False)
-    return F.when(at > 0, at - 1).otherwise(F.size(equal)).cast("int")
+    return F.when(a == b, F.size(a)).otherwise(_let(_equal(a, b), lambda e: _let(F.array_position(e, False), lambda p: F.when(p > 0, p - 1).otherwise(F.size(e))))).cast("int")
 
 
 def _places(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
-    """``(_i, _h, _pos, _offset, _near)``: for places between words (twice the word's number) the characters before, and the ``reach``
-    words before with the white space after each, the last first; for those numbered by one more the words after.
+    """For places ``(_i, _h, _pos, _n)`` between words of texts: the characters before (``_offset``), the ``reach`` words before, the last first
+    (``_before``), and ``_n`` words after (``_after``), each with the white space that follows it.
 
     Lengths are added up by blocks of words, so a place in a long text costs no more than one in a short text.
     """
-    per_doc = materialize(wanted.groupBy("_i", "_h").agg(F.collect_set("_pos").alias("_all")), "places_wanted")  # at most two for each word
+    per_doc = materialize(wanted.groupBy("_i", "_h").agg(F.collect_set(F.struct("_pos", "_n")).alias("_all")), "places_wanted")  # at most two for each fingerprint
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    by_block = lambda n: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(n), 6)), lambda b: total(F.slice(n, b * BLOCK + 1, F.lit(BLOCK))))
+    part = lambda n, p: total(F.slice(n, F.shiftright(p, 6) * BLOCK + 1, p - F.shiftright(p, 6) * BLOCK))
+    # Sums of blocks, and of blocks of blocks, so that very long texts cost no square.
+    up_to = lambda n, one, two, p: _let(F.shiftright(p, 6), lambda b: total(F.slice(two, F.lit(1), F.shiftright(b, 6))) + part(one, b) + part(n, p))
+    before = lambda t, p: F.reverse(F.slice(t, F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach))))
 
-    def up_to(pos: Column) -> Column:
-        whole = F.floor(pos / BLOCK).cast("int")
-        return F.get("_len_sums", whole) + total(F.slice("_len", whole * BLOCK + 1, pos - whole * BLOCK))
-
-    def place(two: Column) -> Column:
-        p = F.floor(two / 2).cast("int")
-        before = F.reverse(F.slice("_l", F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach))))
-        return F.struct(two.alias("_pos"), (F.col("_blank") + up_to(p)).alias("_offset"), F.when(two % 2 == 0, before).otherwise(F.slice("_l", p + 1, F.lit(reach))).alias("_near"))
+    def all_places(t: Column) -> Column:
+        one = lambda x, n, a, b: F.struct(x["_pos"].alias("_pos"), x["_n"].alias("_n"), (F.col("_blank") + up_to(n, a, b, x["_pos"])).alias("_offset"), before(t, x["_pos"]).alias("_before"), F.slice(t, x["_pos"] + 1, x["_n"]).alias("_after"))
+        return _let(F.transform(t, F.length), lambda n: _let(by_block(n), lambda a: _let(by_block(a), lambda b: F.transform("_all", lambda x: one(x, n, a, b)))))
 
     d = docs.join(broadcast_if_small(per_doc), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_i", "_h", "_all", "_text", F.ltrim("_text", F.lit(SPACE)).alias("_cut"))
-    d = d.select("_i", "_h", "_all", (F.length("_text") - F.length("_cut")).alias("_blank"), F.split("_cut", WORD_ENDS).alias("_l"))
-    d = d.select("*", F.transform("_l", F.length).alias("_len"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("_len") / BLOCK).cast("int")), lambda b: total(F.slice("_len", b * BLOCK + 1, BLOCK)))
-    d = d.select("*", blocks.alias("_blocks"))
-    # Running sums of the blocks: those of whole groups of BLOCK blocks first, so very long texts cost no square.
-    groups = F.transform(F.sequence(F.lit(0), F.floor(F.size("_blocks") / BLOCK).cast("int")), lambda g: total(F.slice("_blocks", g * BLOCK + 1, BLOCK)))
-    d = d.select("*", groups.alias("_groups"))
-    whole = lambda b: F.floor(b / BLOCK).cast("int")
-    sums = F.transform(F.sequence(F.lit(0), F.size("_blocks")), lambda b: total(F.slice("_groups", F.lit(1), whole(b))) + total(F.slice("_blocks", whole(b) * BLOCK + 1, b - whole(b) * BLOCK)))
-    d = d.select("*", sums.alias("_len_sums"))
-    places = materialize(d.select("_i", "_h", F.inline(F.transform("_all", place))), "places")
+    d = d.select("_i", "_h", "_all", (F.length("_text") - F.length("_cut")).alias("_blank"), "_cut")
+    places = materialize(d.select("_i", "_h", F.inline(_let(F.split("_cut", WORD_ENDS), all_places))), "places")
     if places.count() == (per_doc.agg(F.sum(F.size("_all"))).first()[0] or 0):
         return places
-    return places.dropDuplicates(["_i", "_h", "_pos"])  # rows that repeat id and text have given the same places
+    return places.dropDuplicates(["_i", "_h", "_pos", "_n"])  # rows that repeat id and text have given the same places
+
 
+def _extended(docs: DataFrame, runs: DataFrame, reach: int, least: int) -> DataFrame:
+    """The parts of ``runs``, and of up to ``reach`` words beside them, over which the words themselves are equal: ``least`` words or longer.
 
-def _extended(docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
-    """``runs`` with both ends moved by up to ``reach`` words as far as the words equal those beside the earlier place; ``_start`` and ``_end`` in characters."""
-    runs = runs.withColumn("_to0", F.col("_from0") + F.col("_to") - F.col("_from"))
-    ends = [("_id", "_hash", "_from"), ("_id", "_hash", "_to"), ("_id0", "_hash0", "_from0"), ("_id0", "_hash0", "_to0")]
-    number = lambda p: F.col(p) * 2 + (0 if "from" in p else 1)
-    wanted = [runs.select(F.col(i).alias("_i"), F.col(h).alias("_h"), number(p).alias("_pos")) for i, h, p in ends]
+    ``_start`` and ``_end`` are in characters; ``_more`` tells whether a part reaches as far as was looked.
+    """
+    runs = runs.withColumn("_n", F.col("_to") - F.col("_from") + reach)
+    ends = [("_id", "_hash", "_from"), ("_id0", "_hash0", "_from0")]
+    wanted = [runs.select(F.col(i).alias("_i"), F.col(h).alias("_h"), F.col(p).alias("_pos"), "_n") for i, h, p in ends]
     places = _places(docs, reduce(DataFrame.unionByName, wanted), reach)
     for i, h, p in ends:
-        own = places.select("_i", "_h", "_pos", *[F.col(c).alias(c + p) for c in (["_offset", "_near"] if i == "_id" else ["_near"])])
-        runs = runs.join(own, F.col(i).eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_h")) & (number(p) == F.col("_pos"))).drop("_i", "_h", "_pos")
-    runs = runs.select("*", _same(F.col("_near_from"), F.col("_near_from0")).alias("_left"), _same(F.col("_near_to"), F.col("_near_to0")).alias("_right"))
-    size = lambda words, n: F.aggregate(F.slice(words, F.lit(1), F.col(n)), F.lit(0), lambda s, x: s + F.length(x))
-    return runs.select(
-        "_id", "_hash", (F.col("_from") - F.col("_left")).alias("_from"), (F.col("_to") + F.col("_right")).alias("_to"), "_id0", "_hash0", (F.col("_from0") - F.col("_left")).alias("_from0"),
-        (F.col("_offset_from") - size("_near_from", "_left")).alias("_start"), (F.col("_offset_to") + size("_near_to", "_right")).alias("_end"),
-        ((F.col("_left") == reach) | (F.col("_right") == reach)).alias("_more"),
-    )
+        own = places.select("_i", "_h", "_pos", F.col("_n").alias("_n1"), *[F.col(c).alias(c + p) for c in (["_offset", "_before", "_after"] if i == "_id" else ["_before", "_after"])])
+        runs = runs.join(own, F.col(i).eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_h")) & (F.col(p) == F.col("_pos")) & (F.col("_n") == F.col("_n1"))).drop("_i", "_h", "_pos", "_n1")
+    before, a, b, first = F.col("_before_from"), F.col("_after_from"), F.col("_after_from0"), -F.col("_left") - 1
+    differ = lambda e: F.concat(F.array(first), F.filter(F.transform(e, lambda x, i: F.when(~x, i)), F.isnotnull), F.array(F.size(e)))
+    cuts = F.when(a == b, F.array(first, F.size(a))).otherwise(_let(_equal(a, b), differ))
+    size = lambda words, lo, n: F.length(F.array_join(F.slice(words, lo, n), ""))
+    at = lambda x: F.when(x < 0, F.col("_offset_from") - size(before, F.lit(1), F.greatest(-x, F.lit(0)))).otherwise(F.col("_offset_from") + size(a, F.lit(1), F.greatest(x, F.lit(0))))
+    more = lambda lo, hi: ((lo == first + 1) & (F.col("_left") == reach)) | (hi == F.col("_n"))
+    part = lambda lo, hi: F.struct((F.col("_from") + lo).alias("_from"), (F.col("_from") + hi).alias("_to"), (F.col("_from0") + lo).alias("_from0"), at(lo).alias("_start"), at(hi).alias("_end"), more(lo, hi).alias("_more"))
+    bounds = lambda c: F.filter(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, j: F.struct((x + 1).alias("lo"), F.get(c, j + 1).alias("hi"))), lambda s: s["hi"] - s["lo"] >= least)
+    runs = runs.withColumn("_left", _leading(before, F.col("_before_from0")))
+    return runs.select("_id", "_hash", "_id0", "_hash0", F.inline(_let(cuts, lambda c: F.transform(bounds(c), lambda s: part(s["lo"], s["hi"])))))
+
+
+def _second_look(docs: DataFrame, near: DataFrame, short: DataFrame, min_words: int) -> DataFrame | None:
+    """Spans of runs that the earlier place looked at does not hold far enough, but another does.
+
+    ``short`` has what was left: ``(_id, _hash, _from, _to)``. All places of those fingerprints are looked at, and each run of ``min_words`` words
+    that holds one is known by its digest; the later ones of a digest are the spans. So nothing is compared pair by pair.
+    """
+    k, w = _sizes(min_words)
+    part = F.explode(F.sequence(F.shiftright("_from", 6), F.shiftright(F.col("_to") - k, 6)))
+    of = short.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_from", "_to", part.alias("_part")).distinct()
+    inside = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")) & (F.shiftright("_at", 6) == F.col("_part")) & F.col("_at").between(F.col("_from"), F.col("_to") - k)
+    fps = materialize(near.join(of, inside, "left_semi").select("_fp").distinct(), "looked_at")
+    per_doc = near.join(broadcast_if_small(fps), "_fp", "left_semi").groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.collect_set("_at").alias("_all"))
+    d = docs.join(broadcast_if_small(materialize(per_doc, "looked_at_texts")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_id", "_hash", "_all", "_text")
+    starts = lambda t: F.array_distinct(F.flatten(F.transform("_all", lambda p: F.sequence(F.greatest(p - w + 1, F.lit(0)), F.greatest(F.least(p, F.size(t) - min_words), F.greatest(p - w + 1, F.lit(0)))))))
+    digest = lambda t, p: F.struct(p.alias("_from"), F.unhex(F.md5(F.array_join(F.slice(t, p + 1, F.lit(min_words)), " "))).alias("_gram"))
+    runs = _let(_split(F.col("_text")), lambda t: F.transform(F.filter(starts(t), lambda p: p + min_words <= F.size(t)), lambda p: digest(t, p)))
+    grams = materialize(d.select("_id", "_hash", F.inline(runs)).distinct(), "runs_of_least_length")
+    several = materialize(grams.groupBy("_gram").agg(F.min(F.struct("_id", "_hash", "_from")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1"), "repeated_runs")
+    later = join_by_key(grams, several, "_gram", "_times").where(~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_hash") == F.col("_first._hash")) & (F.col("_from") == F.col("_first._from"))))
+    line = Window.partitionBy("_id", "_hash").orderBy("_from")
+    apart = F.col("_from") - F.lag("_from").over(line) > min_words
+    spans = later.withColumn("_run", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(line)).groupBy("_id", "_hash", "_run").agg(F.min("_from").alias("_pos"), (F.max("_from") - F.min("_from") + min_words).alias("_n"))
+    spans = materialize(spans.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_pos", "_n"), "more_spans")
+    if spans.isEmpty():
+        return None
+    return _places(docs, spans, 0).select(F.col("_i").alias("_id"), F.col("_h").alias("_hash"), F.col("_offset").alias("_start"), (F.col("_offset") + F.length(F.array_join("_after", ""))).alias("_end"))
 
 
 def _copies(docs: DataFrame) -> DataFrame:
     """``(_i, _h)``: the texts that an earlier id has as a whole."""
     texts = materialize(docs.select("_id", "_hash").distinct(), "texts")
-    first = texts.groupBy("_hash").agg(F.min(F.struct("_id")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1").select(F.col("_hash").alias("_h"), "_first")
-    found = texts.join(broadcast_if_small(materialize(first, "first_texts")), F.col("_hash") == F.col("_h")).where(~F.col("_id").eqNullSafe(F.col("_first._id")))
-    return materialize(found.select(F.col("_id").alias("_i"), "_h"), "copies")
+    first = materialize(texts.groupBy("_hash").agg(F.min(F.struct("_id")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1"), "first_texts")
+    found = join_by_key(texts, first, "_hash", "_times").where(~F.col("_id").eqNullSafe(F.col("_first._id")))
+    return materialize(found.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h")), "copies")
 
 
 def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     """``(__id, __hash, __spans)``: the characters to delete from each text, as sorted ``(start, end)``."""
     copies = broadcast_if_small(_copies(docs))
     is_copy = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
-    whole = docs.join(copies, is_copy, "left_semi").where(_words(F.col("_text")) >= min_words).select("_id", "_hash", F.lit(0).alias("_start"), F.length("_text").alias("_end"))
+    # The words are counted after the join, as the condition needs both sides.
+    whole = docs.join(copies, is_copy).where(F.when(F.col("_h").isNotNull(), _words(F.col("_text"))) >= min_words).select("_id", "_hash", F.lit(0).alias("_start"), F.length("_text").alias("_end"))
     docs = docs.join(copies, is_copy, "left_anti")
-    left, reach, done = materialize(repeated_runs(docs, min_words), "runs"), REACH, [whole]
+    prints = materialize(_fingerprints(docs, min_words), "fingerprints")
+    several = prints.groupBy("_fp").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("_fp")
+    near = materialize(prints.join(several, "_fp", "left_semi").distinct(), "repeated")  # rows that repeat id and text are one
+    left, reach, done, short = materialize(_runs(near, min_words), "runs"), REACH, [whole], []
     while not left.isEmpty():
-        moved = materialize(_extended(docs, left, reach), "extended")
-        done.append(moved.where(~F.col("_more") & (F.col("_to") - F.col("_from") >= min_words)).select("_id", "_hash", "_start", "_end"))
+        moved = materialize(_extended(docs, left, reach, _sizes(min_words)[0]), "extended")
+        long = F.col("_to") - F.col("_from") >= min_words
+        done.append(moved.where(~F.col("_more") & long).select("_id", "_hash", "_start", "_end"))
+        short.append(moved.where(~F.col("_more") & ~long).select("_id", "_hash", "_from", "_to"))
         left, reach = moved.where("_more").drop("_start", "_end", "_more").distinct(), reach * GROW
+    if short and not (rest := materialize(reduce(DataFrame.unionByName, short), "short")).isEmpty():
+        more = _second_look(docs, near, rest, min_words)
+        done += [] if more is None else [more]
     found = reduce(DataFrame.unionByName, done).select("_id", "_hash", F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")).alias("_span"))
     per_doc = found.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("_span")).alias("__spans"))
     return materialize(per_doc.select(F.col("_id").alias("__id"), F.col("_hash").alias("__hash"), "__spans"), "spans")
@@ -167,9 +243,9 @@ def dedup_lines(
     """``docs`` with later repeated runs of ``min_words`` words or more deleted from the text, and counts of spans and words deleted.
 
     Of each fingerprint the first place (in order of id, then of the text's hash, then in the text) stays; a run at a later place
-    is extended both ways, word by word and without a limit, as far as it equals what surrounds the earlier place, and deleted if it is long
-    enough then. Every run of ``min_words`` words holds a fingerprint. It is compared with one earlier place of each fingerprint, not with all. All other columns
-    stay; columns with the names of the counts are replaced. A null text stays null, an empty one empty; of equal texts under different ids the later become empty.
+    is extended both ways, word by word and without a limit, as far as its words equal those at and around the earlier place, and deleted if it is
+    long enough then. Every run of ``min_words`` words holds a fingerprint. Runs that are too short there are looked at again among all
+    places of their fingerprints, so every run of ``min_words`` words that stands earlier is deleted. All other columns stay; columns with the names of the counts are replaced. A null text stays null, an empty one empty; of equal texts under different ids the later become empty.
     Rows that repeat both id and text are one document: they get equal results and never repeat each other. A null id is an
     id. An empty table gives an empty one.
     """

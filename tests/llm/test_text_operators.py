@@ -154,14 +154,31 @@ def test_line_dedup_leaves_no_long_repeats_on_the_small_table(spark, small_dir):
     seen, left, removed = set(), 0, 0
     for i in sorted(original):
         w, kept = original[i].split(), (got[i].text or "").split()
-        grams = [" ".join(kept[k : k + 90]) for k in range(len(kept) - 89)]
+        grams = [" ".join(kept[k : k + 50]) for k in range(len(kept) - 49)]
         left += sum(g in seen for g in grams)
-        seen.update(" ".join(w[k : k + 90]) for k in range(len(w) - 89))
+        seen.update(" ".join(w[k : k + 50]) for k in range(len(w) - 49))
         removed += got[i].n_removed
         assert len(w) - len(kept) == got[i].n_removed
     assert removed > 0 and left == 0
 
 
+def test_line_dedup_finds_what_no_first_place_holds_whole(spark):
+    """Each half of a passage stands first in a text of its own, too short to count; the whole stands in two later ones."""
+    passage = words(70)
+    rows = [(1, " ".join(words(60) + passage[:42])), (2, " ".join(passage[30:] + words(60))), (3, " ".join(words(20) + passage + words(20))), (4, " ".join(words(9) + passage + words(9)))]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 70}
+
+
+def test_line_dedup_compares_words_within_runs(spark):
+    """Two texts that differ in single words: the stretches of 50 words and more go, the others stay."""
+    a = words(400)
+    b = [x + "q" if k in (10, 75, 100, 170, 175, 399) else x for k, x in enumerate(a)]
+    got = {r.doc_id: r for r in dedup_lines(docs(spark, [(1, " ".join(a)), (2, " ".join(b))])).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 64 + 69 + 223 and got[2].n_spans == 3
+    assert got[2].text.split() == [*b[:11], *b[75:101], *b[170:176], b[399]]
+
+
 def test_sections_add_up_to_whole_texts(spark):
     from tokenizers import Tokenizer
 
