@@ -8,16 +8,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopia.plans.shared import broadcast_if_small, join_by_key, materialize
+from canopia.plans.shared import broadcast_if_small, discard, join_by_key, materialize
 
 #: A repeated run counts from so many words on.
 MIN_WORDS = 50
-#: Words by which a run is extended on either side in the first round; each further round, for runs that are equal that far, takes GROW times as many.
-REACH, GROW = 32, 16
+#: Words by which a run is extended on either side in the first round, more than there can be without a further fingerprint; each further round, for
+#: runs that are equal that far, takes GROW times as many.
+REACH, GROW = 48, 16
 #: Words whose lengths are added up together, and neighbouring hashes whose least is taken together.
 BLOCK, EIGHT = 64, 8
 #: Rounds in which hashes that are no window's least are left out; what a last round would still drop is kept and does no harm.
-ROUNDS = 3
+ROUNDS = 6
 WORD_ENDS = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 SPACE = " \t\n\r\x0b\x0c"
 WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
@@ -121,14 +122,9 @@ def _equal(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.btrim(x, F.lit(SPACE)).eqNullSafe(F.btrim(y, F.lit(SPACE))))
 
 
-def _leading(a: Column, b: Column) -> Column:
-    """How many leading words of two lists are equal."""
-    return F.when(a == b, F.size(a)).otherwise(_let(_equal(a, b), lambda e: _let(F.array_position(e, False), lambda p: F.when(p > 0, p - 1).otherwise(F.size(e))))).cast("int")
-
-
 def _places(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
-    """For places ``(_i, _h, _pos, _n)`` between words of texts: the characters before (``_offset``), the ``reach`` words before, the last first
-    (``_before``), and ``_n`` words after (``_after``), each with the white space that follows it.
+    """For places ``(_i, _h, _pos, _n)`` between words of texts: the characters before (``_offset``), the text of up to ``reach`` words before
+    (``_before``) and of up to ``_n`` words after (``_after``, ``_m`` words), with the white space that follows.
 
     Lengths are added up by blocks of words, so a place in a long text costs no more than one in a short text.
     """
@@ -138,10 +134,10 @@ def _places(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     part = lambda n, p: total(F.slice(n, F.shiftright(p, 6) * BLOCK + 1, p - F.shiftright(p, 6) * BLOCK))
     # Sums of blocks, and of blocks of blocks, so that very long texts cost no square.
     up_to = lambda n, one, two, p: _let(F.shiftright(p, 6), lambda b: total(F.slice(two, F.lit(1), F.shiftright(b, 6))) + part(one, b) + part(n, p))
-    before = lambda t, p: F.reverse(F.slice(t, F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach))))
+    before = lambda t, p: F.array_join(F.slice(t, F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach))), "")
 
     def all_places(t: Column) -> Column:
-        one = lambda x, n, a, b: F.struct(x["_pos"].alias("_pos"), x["_n"].alias("_n"), (F.col("_blank") + up_to(n, a, b, x["_pos"])).alias("_offset"), before(t, x["_pos"]).alias("_before"), F.slice(t, x["_pos"] + 1, x["_n"]).alias("_after"))
+        one = lambda x, n, a, b: F.struct(x["_pos"].alias("_pos"), x["_n"].alias("_n"), (F.col("_blank") + up_to(n, a, b, x["_pos"])).alias("_offset"), before(t, x["_pos"]).alias("_before"), F.array_join(F.slice(t, x["_pos"] + 1, x["_n"]), "").alias("_after"), F.least(x["_n"], F.size(t) - x["_pos"]).alias("_m"))
         return _let(F.transform(t, F.length), lambda n: _let(by_block(n), lambda a: _let(by_block(a), lambda b: F.transform("_all", lambda x: one(x, n, a, b)))))
 
     d = docs.join(broadcast_if_small(per_doc), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_i", "_h", "_all", "_text", F.ltrim("_text", F.lit(SPACE)).alias("_cut"))
@@ -149,7 +145,9 @@ def _places(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     places = materialize(d.select("_i", "_h", F.inline(_let(F.split("_cut", WORD_ENDS), all_places))), "places")
     if places.count() == (per_doc.agg(F.sum(F.size("_all"))).first()[0] or 0):
         return places
-    return places.dropDuplicates(["_i", "_h", "_pos", "_n"])  # rows that repeat id and text have given the same places
+    single = materialize(places.dropDuplicates(["_i", "_h", "_pos", "_n"]), "places")  # rows that repeat id and text have given the same places
+    discard(places)
+    return single
 
 
 def _extended(docs: DataFrame, runs: DataFrame, reach: int, least: int) -> DataFrame:
@@ -162,18 +160,29 @@ def _extended(docs: DataFrame, runs: DataFrame, reach: int, least: int) -> DataF
     wanted = [runs.select(F.col(i).alias("_i"), F.col(h).alias("_h"), F.col(p).alias("_pos"), "_n") for i, h, p in ends]
     places = _places(docs, reduce(DataFrame.unionByName, wanted), reach)
     for i, h, p in ends:
-        own = places.select("_i", "_h", "_pos", F.col("_n").alias("_n1"), *[F.col(c).alias(c + p) for c in (["_offset", "_before", "_after"] if i == "_id" else ["_before", "_after"])])
+        own = places.select("_i", "_h", "_pos", F.col("_n").alias("_n1"), *[F.col(c).alias(c + p) for c in (["_offset", "_m", "_before", "_after"] if i == "_id" else ["_before", "_after"])])
         runs = runs.join(own, F.col(i).eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_h")) & (F.col(p) == F.col("_pos")) & (F.col("_n") == F.col("_n1"))).drop("_i", "_h", "_pos", "_n1")
-    before, a, b, first = F.col("_before_from"), F.col("_after_from"), F.col("_after_from0"), -F.col("_left") - 1
+    words = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, WORD_ENDS))
+    last_first = lambda c: F.reverse(words(c))
+    leading = lambda e: _let(F.array_position(e, False), lambda p: F.when(p > 0, p - 1).otherwise(F.size(e)).cast("int"))
+    runs = runs.withColumn("_left", _let(_equal(last_first("_before_from"), last_first("_before_from0")), leading))
+    a, first = F.col("_after_from"), -F.col("_left") - 1
     differ = lambda e: F.concat(F.array(first), F.filter(F.transform(e, lambda x, i: F.when(~x, i)), F.isnotnull), F.array(F.size(e)))
-    cuts = F.when(a == b, F.array(first, F.size(a))).otherwise(_let(_equal(a, b), differ))
-    size = lambda words, lo, n: F.length(F.array_join(F.slice(words, lo, n), ""))
-    at = lambda x: F.when(x < 0, F.col("_offset_from") - size(before, F.lit(1), F.greatest(-x, F.lit(0)))).otherwise(F.col("_offset_from") + size(a, F.lit(1), F.greatest(x, F.lit(0))))
+    cuts = F.when(a == F.col("_after_from0"), F.array(first, F.col("_m_from"))).otherwise(_let(_equal(words("_after_from"), words("_after_from0")), differ))
     more = lambda lo, hi: ((lo == first + 1) & (F.col("_left") == reach)) | (hi == F.col("_n"))
-    part = lambda lo, hi: F.struct((F.col("_from") + lo).alias("_from"), (F.col("_from") + hi).alias("_to"), (F.col("_from0") + lo).alias("_from0"), at(lo).alias("_start"), at(hi).alias("_end"), more(lo, hi).alias("_more"))
     bounds = lambda c: F.filter(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, j: F.struct((x + 1).alias("lo"), F.get(c, j + 1).alias("hi"))), lambda s: s["hi"] - s["lo"] >= least)
-    runs = runs.withColumn("_left", _leading(before, F.col("_before_from0")))
-    return runs.select("_id", "_hash", "_id0", "_hash0", F.inline(_let(cuts, lambda c: F.transform(bounds(c), lambda s: part(s["lo"], s["hi"])))))
+    length = lambda w, n: F.length(F.array_join(F.slice(w, F.lit(1), n), ""))
+
+    def parts(b: Column, w: Column, v: Column) -> Column:
+        at = lambda x: F.when(x < 0, F.col("_offset_from") - length(v, F.greatest(-x, F.lit(0)))).otherwise(F.col("_offset_from") + length(w, F.greatest(x, F.lit(0))))
+        return F.transform(b, lambda s: F.struct(
+            (F.col("_from") + s["lo"]).alias("_from"), (F.col("_from") + s["hi"]).alias("_to"), (F.col("_from0") + s["lo"]).alias("_from0"), at(s["lo"]).alias("_start"), at(s["hi"]).alias("_end"), more(s["lo"], s["hi"]).alias("_more")
+        ))
+
+    every = _let(_let(cuts, bounds), lambda b: _let(words("_after_from"), lambda w: _let(last_first("_before_from"), lambda v: parts(b, w, v))))
+    moved = materialize(runs.select("_id", "_hash", "_id0", "_hash0", F.inline(every)), "extended")
+    discard(places)
+    return moved
 
 
 def _second_look(docs: DataFrame, near: DataFrame, short: DataFrame, min_words: int) -> DataFrame | None:
@@ -201,7 +210,7 @@ def _second_look(docs: DataFrame, near: DataFrame, short: DataFrame, min_words:
     spans = materialize(spans.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_pos", "_n"), "more_spans")
     if spans.isEmpty():
         return None
-    return _places(docs, spans, 0).select(F.col("_i").alias("_id"), F.col("_h").alias("_hash"), F.col("_offset").alias("_start"), (F.col("_offset") + F.length(F.array_join("_after", ""))).alias("_end"))
+    return _places(docs, spans, 0).select(F.col("_i").alias("_id"), F.col("_h").alias("_hash"), F.col("_offset").alias("_start"), (F.col("_offset") + F.length("_after")).alias("_end"))
 
 
 def _copies(docs: DataFrame) -> DataFrame:
@@ -222,9 +231,10 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     prints = materialize(_fingerprints(docs, min_words), "fingerprints")
     several = prints.groupBy("_fp").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("_fp")
     near = materialize(prints.join(several, "_fp", "left_semi").distinct(), "repeated")  # rows that repeat id and text are one
+    discard(prints)
     left, reach, done, short = materialize(_runs(near, min_words), "runs"), REACH, [whole], []
     while not left.isEmpty():
-        moved = materialize(_extended(docs, left, reach, _sizes(min_words)[0]), "extended")
+        moved = _extended(docs, left, reach, _sizes(min_words)[0])
         long = F.col("_to") - F.col("_from") >= min_words
         done.append(moved.where(~F.col("_more") & long).select("_id", "_hash", "_start", "_end"))
         short.append(moved.where(~F.col("_more") & ~long).select("_id", "_hash", "_from", "_to"))
