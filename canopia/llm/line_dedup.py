@@ -12,9 +12,8 @@ from canopia.plans.shared import broadcast_if_small, discard, join_by_key, mater
 
 #: A repeated run counts from so many words on.
 MIN_WORDS = 50
-#: Words by which a run is extended on either side in the first round, more than there can be without a further fingerprint; each further round, for
-#: runs that are equal that far, takes GROW times as many.
-REACH, GROW = 48, 16
+#: Words by which a run is extended on either side: more than a repeated run can go on without a further fingerprint, which starts a run of its own.
+REACH = 48
 #: Words whose lengths are added up together, and neighbouring hashes whose least is taken together.
 BLOCK, EIGHT = 64, 8
 #: Rounds in which hashes that are no window's least are left out; what a last round would still drop is kept and does no harm.
@@ -153,7 +152,7 @@ def _places(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
 def _extended(docs: DataFrame, runs: DataFrame, reach: int, least: int) -> DataFrame:
     """The parts of ``runs``, and of up to ``reach`` words beside them, over which the words themselves are equal: ``least`` words or longer.
 
-    ``_start`` and ``_end`` are in characters; ``_more`` tells whether a part reaches as far as was looked.
+    ``_start`` and ``_end`` are in characters.
     """
     runs = runs.withColumn("_n", F.col("_to") - F.col("_from") + reach)
     ends = [("_id", "_hash", "_from"), ("_id0", "_hash0", "_from0")]
@@ -169,37 +168,39 @@ def _extended(docs: DataFrame, runs: DataFrame, reach: int, least: int) -> DataF
     a, first = F.col("_after_from"), -F.col("_left") - 1
     differ = lambda e: F.concat(F.array(first), F.filter(F.transform(e, lambda x, i: F.when(~x, i)), F.isnotnull), F.array(F.size(e)))
     cuts = F.when(a == F.col("_after_from0"), F.array(first, F.col("_m_from"))).otherwise(_let(_equal(words("_after_from"), words("_after_from0")), differ))
-    more = lambda lo, hi: ((lo == first + 1) & (F.col("_left") == reach)) | (hi == F.col("_n"))
     bounds = lambda c: F.filter(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, j: F.struct((x + 1).alias("lo"), F.get(c, j + 1).alias("hi"))), lambda s: s["hi"] - s["lo"] >= least)
     length = lambda w, n: F.length(F.array_join(F.slice(w, F.lit(1), n), ""))
 
     def parts(b: Column, w: Column, v: Column) -> Column:
         at = lambda x: F.when(x < 0, F.col("_offset_from") - length(v, F.greatest(-x, F.lit(0)))).otherwise(F.col("_offset_from") + length(w, F.greatest(x, F.lit(0))))
         return F.transform(b, lambda s: F.struct(
-            (F.col("_from") + s["lo"]).alias("_from"), (F.col("_from") + s["hi"]).alias("_to"), (F.col("_from0") + s["lo"]).alias("_from0"), at(s["lo"]).alias("_start"), at(s["hi"]).alias("_end"), more(s["lo"], s["hi"]).alias("_more")
+            (F.col("_from") + s["lo"]).alias("_from"), (F.col("_from") + s["hi"]).alias("_to"), at(s["lo"]).alias("_start"), at(s["hi"]).alias("_end")
         ))
 
     every = _let(_let(cuts, bounds), lambda b: _let(words("_after_from"), lambda w: _let(last_first("_before_from"), lambda v: parts(b, w, v))))
-    moved = materialize(runs.select("_id", "_hash", "_id0", "_hash0", F.inline(every)), "extended")
+    moved = materialize(runs.select("_id", "_hash", F.inline(every)), "extended")
     discard(places)
     return moved
 
 
-def _second_look(docs: DataFrame, near: DataFrame, short: DataFrame, min_words: int) -> DataFrame | None:
+def _second_look(docs: DataFrame, near: DataFrame, several: DataFrame, short: DataFrame, min_words: int) -> DataFrame | None:
     """Spans of runs that the earlier place looked at does not hold far enough, but another does.
 
     ``short`` has what was left: ``(_id, _hash, _from, _to)``. All places of those fingerprints are looked at, and each run of ``min_words`` words
-    that holds one is known by its digest; the later ones of a digest are the spans. So nothing is compared pair by pair.
+    that holds one is known by two hashes of 64 bits; the later ones of equal ones are the spans. So nothing is compared pair by pair. Fingerprints with
+    two places have no other to look at.
     """
     k, w = _sizes(min_words)
     part = F.explode(F.sequence(F.shiftright("_from", 6), F.shiftright(F.col("_to") - k, 6)))
     of = short.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_from", "_to", part.alias("_part")).distinct()
     inside = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")) & (F.shiftright("_at", 6) == F.col("_part")) & F.col("_at").between(F.col("_from"), F.col("_to") - k)
-    fps = materialize(near.join(of, inside, "left_semi").select("_fp").distinct(), "looked_at")
+    fps = materialize(near.join(of, inside, "left_semi").select("_fp").distinct().join(several.where("_times > 2"), "_fp", "left_semi"), "looked_at")
+    if fps.isEmpty():
+        return None
     per_doc = near.join(broadcast_if_small(fps), "_fp", "left_semi").groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.collect_set("_at").alias("_all"))
     d = docs.join(broadcast_if_small(materialize(per_doc, "looked_at_texts")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_id", "_hash", "_all", "_text")
     starts = lambda t: F.array_distinct(F.flatten(F.transform("_all", lambda p: F.sequence(F.greatest(p - w + 1, F.lit(0)), F.greatest(F.least(p, F.size(t) - min_words), F.greatest(p - w + 1, F.lit(0)))))))
-    digest = lambda t, p: F.struct(p.alias("_from"), F.unhex(F.md5(F.array_join(F.slice(t, p + 1, F.lit(min_words)), " "))).alias("_gram"))
+    digest = lambda t, p: F.struct(p.alias("_from"), F.struct(F.xxhash64(F.slice(t, p + 1, F.lit(min_words))).alias("a"), F.xxhash64(F.lit(1), F.slice(t, p + 1, F.lit(min_words))).alias("b")).alias("_gram"))
     runs = _let(_split(F.col("_text")), lambda t: F.transform(F.filter(starts(t), lambda p: p + min_words <= F.size(t)), lambda p: digest(t, p)))
     grams = materialize(d.select("_id", "_hash", F.inline(runs)).distinct(), "runs_of_least_length")
     several = materialize(grams.groupBy("_gram").agg(F.min(F.struct("_id", "_hash", "_from")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1"), "repeated_runs")
@@ -225,23 +226,20 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     """``(__id, __hash, __spans)``: the characters to delete from each text, as sorted ``(start, end)``."""
     copies = broadcast_if_small(_copies(docs))
     is_copy = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
-    # The words are counted after the join, as the condition needs both sides.
-    whole = docs.join(copies, is_copy).where(F.when(F.col("_h").isNotNull(), _words(F.col("_text"))) >= min_words).select("_id", "_hash", F.lit(0).alias("_start"), F.length("_text").alias("_end"))
+    # Words are counted after the join; the table in between keeps the condition from being moved to all texts.
+    whole = materialize(docs.join(copies, is_copy).select("_id", "_hash", F.lit(0).alias("_start"), F.length("_text").alias("_end"), _words(F.col("_text")).alias("_n")), "whole")
     docs = docs.join(copies, is_copy, "left_anti")
     prints = materialize(_fingerprints(docs, min_words), "fingerprints")
-    several = prints.groupBy("_fp").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("_fp")
-    near = materialize(prints.join(several, "_fp", "left_semi").distinct(), "repeated")  # rows that repeat id and text are one
+    several = materialize(prints.groupBy("_fp").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"), "several")
+    near = materialize(join_by_key(prints, several, "_fp", "_times").distinct(), "repeated")  # rows that repeat id and text are one
     discard(prints)
-    left, reach, done, short = materialize(_runs(near, min_words), "runs"), REACH, [whole], []
-    while not left.isEmpty():
-        moved = _extended(docs, left, reach, _sizes(min_words)[0])
+    runs = materialize(_runs(near, min_words), "runs")
+    done = [whole.where(F.col("_n") >= min_words).drop("_n")]
+    if not runs.isEmpty():
+        moved = _extended(docs, runs, max(REACH, min_words), _sizes(min_words)[0])
         long = F.col("_to") - F.col("_from") >= min_words
-        done.append(moved.where(~F.col("_more") & long).select("_id", "_hash", "_start", "_end"))
-        short.append(moved.where(~F.col("_more") & ~long).select("_id", "_hash", "_from", "_to"))
-        left, reach = moved.where("_more").drop("_start", "_end", "_more").distinct(), reach * GROW
-    if short and not (rest := materialize(reduce(DataFrame.unionByName, short), "short")).isEmpty():
-        more = _second_look(docs, near, rest, min_words)
-        done += [] if more is None else [more]
+        more = _second_look(docs, near, several, moved.where(~long).select("_id", "_hash", "_from", "_to"), min_words)
+        done += [moved.where(long).select("_id", "_hash", "_start", "_end"), *([] if more is None else [more])]
     found = reduce(DataFrame.unionByName, done).select("_id", "_hash", F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")).alias("_span"))
     per_doc = found.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("_span")).alias("__spans"))
     return materialize(per_doc.select(F.col("_id").alias("__id"), F.col("_hash").alias("__hash"), "__spans"), "spans")
@@ -253,9 +251,9 @@ def dedup_lines(
     """``docs`` with later repeated runs of ``min_words`` words or more deleted from the text, and counts of spans and words deleted.
 
     Of each fingerprint the first place (in order of id, then of the text's hash, then in the text) stays; a run at a later place
-    is extended both ways, word by word and without a limit, as far as its words equal those at and around the earlier place, and deleted if it is
-    long enough then. Every run of ``min_words`` words holds a fingerprint. Runs that are too short there are looked at again among all
-    places of their fingerprints, so every run of ``min_words`` words that stands earlier is deleted. All other columns stay; columns with the names of the counts are replaced. A null text stays null, an empty one empty; of equal texts under different ids the later become empty.
+    is extended both ways, word by word, as far as its words equal those at and around the earlier place, and deleted if it is long enough
+    then. Every run of ``min_words`` words holds a fingerprint, and a longer one a further one within reach. Runs that are too short
+    at that place are looked at again among all places of their fingerprints, so no run of ``min_words`` words that stands earlier is left. All other columns stay; columns with the names of the counts are replaced. A null text stays null, an empty one empty; of equal texts under different ids the later become empty.
     Rows that repeat both id and text are one document: they get equal results and never repeat each other. A null id is an
     id. An empty table gives an empty one.
     """
