@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from html.parser import HTMLParser
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopia.llm.labelled_pages import MARK, labelled_pages
+from canopia.llm.labelled_pages import HINTS, MARK, labelled_pages
 from canopia.plans.shared import bounded_batches
 
 #: Training: so many labelled pages, passes of gradient descent, step and penalty.
@@ -25,48 +26,89 @@ BLOCKS = frozenset(
 HIDDEN = frozenset("script style title template noscript svg math iframe object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 REGIONS = frozenset("article aside dialog footer form header main nav section".split())
+#: Hidden elements whose content the parser takes as raw text up to their end.
+RAW = frozenset({"script", "style"})
 NAME = re.compile(r"[A-Za-z]+")
+HIDDEN_END = re.compile(rf"</({'|'.join(sorted(HIDDEN))})\b", re.I)
+
+
+class Element:
+    """An open element, linked to the one around it: what its path has, without a copy of the path.
+
+    ``fresh`` are the features of this element that no element around it has; ``region``, ``inner`` and ``last`` are the innermost
+    region, the innermost names, and the innermost of both.
+    """
+
+    __slots__ = ("above", "tag", "words", "main", "fresh", "region", "inner", "last", "known")
+
+    def __init__(self, above: Element | None, tag: str, words: tuple[str, ...] = (), main: bool = False, fresh: tuple[str, ...] = ()) -> None:
+        self.above, self.tag, self.words, self.fresh = above, tag, words, fresh
+        self.main = main or (above is not None and above.main)
+        self.region = tag if tag in REGIONS else above.region if above else "none"
+        self.inner = words or (above.inner if above else ())
+        self.last: tuple[str, ...] = tuple(f"last {w}" for w in words) or ((f"last <{tag}>",) if tag in REGIONS else above.last if above else ("last <none>",))
+        #: The field that weighed ``fresh`` of this and all elements around it, and the sum.
+        self.known: tuple[object, float] | None = None
+
+    def own_features(self) -> set[str]:
+        own = self.tag if self.tag not in ("html", "body", "") else "none"
+        return {f"own {own}", f"region {self.region}", *(f"inner {w}" for w in self.inner), *self.last}
 
 
 class Block:
-    """A leaf block: the elements around it (outermost first, with the words of their class and id), text, and length of linked text."""
+    """A leaf block: the element around it, its text, and the length of linked text."""
 
     __slots__ = ("path", "text", "linked", "main")
 
-    def __init__(self, path: tuple, text: str, linked: int, main: bool) -> None:
-        self.path, self.text, self.linked, self.main = path, text, linked, main
+    def __init__(self, path: Element, text: str, linked: int) -> None:
+        self.path, self.text, self.linked, self.main = path, text, linked, path.main
 
 
 class _Reader(HTMLParser):
-    """Cuts a page into its leaf blocks; forgives unclosed and stray tags."""
+    """Cuts a page into its leaf blocks; forgives unclosed and stray tags, and declarations of any kind."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self._open: list[tuple[str, tuple[str, ...], bool]] = []
+        self._open = [Element(None, "")]
+        self._tags: Counter[str] = Counter()
+        self._names: Counter[str] = Counter()
         self._parts: list[str] = []
-        self._linked, self._link, self._hidden = 0, 0, ""
+        self._linked, self._link, self._hidden, self._depth = 0, 0, "", 0
+        #: End tags still to come: a hidden element without one hides nothing.
+        self._ends = Counter(x.lower() for x in HIDDEN_END.findall(html))
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections such as CDATA are comments in web pages."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
     def flush(self) -> None:
         text = " ".join("".join(self._parts).split())
         if text:
-            self.blocks.append(Block(tuple(x[:2] for x in self._open), text, self._linked, any(x[2] for x in self._open)))
+            self.blocks.append(Block(self._open[-1], text, self._linked))
         self._parts, self._linked = [], 0
 
     def _close(self, tag: str, among: frozenset[str] | None = None) -> None:
         """Close the innermost ``tag`` and all inside it, unless an element outside ``among`` stands between."""
-        for i in range(len(self._open) - 1, -1, -1):
-            if self._open[i][0] == tag:
+        if not self._tags[tag]:
+            return
+        for i in range(len(self._open) - 1, 0, -1):
+            if self._open[i].tag == tag:
+                for x in self._open[i:]:
+                    self._tags[x.tag] -= 1
+                    self._names.subtract(x.fresh)
                 del self._open[i:]
                 return
-            if among is not None and self._open[i][0] not in among:
+            if among is not None and self._open[i].tag not in among:
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self._hidden:
+            self._depth += tag == self._hidden
             return
         if tag in HIDDEN:
-            self._hidden = tag
+            if self._ends[tag] > 0 or tag in RAW:
+                self._hidden, self._depth = tag, 1
             return
         if tag == "br":
             self._parts.append(" ")
@@ -86,20 +128,29 @@ class _Reader(HTMLParser):
                     self._close(t, frozenset())
             if tag not in VOID:
                 given = dict(attrs) if attrs else {}
-                words = NAME.findall(f"{given.get('class') or ''} {given.get('id') or ''} {given.get('role') or ''}".lower())
-                self._open.append((tag, tuple(words), MARK in given))
+                words = tuple(NAME.findall(f"{given.get('class') or ''} {given.get('id') or ''} {given.get('role') or ''}".lower()))
+                names = {*(f"named {w}" for w in words), *((f"in {tag}",) if tag not in ("html", "body") else ())}
+                fresh = tuple(sorted(n for n in names if not self._names[n]))
+                self._names.update(fresh)
+                self._tags[tag] += 1
+                self._open.append(Element(self._open[-1], tag, words, MARK in given, fresh))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if tag in HIDDEN or (self._hidden and tag == self._hidden):
+            return
         self.handle_starttag(tag, attrs)
-        if tag in HIDDEN:
-            self._hidden = ""
-        elif tag in BLOCKS and tag not in VOID and self._open and self._open[-1][0] == tag:
-            self._open.pop()
+        if not self._hidden and tag in BLOCKS and tag not in VOID and self._open[-1].tag == tag:
+            self._close(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in HIDDEN:
+            self._ends[tag] -= 1
         if self._hidden:
             if tag == self._hidden:
-                self._hidden = ""
+                self._depth -= 1
+                # More openings than ends are left: the last end closes them all.
+                if not self._depth or not self._ends[tag]:
+                    self._hidden = ""
         elif tag == "a":
             self._link = 0
         elif tag in BLOCKS:
@@ -115,26 +166,24 @@ class _Reader(HTMLParser):
 
 
 def leaf_blocks(html: str | None) -> list[Block]:
-    """The leaf blocks of a page in order: character references decoded, white space inside a block one space, trimmed, none empty."""
-    reader = _Reader()
+    """The leaf blocks of a page in order: character references decoded, white space inside a block one space, trimmed, none empty.
+
+    No page is refused; the time grows with its length, however deep its elements are nested.
+    """
+    reader = _Reader(html or "")
     reader.feed(html or "")
     reader.close()
     reader.flush()
     return reader.blocks
 
 
-def path_features(path: tuple) -> list[str]:
+def path_features(path: Element) -> list[str]:
     """The elements around a block: all of them, the innermost region, the block's own element; and the words they are named by."""
-    tags = [t for t, _ in path if t not in ("html", "body")]
-    named = [w for _, words in path for w in words]
-    region = next((t for t in reversed(tags) if t in REGIONS), "none")
-    inner = next((words for _, words in reversed(path) if words), ())
-    # Of the regions and names, the innermost that anything is known by comes last and so decides what it is in.
-    last = next(((t, words) for t, words in reversed(path) if t in REGIONS or words), ("none", ()))
-    return sorted({
-        *(f"in {t}" for t in tags), f"own {tags[-1] if tags else 'none'}", f"region {region}", *(f"named {w}" for w in named), *(f"inner {w}" for w in inner),
-        *((f"last {w}" for w in last[1]) if last[1] else (f"last <{last[0]}>",)),
-    })
+    out, x = path.own_features(), path
+    while x is not None:
+        out.update(x.fresh)
+        x = x.above
+    return sorted(out)
 
 
 def text_features(b: Block, at: int, n: int) -> list[str]:
@@ -145,6 +194,8 @@ def text_features(b: Block, at: int, n: int) -> list[str]:
     out = [f"words {size}", "linked all" if share > 0.8 else "linked half" if share > 0.3 else "linked little"]
     if b.text[-1] in ".?!:":
         out.append("sentence")
+    if words < 60 and not HINTS.isdisjoint(NAME.findall(b.text.lower())):
+        out.append("hint")
     if "©" in b.text:
         out.append("copyright")
     if at == 0:
@@ -159,18 +210,25 @@ class Field:
 
     def __init__(self, weights: dict[str, float], change: np.ndarray) -> None:
         self.weights, self.change = weights, change.tolist()
-        self._paths: dict[tuple, float] = {}
+
+    def _around(self, path: Element) -> float:
+        """The weight of all that is around a block; each element is weighed once."""
+        get, way, x = self.weights.get, [], path
+        while x is not None and (x.known is None or x.known[0] is not self):
+            way.append(x)
+            x = x.above
+        total = x.known[1] if x is not None else get("bias", 0.0)
+        for x in reversed(way):
+            total += sum(get(f, 0.0) for f in x.fresh)
+            x.known = (self, total)
+        return total + sum(get(f, 0.0) for f in sorted(path.own_features()))
 
     def main_blocks(self, blocks: list[Block]) -> list[bool]:
         """The likeliest labelling of a page's blocks (Viterbi); of equal ones that with other at the later block."""
         get, n = self.weights.get, len(blocks)
         best, back = [0.0, 0.0], []
         for i, b in enumerate(blocks):
-            if b.path not in self._paths:
-                if len(self._paths) > 100_000:
-                    self._paths.clear()
-                self._paths[b.path] = get("bias", 0.0) + sum(get(f, 0.0) for f in path_features(b.path))
-            own = self._paths[b.path] + sum(get(f, 0.0) for f in text_features(b, i, n))
+            own = self._around(b.path) + sum(get(f, 0.0) for f in text_features(b, i, n))
             if i:
                 c = self.change
                 into = [[best[0] + c[0][k], best[1] + c[1][k]] for k in (0, 1)]

@@ -18,6 +18,8 @@ MAIN = [
     ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "main"), ("div", "post"), ("div", "entry"), ("div", "article"), ("div", "story"), ("div", "text"), ("section", ""), ("section", "content"),
     ("div", ""), ("td", ""),
 ]
+# Words that short pieces around an article are often about.
+HINTS = frozenset("cookie cookies consent privacy accept subscribe newsletter login register copyright rights reserved sponsored advertisement share comments reply".split())
 INSIDE = [x for x in ASIDE if x[0] not in ("nav", "header", "footer") and x[1] not in ("header", "topbar", "footer", "menu", "navbar")]
 
 
@@ -42,13 +44,16 @@ def _linked(r: random.Random, words: int) -> str:
 def _boilerplate(r: random.Random, tag: str, name: str) -> str:
     """A region that is not main text: links, short or long sentences, fields, remarks of readers."""
     attribute = f' {r.choice(["class", "id"])}="{r.choice(["", "site-", "page_", "top-"])}{name}{r.choice(["", "-box", "_wrap"])}"' if name else ""
+    if name and r.random() < 0.15:  # a name that nothing is known by: only what the region holds tells
+        tag, attribute = "div", f' class="{_word(r)}"'
+    hint = f" {r.choice(sorted(HINTS))}" if r.random() < 0.3 else ""
     kind = r.random()
     words = r.choice([1, 3, 6, 12, 25, 50])
     if tag in ("nav", "ul", "ol") or kind < 0.3:
         body = "".join(f"<li>{_linked(r, r.randint(1, 3)) if r.random() < 0.8 else _text(r, r.randint(1, 20), '')}</li>" for _ in range(r.randint(2, 8)))
         body = body if tag in ("ul", "ol") else f"<ul>{body}</ul>"
     elif kind < 0.55:
-        body = "&copy; " * (r.random() < 0.3) + _text(r, words, r.choice(["", "", "loud"]))
+        body = "&copy; " * (r.random() < 0.3) + _text(r, words, r.choice(["", "", "loud"])) + hint
     elif kind < 0.85 and name in ("comments", "comment", "replies", "related") and r.random() < 0.5:
         remark = lambda: f"<p>{_text(r, r.choice([2, 8, 25]), '')}</p>"
         body = "".join(r.choice(["<article>{}</article>", '<div class="comment-body">{}</div>', '<div class="content">{}</div>', "<li>{}</li>"]).format(remark()) for _ in range(r.randint(1, 4)))
@@ -57,7 +62,7 @@ def _boilerplate(r: random.Random, tag: str, name: str) -> str:
     elif kind < 0.85:
         body = "".join(f"<{t}>{_text(r, r.choice([2, 5, 12, 30]), '')}</{t}>" for t in (r.choice(["p", "p", "div", "h3", "h2"]) for _ in range(r.randint(1, 4))))
     else:
-        body = f"<label>{_text(r, 2, '')}</label><p>{_text(r, words, '')} {_linked(r, 2)}</p>"
+        body = f"<label>{_text(r, 2, '')}</label><p>{_text(r, words, '')}{hint} {_linked(r, 2)}</p>"
     return f"<{tag}{attribute}>{body}</{tag}>"
 
 
