@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopia.llm.words import Words, pieces
+from canopia.llm.words import Words, mixed, pieces
 from canopia.plans.shared import bounded_batches
 
 #: At most so many labelled documents are fitted and broadcast (their vectors: SAMPLE x RANK numbers).
 SAMPLE = 4096
-TERMS, RANK, NEIGHBOURS, POWER = 1024, 32, 15, 8
+SHAPES, WORDS, RANK, NEIGHBOURS, POWER = 1024, 4096, 32, 15, 8
+TERMS = SHAPES + WORDS
+#: The latent space of the words counts so much beside that of the shapes in a cosine.
+WORD_SHARE = 0.3
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 BATCH = 512
 #: Repeats of a word are looked for this far back.
@@ -26,7 +29,8 @@ _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 48, 65, 97, 97
 
 
 def terms(texts: list[str | None]) -> np.ndarray:
-    """``(texts, TERMS)`` counts of each text's terms: the shapes of its words, pairs of shapes, and words said again shortly before.
+    """``(texts, TERMS)`` counts of each text's terms, by hash: first SHAPES columns of shapes, pairs of shapes, and words said again shortly before,
+    then WORDS columns of the words themselves (A-Z lower-cased) and pairs of words.
 
     A shape is a word with each run of small letters, capitals or digits as one sign. Null and empty texts count nothing.
     """
@@ -44,47 +48,59 @@ def terms(texts: list[str | None]) -> np.ndarray:
         with np.errstate(over="ignore"):
             same = w.owner[1:] == w.owner[:-1]
             pair = (shape[:-1] * np.uint64(3) + shape[1:])[same]
+            words = mixed(word[:-1] * np.uint64(3) + word[1:])[same]
         found = [(w.owner, shape), (w.owner[1:][same], pair)]
         for back in range(1, min(BACK, len(word) - 1) + 1):
             again = np.flatnonzero((word[back:] == word[:-back]) & (w.owner[back:] == w.owner[:-back])) + back
             found.append((w.owner[again], np.full(len(again), back, np.uint64)))
-        at = np.concatenate([o.astype(np.int64) * TERMS + (h % np.uint64(TERMS)).astype(np.int64) for o, h in found])
+        column = [o.astype(np.int64) * TERMS + (h % np.uint64(SHAPES)).astype(np.int64) for o, h in found]
+        column += [o.astype(np.int64) * TERMS + SHAPES + (h % np.uint64(WORDS)).astype(np.int64) for o, h in ((w.owner, word), (w.owner[1:][same], words))]
+        at = np.concatenate(column)
         out[first : first + len(part)] += np.bincount(at, minlength=len(part) * TERMS).reshape(len(part), TERMS)
     return out
 
 
-def _leading(gram: np.ndarray) -> np.ndarray:
-    """The RANK leading axes of a Gram matrix by subspace iteration: the right singular vectors of what it comes from."""
-    q = np.random.default_rng(1).standard_normal((len(gram), RANK + 8))
-    for _ in range(12):
-        q = np.linalg.qr(gram @ q)[0]
-    values, turn = np.linalg.eigh(q.T @ gram @ q)
-    return q @ turn[:, np.argsort(-values, kind="stable")[:RANK]]
+def _leading(x: np.ndarray) -> np.ndarray:
+    """The RANK leading right singular vectors of a matrix, by subspace iteration."""
+    q = np.random.default_rng(1).standard_normal((x.shape[1], RANK + 8)).astype(x.dtype)
+    for _ in range(8):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    small = (x @ q).astype(np.float64)
+    values, turn = np.linalg.eigh(small.T @ small)
+    return q @ turn[:, np.argsort(-values, kind="stable")[:RANK]].astype(x.dtype)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 1e-12)
 
 
 class Model:
-    """The labelled vectors of a fitted classifier; small enough to be broadcast by its fixed sizes."""
+    """The labelled vectors of a fitted classifier; small enough to be broadcast by its fixed sizes.
+
+    Shapes and words have a latent space each, fitted on the labelled texts; a text's vector is its place in both.
+    """
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray) -> None:
-        self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
-        x = self._weighted(counts)
-        self.axes = _leading(x.T @ x)
-        self.vectors, self.labels = self._unit(x @ self.axes), labels.astype(np.float64)
+        self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
+        self.axes = [_leading(x) if len(x) else np.zeros((x.shape[1], RANK), np.float32) for x in self._weighted(counts)]
+        self.vectors, self.labels = self.latent(counts), labels.astype(np.float64)
         self.prior = float(labels.mean()) if len(labels) else 0.5
 
-    @staticmethod
-    def _unit(x: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, n, out=np.zeros_like(x), where=n > 1e-12)
+    def _weighted(self, counts: np.ndarray) -> list[np.ndarray]:
+        x = np.log1p(counts) * self.idf
+        return [_unit(x[:, :SHAPES]), _unit(x[:, SHAPES:])]
 
-    def _weighted(self, counts: np.ndarray) -> np.ndarray:
-        return self._unit(np.log1p(counts.astype(np.float64)) * self.idf)
+    def latent(self, counts: np.ndarray) -> np.ndarray:
+        """Unit vectors: the product of two is (1 - WORD_SHARE) x the cosine of the shapes + WORD_SHARE x that of the words."""
+        parts = [_unit((x @ axes).astype(np.float64)) for x, axes in zip(self._weighted(counts), self.axes, strict=True)]
+        return _unit(np.concatenate([np.sqrt(1 - WORD_SHARE) * parts[0], np.sqrt(WORD_SHARE) * parts[1]], 1))
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Votes of the NEIGHBOURS most similar labelled vectors, weighted by cosine to a power; without any, the share of label 1."""
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        cosine = self._unit(self._weighted(counts) @ self.axes) @ self.vectors.T
+        cosine = self.latent(counts) @ self.vectors.T
         k = min(NEIGHBOURS, cosine.shape[1])
         at = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.clip(np.take_along_axis(cosine, at, 1), 0, 1) ** POWER
@@ -115,11 +131,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             for i in range(0, len(b), BATCH):
                 p = b.iloc[i : i + BATCH]
-                yield pd.DataFrame({"id": p["_id"].astype(str), "label": p["_label"], "counts": [x.astype("<f4").tobytes() for x in terms(p["_text"].tolist())]})
-
-    # One short vector for each chosen row (repeated rows: the first), so at most sample x TERMS numbers reach the driver.
-    rows = texts.mapInPandas(count, "id string, label int, counts binary").dropDuplicates(["id"]).orderBy("id").collect()
-    counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), "<f4").reshape(len(rows), TERMS)
+                some = [(np.flatnonzero(x), x) for x in terms(p["_text"].tolist())]
+                pairs = [np.stack([at, np.minimum(x[at], 65535)], 1).astype("<u2").tobytes() for at, x in some]
+                yield pd.DataFrame({"id": p["_id"].astype(str), "label": p["_label"], "counts": pairs})
+
+    # The terms of each chosen row that occur, as pairs of two bytes each: at most sample x TERMS x 4 bytes reach the driver.
+    # Of different texts under one id the one with the least counts is taken.
+    each = texts.mapInPandas(count, "id string, label int, counts binary").groupBy("id").agg(F.min(F.struct("counts", "label")).alias("_row"))
+    rows = each.select("id", "_row.*").orderBy("id").collect()
+    counts = np.zeros((len(rows), TERMS), np.float32)
+    for i, r in enumerate(rows):
+        at, n = np.frombuffer(bytes(r["counts"]), "<u2").reshape(-1, 2).T
+        counts[i, at] = n
     return Model(counts, np.array([r["label"] for r in rows], np.int64))
 
 
@@ -149,6 +172,9 @@ def score_quality(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with the columns they came with."""
+    """The rows of ``docs`` that the classifier does not reject, with the columns they came with.
+
+    Texts without words (null, empty, blank) score the share of label 1 among the labelled, and go if that is below the threshold.
+    """
     scored = score_quality(docs, labels, id_col, text_col, names=("__held_out", "__score", "__predicted"))
     return scored.where("__predicted = 1").select(*docs.columns)
