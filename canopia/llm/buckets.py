@@ -79,3 +79,19 @@ def runs(label: np.ndarray) -> Iterator[tuple[int, int]]:
     hi = np.concatenate([edge, [len(label)]])
     several = hi - lo > 1
     return zip(lo[several].tolist(), hi[several].tolist(), strict=True)
+
+
+def forest(r: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """One edge for each member to the smallest member that these pairs connect it to."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[r], root[c])
+        new = root.copy()
+        np.minimum.at(new, r, low)
+        np.minimum.at(new, c, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    s = np.flatnonzero(root != np.arange(n))
+    return s, root[s]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,19 +11,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopia.llm.buckets import compare_buckets, runs
+from canopia.llm.buckets import compare_buckets, forest, runs
+from canopia.llm.words import mixed
 from canopia.operators.components import connected_components
-from canopia.plans.shared import bounded_batches, materialize
+from canopia.plans.shared import bounded_batches, broadcast_if_small, join_by_key, materialize
 
 #: Two fingerprints of 8 bytes with at most 3 different bits share at least 5 bytes in place.
 BYTES, MAX_BITS = 8, 3
-LEAST_SHARED = BYTES - MAX_BITS
-#: Of any 5 of 8 places, 3 lie in one half: the index has one list for each 3 places of a half.
-PLACES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
+#: Bytes of place that one list of the index is about.
+LISTED = 4
 BLOCK = 4096
 SMALL = 24
 
 
+def listed_places(n: int = BYTES, shared: int = BYTES - MAX_BITS, size: int = LISTED) -> list[tuple[int, ...]]:
+    """Sets of ``size`` places, so chosen that any ``shared`` of ``n`` places hold one of them: each pair with so many bytes in common shares a list."""
+    left, out = set(combinations(range(n), shared)), []
+    while left:
+        best = max(combinations(range(n), size), key=lambda c: (sum(set(c) <= set(x) for x in left), c))
+        out.append(best)
+        left = {x for x in left if not set(best) <= set(x)}
+    return out
+
+
+PLACES = listed_places()
+
+
 def fingerprint(text: str | None, ngram: int = 3, seed: int = 42) -> int:
     """The unsigned 64-bit SimHash of one text: each bit is 1 if set in over half the shingle hashes.
 
@@ -67,15 +80,29 @@ def linked(a: np.ndarray, b: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray
     return out
 
 
-def _links(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Links that connect what is connected in each bucket: never more than SMALL for each row."""
-    fp = batch["fp"].to_numpy().astype(np.int64).view(np.uint64)
-    label, side = batch["_bucket"].to_numpy(), batch["_side"].to_numpy()
-    found_a, found_b = [], []
-    large = []
-    for lo, hi in runs(label):
-        if hi - lo > SMALL:
-            large.append((lo, hi))
+def _connecting(fp: np.ndarray, label: np.ndarray, side: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows whose links connect what is connected in each bucket: never more than one link for each row."""
+
+    def _grown(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of one large bucket: grow each component, comparing its front with what is left."""
+        left, a, b, front = np.arange(len(x)), [], [], []
+        while len(left):
+            if not front:
+                front, left = [int(left[0])], left[1:]
+            i = front.pop()
+            ok = linked(np.broadcast_to(x[i], x[left].shape), x[left])
+            if own[i] >= 0:
+                ok &= own[left] != own[i]
+            new = left[ok]
+            if len(new):
+                a.append(np.full(len(new), i))
+                b.append(new)
+                front.extend(new.tolist())
+                left = left[~ok]
+        empty = np.zeros(0, np.int64)
+        return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
+
+    found_r, found_c, large = [], [], [(lo, hi) for lo, hi in runs(label) if hi - lo > SMALL]
     small = np.ones(len(fp), bool)
     for lo, hi in large:
         small[lo:hi] = False
@@ -89,50 +116,33 @@ def _links(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
             break
         i, j = i[same], j[same]
         ok = linked(fp[i], fp[j]) & ((side[i] < 0) | (side[i] != side[j]))
-        found_a.append(fp[i[ok]])
-        found_b.append(fp[j[ok]])
+        found_r.append(i[ok])
+        found_c.append(j[ok])
     for lo, hi in large:
-        a, b = _forest(fp[lo:hi], side[lo:hi])
-        found_a.append(a)
-        found_b.append(b)
-    if found_a:
-        a, b = np.concatenate(found_a).view(np.int64), np.concatenate(found_b).view(np.int64)
-        if len(a):
-            yield pd.DataFrame({"src": a, "dst": b})
-
-
-def _forest(fp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of one bucket's links: grow each component, comparing its front with what is left."""
-    left, a, b = np.arange(len(fp)), [], []
-    front: list[int] = []
-    while len(left):
-        if not front:
-            front, left = [int(left[0])], left[1:]
-        i = front.pop()
-        ok = linked(np.full(len(left), fp[i]), fp[left])
-        if side[i] >= 0:
-            ok &= side[left] != side[i]
-        new = left[ok]
-        if len(new):
-            a.append(np.full(len(new), fp[i]))
-            b.append(fp[new])
-            front.extend(new.tolist())
-            left = left[~ok]
-    empty = np.zeros(0, np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
+        a, b = _grown(fp[lo:hi], side[lo:hi])
+        found_r.append(a + lo)
+        found_c.append(b + lo)
+    if found_r:
+        r, c = forest(np.concatenate(found_r), np.concatenate(found_c), len(fp))
+        if len(r):
+            yield r, c
+
+
+def _links(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    fp = batch["fp"].to_numpy().astype(np.int64).view(np.uint64)
+    for r, c in _connecting(fp, batch["_bucket"].to_numpy(), batch["_side"].to_numpy(), linked):
+        yield pd.DataFrame({"src": fp[r].view(np.int64), "dst": fp[c].view(np.int64)})
 
 
 def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links ``(src, dst)`` that connect exactly the different fingerprints ``fp`` that Hamming distance <= 3 connects.
 
-    The inverted index lists a fingerprint under three bytes and their places; any linked pair shares a list.
-    Pairs of a list are tallied for all their positional bytes in blocks and never leave the task unless verified.
+    The inverted index lists a fingerprint under LISTED bytes and their places, for each of PLACES; any linked pair shares a list. With
+    2**32 lists for each set of places, a list is short until there are billions of fingerprints. Pairs of a list are tallied for all their
+    positional bytes in blocks and never leave the task unless verified.
     """
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
-    key = [
-        F.lit(k) * F.lit(1 << 24) + byte(p[0]) * F.lit(1 << 16) + byte(p[1]) * F.lit(1 << 8) + byte(p[2])
-        for k, p in enumerate(PLACES)
-    ]
+    key = [F.lit(k << 8 * LISTED) + sum((byte(q) * F.lit(1 << 8 * i) for i, q in enumerate(p)), F.lit(0)) for k, p in enumerate(PLACES)]
     index = fps.select("fp", F.explode(F.array(*[k.cast("long") for k in key])).alias("_key"))
     return compare_buckets(index, ["_key"], "fp", _links, "src long, dst long", block)
 
@@ -145,18 +155,104 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Exact copies share a fingerprint and are one node, so no group is ever expanded into its pairs.
     """
     marked = materialize(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", ngram).select("_id", "fp"), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("_id").alias("_least"))
+    nodes = marked.groupBy("fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_times"))
     groups = connected_components(fingerprint_links(nodes.select("fp"), block))
-    named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "_least", F.coalesce("component", "fp").alias("_root"))
+    named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "_least", "_times", F.coalesce("component", "fp").alias("_root"))
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    by_fp = named.join(least, "_root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    by_fp = materialize(named.join(least, "_root").select("fp", "component_id", "_times"), "groups")
+    return join_by_key(marked, by_fp, "fp", "_times").select(F.col("_id").alias(id_col), "fp", "component_id")
+
+
+# Wide fingerprints: near-duplicates by similarity instead of a few bits.
 
+#: 64-bit words of a wide fingerprint, and words of a shingle.
+WIDE, NGRAM, SIMILARITY = 8, 5, 0.8
+#: Two texts of just that similarity share a byte in place with probability 0.27, 17 of 64: with fewer than 6 a pair in 10,000 is left out.
+LEAST_WIDE = 6
+_MIX = [np.uint64(x) for x in np.random.default_rng(17).integers(1, 1 << 63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)]
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its group; all columns stay. Of repeated rows with that id one stays; rows with null ids stay."""
-    groups = simhash_groups(docs, id_col, text_col, ngram)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    # Both steps share one shuffle by id.
-    single = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return single.unionByName(docs.where(F.col(id_col).isNull()))
+
+def wide_fingerprint(text: str | None, ngram: int = NGRAM) -> bytes:
+    """The SimHash of one text in WIDE words of 64 bits, each from an own mix of the hashes of its different shingles.
+
+    Words as in :func:`fingerprint`; null, empty and blank texts have zeros.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(8 * WIDE)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(ngram)), strict=False)) if len(words) >= ngram else [b" ".join(words)]
+    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+    ones = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(h), 1 << 13):  # bounds the memory of very long texts
+        part = np.stack([mixed(h[i : i + (1 << 13)] * m) for m in _MIX], 1)
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(h), bitorder="little").tobytes()
+
+
+def bits_of(similarity: float) -> int:
+    """Differing bits of two wide fingerprints whose texts share this part of their shingles, as expected: angles follow the cosine 2 s / (1 + s)."""
+    return round(64 * WIDE * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def _wide_links(most: int):
+    def linked_wide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a ^ b
+        keep = np.flatnonzero((x == 0).sum(1) >= LEAST_WIDE)
+        keep = keep[np.bitwise_count(x[keep].view(np.uint64)).sum(1, dtype=np.int64) <= most]
+        out = np.zeros(len(x), bool)
+        out[keep] = True
+        return out
+
+    def run(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        fp = np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(-1, 8 * WIDE)
+        for r, c in _connecting(fp, batch["_bucket"].to_numpy(), batch["_side"].to_numpy(), linked_wide):
+            yield pd.DataFrame({"src": batch["fp"].to_numpy()[r], "dst": batch["fp"].to_numpy()[c]})
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """``(_id, _hash, _first)`` of the different pairs of id and text: whether it is the first, by id and then text, of its group of similar texts.
+
+    Groups are what links connect; two texts link if their wide fingerprints differ in no more bits than those of texts with that part of
+    ``ngram``-word shingles in common do on average. The inverted index lists a fingerprint under each two neighbouring bytes, the last with the first;
+    two texts of just that similarity share one of the lists with probability 0.99. A null id is in no group.
+    """
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, ngram) for t in texts], dtype=object)
+
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), of(F.col(text_col)).alias("fp"))
+    marked = materialize(source, "wide_fingerprints")
+    rows = marked.distinct()
+    nodes = materialize(rows.groupBy("fp").agg(F.min(F.struct("_id", "_hash")).alias("_least"), F.count(F.lit(1)).alias("_times")), "wide_nodes")
+    byte = lambda i: F.conv(F.hex(F.substring("fp", i % (8 * WIDE) + 1, 1)), 16, 10).cast("int")
+    keys = F.array(*[F.lit(i << 16) + byte(i) * 256 + byte(i + 1) for i in range(8 * WIDE)])
+    index = nodes.select("fp", F.explode(keys).alias("_key"))
+    links = compare_buckets(index, ["_key"], "fp", _wide_links(bits_of(similarity)), "src binary, dst binary", block)
+    groups = connected_components(links)
+    named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "_least", "_times", F.coalesce("component", "fp").alias("_root"))
+    least = named.groupBy("_root").agg(F.min("_least").alias("_first"))
+    by_fp = materialize(named.join(least, "_root").select("fp", "_first", "_times"), "wide_groups")
+    first = (F.col("_id") == F.col("_first._id")) & F.col("_hash").eqNullSafe(F.col("_first._hash"))
+    return join_by_key(rows, by_fp, "fp", "_times").select("_id", "_hash", first.alias("_first"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` of each group of similar texts, that with the smallest id; all columns stay, and rows with null ids.
+
+    A document is its id and its text: of rows that repeat both one stays, and different texts under one id are told apart. See :func:`similar_groups`.
+    The texts are not shuffled as long as what is to go can be broadcast.
+    """
+    groups = materialize(similar_groups(docs, id_col, text_col, ngram, similarity), "similar")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    gone = broadcast_if_small(materialize(groups.where(~F.col("_first")).select("_id", "_hash"), "gone"))
+    kept = docs.join(gone, same, "left_anti")
+    several = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    several = materialize(several, "rows_again")
+    if several.isEmpty():
+        return kept
+    several = broadcast_if_small(several)
+    return kept.join(several, same, "left_anti").unionByName(kept.join(several, same, "left_semi").dropDuplicates([id_col, text_col]))
