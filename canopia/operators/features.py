@@ -21,7 +21,7 @@ def largest_radius_ratio(branches: DataFrame, n: int = 10) -> DataFrame:
 
 
 def neighbour_gap(branches: DataFrame, reach: float = 0.5) -> DataFrame:
-    """Mean over the first-order branches of the mean height difference to the others within ``reach`` (``reach`` if there is none).
+    """Mean height difference of all pairs of first-order branches within ``reach``; a branch without another there counts once, with ``reach``.
 
     A range frame over the heights: sums and counts below and above each branch, without pairs.
     """
@@ -34,7 +34,7 @@ def neighbour_gap(branches: DataFrame, reach: float = 0.5) -> DataFrame:
     )
     others = F.col("_nb") + F.col("_na") - F.col("_same") - 1
     total = (F.col("_nb") * h - F.col("_sb")) + (F.col("_sa") - F.col("_na") * h)
-    return b.groupBy("tree_id").agg(F.avg(F.when(others > 0, total / others).otherwise(F.lit(reach))).alias("value"))
+    return b.groupBy("tree_id").agg((F.sum(F.when(others > 0, total).otherwise(F.lit(reach))) / F.sum(F.greatest(others, F.lit(1)))).alias("value"))
 
 
 def height_clusters(branches: DataFrame, width: float = 0.4) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopia.plans import crown_queries, feature_queries, more_queries, site_queries, space_queries, tree_queries
+from canopia.plans import crown_queries, distribution_queries, feature_queries, more_queries, site_queries, space_queries, tree_queries
 
-MODULES = [crown_queries, feature_queries, more_queries, site_queries, space_queries, tree_queries]
+MODULES = [crown_queries, distribution_queries, feature_queries, more_queries, site_queries, space_queries, tree_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -151,14 +151,6 @@ def fea9_azimuth_against_uniform(spark, sf_dir):
     return rounded(dense.groupBy("tree_id").agg(F.avg(diff).alias("mean_diff"), F.max(diff).alias("max_diff")))
 
 
-@query(f""", f AS (SELECT tree_id, CAST(branch_order AS BIGINT) AS bin, sum({V}) AS value FROM cylinder GROUP BY ALL), w AS (SELECT *, max(bin) OVER (PARTITION BY tree_id) + 1 AS n, value / sum(value) OVER (PARTITION BY tree_id) AS share FROM f),
-i AS (SELECT a AS low, b AS high FROM (SELECT unnest(range(0, 5)) AS a) x, (SELECT unnest(range(1, 6)) AS b) y WHERE b > a)
-SELECT tree_id, low, high, round(sum(share), 4) + 0.0 AS value FROM w, i WHERE floor(bin * 5.0 / n) >= low AND floor(bin * 5.0 / n) < high GROUP BY ALL""", "cylinder")
-def fea5_order_interval_sums(spark, sf_dir):
-    o = tables.cylinders(spark, sf_dir).groupBy("tree_id", F.col("branch_order").cast("long").alias("bin")).agg(F.sum(tree.volume()).alias("value"))
-    return rounded(features.interval_sums(o))
-
-
 @query()
 def fea1b_height_clusters(spark, sf_dir):
     """Tested against the walk over the heights."""

@@ -44,17 +44,26 @@ def fea1c_largest_radius_ratio(spark, sf_dir):
     return rounded(features.largest_radius_ratio(_branches(spark, sf_dir)))
 
 
-@query(BRANCHES + f", t AS (SELECT tree_id, sum({V}) AS volume, sum(length) AS total FROM cylinder GROUP BY tree_id) SELECT tree_id, round(avg(br.length) / max(t.volume), 6) + 0.0 AS value FROM br JOIN t USING (tree_id) WHERE branch_order = 1 GROUP BY tree_id", "cylinder")
+DBH = """, along AS (SELECT tree_id, cyl, radius, sum(length) OVER (PARTITION BY tree_id ORDER BY cyl) AS so_far FROM cylinder), dbh AS (SELECT tree_id, 200 * min_by(radius, cyl) FILTER (WHERE so_far >= 1.3) AS dbh FROM along GROUP BY tree_id)"""
+
+
+def _dbh(spark, sf_dir):
+    return tree.breast_diameter(tables.cylinders(spark, sf_dir))
+
+
+@query(BRANCHES + DBH + " SELECT tree_id, round(avg(br.length) / nullif(max(dbh), 0), 6) + 0.0 AS value FROM br JOIN dbh USING (tree_id) WHERE branch_order = 1 GROUP BY tree_id", "cylinder")
 def fea1d_branch_length_ratio(spark, sf_dir):
-    t = tree.totals(tables.cylinders(spark, sf_dir)).select("tree_id", "total_volume")
+    """Mean length of the first-order branches over the diameter at breast height."""
     b = _branches(spark, sf_dir).where("branch_order = 1").groupBy("tree_id").agg(F.avg("length").alias("_l"))
-    return rounded(b.join(t, "tree_id").select("tree_id", (F.col("_l") / F.col("total_volume")).alias("value")), 6)
+    return rounded(b.join(_dbh(spark, sf_dir), "tree_id").select("tree_id", (F.col("_l") / F.nullif(F.col("dbh_cm"), F.lit(0.0))).alias("value")), 6)
 
 
-@query(BRANCHES + """, o AS (SELECT * FROM br WHERE branch_order = 1), g AS (SELECT a.tree_id, a.branch, avg(abs(a.height - b.height)) AS gap FROM o a JOIN o b ON b.tree_id = a.tree_id AND b.branch <> a.branch AND abs(a.height - b.height) <= 0.5 GROUP BY ALL)
-SELECT o.tree_id, round(avg(coalesce(gap, 0.5)), 4) + 0.0 AS value FROM o LEFT JOIN g ON g.branch = o.branch GROUP BY o.tree_id""", "cylinder")
+@query(BRANCHES + DBH + """, o AS (SELECT * FROM br WHERE branch_order = 1), g AS (SELECT a.tree_id, a.branch, abs(a.height - b.height) AS gap FROM o a JOIN o b ON b.tree_id = a.tree_id AND b.branch <> a.branch AND abs(a.height - b.height) <= 0.5)
+SELECT o.tree_id, round(avg(coalesce(gap, 0.5)) / nullif(max(dbh), 0), 4) + 0.0 AS value FROM o JOIN dbh USING (tree_id) LEFT JOIN g ON g.branch = o.branch GROUP BY o.tree_id""", "cylinder")
 def fea1e_neighbour_gap(spark, sf_dir):
-    return rounded(features.neighbour_gap(_branches(spark, sf_dir)))
+    """Mean height difference of first-order branches up to 0.5 m apart (0.5 for one without such), over the diameter at breast height."""
+    gap = features.neighbour_gap(_branches(spark, sf_dir)).join(_dbh(spark, sf_dir), "tree_id")
+    return rounded(gap.select("tree_id", (F.col("value") / F.nullif(F.col("dbh_cm"), F.lit(0.0))).alias("value")))
 
 
 @query(""", s AS (SELECT tree_id, least(CAST(floor((atan2(sy, sx) + 3.141592653589793) / (2 * 3.141592653589793) * 8) AS BIGINT), 7) AS s, branch_order, sz - min(sz) OVER (PARTITION BY tree_id) AS h FROM cylinder),
