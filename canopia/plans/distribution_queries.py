@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from canopia.operators import distributions as dist
 from canopia.operators import tree
-from canopia.plans.oracle import with_tables
-from canopia.plans.tree_queries import A, V, rounded
+from canopia.plans.oracle import off_ties, with_tables
+from canopia.plans.tree_queries import A, V
+from canopia.plans.tree_queries import rounded as rounded_to
 from canopia.sources import tables
 
 QUERIES: dict = {}
@@ -74,12 +75,16 @@ SELECT tree_id, dist, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high,
 def query(sql: str):
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLE[f.__name__] = with_tables(sql, "cylinder")
+        ORACLE[f.__name__] = with_tables(off_ties(sql), "cylinder")
         return f
 
     return add
 
 
+def rounded(df, digits: int = 4):
+    return rounded_to(df, digits, off_ties=True)
+
+
 def _cylinders(spark, sf_dir):
     return dist.cylinder_distributions(tables.cylinders(spark, sf_dir))
 

@@ -59,11 +59,11 @@ def fea1d_branch_length_ratio(spark, sf_dir):
 
 
 @query(BRANCHES + DBH + """, o AS (SELECT * FROM br WHERE branch_order = 1), g AS (SELECT a.tree_id, a.branch, abs(a.height - b.height) AS gap FROM o a JOIN o b ON b.tree_id = a.tree_id AND b.branch <> a.branch AND abs(a.height - b.height) <= 0.5)
-SELECT o.tree_id, round(avg(coalesce(gap, 0.5)) / nullif(max(dbh), 0), 4) + 0.0 AS value FROM o JOIN dbh USING (tree_id) LEFT JOIN g ON g.branch = o.branch GROUP BY o.tree_id""", "cylinder")
+SELECT o.tree_id, round(avg(coalesce(gap, 0.5)) / nullif(max(dbh), 0) + CAST(1.7e-06 AS DOUBLE), 4) + 0.0 AS value FROM o JOIN dbh USING (tree_id) LEFT JOIN g ON g.branch = o.branch GROUP BY o.tree_id""", "cylinder")
 def fea1e_neighbour_gap(spark, sf_dir):
     """Mean height difference of first-order branches up to 0.5 m apart (0.5 for one without such), over the diameter at breast height."""
     gap = features.neighbour_gap(_branches(spark, sf_dir)).join(_dbh(spark, sf_dir), "tree_id")
-    return rounded(gap.select("tree_id", (F.col("value") / F.nullif(F.col("dbh_cm"), F.lit(0.0))).alias("value")))
+    return rounded(gap.select("tree_id", (F.col("value") / F.nullif(F.col("dbh_cm"), F.lit(0.0))).alias("value")), off_ties=True)
 
 
 @query(""", s AS (SELECT tree_id, least(CAST(floor((atan2(sy, sx) + 3.141592653589793) / (2 * 3.141592653589793) * 8) AS BIGINT), 7) AS s, branch_order, sz - min(sz) OVER (PARTITION BY tree_id) AS h FROM cylinder),

@@ -33,3 +33,10 @@ def with_tables(query: str, *names: str, recursive: bool = False) -> str:
     for n in names:
         wanted += [m for m in [*_NEEDS.get(n, []), n] if m not in wanted]
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(_TEXT[n] for n in wanted) + "\n" + query.strip()
+
+
+def off_ties(query: str) -> str:
+    """``query`` with every ``round(x, n) + 0.0`` of a result moved off the middle between two results first, as the Spark side does."""
+    for n in (3, 4, 6):
+        query = query.replace(f", {n}) + 0.0", f" + CAST({1.7 * 10.0 ** -(n + 2)!r} AS DOUBLE), {n}) + 0.0")
+    return query

@@ -27,10 +27,11 @@ def query(sql: str | None = None, *names: str, recursive: bool = False):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles rounded, integers as long, so both engines give the same values."""
+def rounded(df: DataFrame, digits: int = 4, off_ties: bool = False) -> DataFrame:
+    """Doubles rounded, integers as long, so both engines give the same values; with ``off_ties`` moved off the middle between two results first."""
     kinds = dict(df.dtypes)
-    return df.select(*[clean(c, digits).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c) for c in df.columns])
+    shift = F.lit(1.7 * 10.0 ** -(digits + 2) if off_ties else 0.0)
+    return df.select(*[clean(F.col(c) + shift if off_ties else c, digits).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c) for c in df.columns])
 
 
 @query(f"""SELECT tree_id, round(sum({V}), 4) + 0.0 AS total_volume, round(sum(CASE WHEN branch_order = 0 THEN {V} ELSE 0 END), 4) + 0.0 AS trunk_volume,
