@@ -29,3 +29,13 @@ def seconds_of_day(clock: Column) -> Column:
 
 def minutes_seconds(seconds: Column) -> tuple[Column, Column]:
     return F.floor(seconds / 60).cast("long"), seconds - F.floor(seconds / 60) * 60
+
+
+def without_suffix(file: Column, suffix: str | None = None) -> Column:
+    """A name without ``suffix``, or without its last ``.ending`` if none is given; other names stay."""
+    return F.regexp_replace(file, r"\.[^./]*$", "") if suffix is None else F.when(F.endswith(file, F.lit(suffix)), F.substr(file, F.lit(1), F.length(file) - len(suffix))).otherwise(file)
+
+
+def with_suffix(file: Column, suffix: str) -> Column:
+    """A name that ends in ``suffix``, once."""
+    return F.when(F.endswith(file, F.lit(suffix)), file).otherwise(F.concat(file, F.lit(suffix)))

@@ -20,3 +20,14 @@ def by_magnitude(x: Column) -> Column:
     """Fewer decimals for larger numbers: none over 100, one over 10, two over 1, else three."""
     a = F.abs(x)
     return F.when(a > 100, clean(x, 0)).when(a > 10, clean(x, 1)).when(a > 1, clean(x, 2)).otherwise(clean(x, 3))
+
+
+def axis_end(x: Column, step: float, up: bool = True) -> Column:
+    """The end of a plot's axis: what is over the last multiple of ``step`` is added once more, or taken away."""
+    over = F.pmod(x, F.lit(step))
+    return x + over if up else x - over
+
+
+def metres(x: Column, extent: Column, factor: float = 1000.0) -> Column:
+    """Coordinates in metres: a cloud higher than ``factor`` is taken to be in thousandths."""
+    return F.when(extent > factor, x / factor).otherwise(x)

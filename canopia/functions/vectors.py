@@ -76,3 +76,24 @@ def rotation_matrix(axis: Vector, angle: Column) -> list[Vector]:
         [y * x * k + z * s, y * y * k + c, y * z * k - x * s],
         [z * x * k - y * s, z * y * k + x * s, z * z * k + c],
     ]
+
+
+def line_foot(q: Vector, start: Vector, axis: Vector) -> tuple[Column, Vector, Column, Vector]:
+    """Distance of a point from a line, the vector at right angles from the line to it, its height along the line, and the foot."""
+    v = minus(q, start)
+    h = dot(v, axis)
+    away = minus(v, scaled(axis, h))
+    return norm(away), away, h, [s + a * h for s, a in zip(start, axis, strict=True)]
+
+
+def eigenvalues(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> tuple[Column, Column, Column]:
+    """Eigenvalues of a symmetric 3 x 3 matrix, the largest first, by the trigonometric form of the cubic's roots."""
+    off = xy * xy + xz * xz + yz * yz
+    mean = (xx + yy + zz) / 3
+    p = F.sqrt(((xx - mean) * (xx - mean) + (yy - mean) * (yy - mean) + (zz - mean) * (zz - mean) + off * 2) / 6)
+    a, b, c = [F.coalesce((v - mean) / F.nullif(p, F.lit(0.0)), F.lit(0.0)) for v in (xx, yy, zz)]
+    d, e, f = [F.coalesce(v / F.nullif(p, F.lit(0.0)), F.lit(0.0)) for v in (xy, xz, yz)]
+    half = (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2
+    angle = F.acos(F.least(F.greatest(half, F.lit(-1.0)), F.lit(1.0))) / 3
+    first, last = mean + p * 2 * F.cos(angle), mean + p * 2 * F.cos(angle + 2.0943951023931953)
+    return first, mean * 3 - first - last, last

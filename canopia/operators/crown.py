@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopia.functions.vectors import orthonormal, vector
+from canopia.operators.graph import ancestors
+from canopia.plans.shared import materialize
+
 
 def sector(x: Column, y: Column, n: int) -> Column:
     """Number (from 0) of the sector of ``n`` around the origin."""
@@ -94,3 +98,62 @@ def until_blow_up(layers: DataFrame, factor: float = 1.25) -> DataFrame:
     up = Window.partitionBy("tree_id").orderBy("layer")
     big = F.coalesce(F.col("diameter") >= F.lag("diameter", 1).over(up) * factor, F.lit(False)) | F.coalesce(F.col("diameter") >= F.lag("diameter", 2).over(up) * factor, F.lit(False))
     return layers.withColumn("_b", big.cast("int")).withColumn("_b", F.max("_b").over(up.rowsBetween(Window.unboundedPreceding, 0))).where("_b = 0").drop("_b")
+
+
+def densest_place(cells: DataFrame) -> DataFrame:
+    """``tree_id, cx, cy, mean``: the cell with the highest smoothed count, ties by place."""
+    best = F.max(F.struct(F.round("mean", 9).alias("mean"), (-F.col("cx")).alias("x"), (-F.col("cy")).alias("y")))
+    return smoothed(cells).groupBy("tree_id").agg(best.alias("_b")).select("tree_id", (-F.col("_b.x")).alias("cx"), (-F.col("_b.y")).alias("cy"), F.col("_b.mean").alias("mean"))
+
+
+def layer_diameters(points: DataFrame, layers: int = 10, sectors: int = 12) -> DataFrame:
+    """``tree_id, layer, least, mean, most``: of the widths across the mean axis from a sector's farthest point to that of the sector opposite."""
+    m = points.groupBy("tree_id").agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"), F.min("z").alias("_z0"), F.max("z").alias("_z1"))
+    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    layer = F.least(F.floor((F.col("z") - F.col("_z0")) / F.nullif(F.col("_z1") - F.col("_z0"), F.lit(0.0)) * layers), F.lit(layers - 1)).cast("long")
+    s = points.join(m, "tree_id").groupBy("tree_id", layer.alias("layer"), sector(dx, dy, sectors).alias("s")).agg(F.max(F.sqrt(dx * dx + dy * dy)).alias("_r"))
+    half = sectors // 2
+    across = s.groupBy("tree_id", "layer", (F.col("s") % half).alias("_d")).agg(F.sum("_r").alias("_w"), F.count(F.lit(1)).alias("_n")).where("_n = 2")
+    return across.groupBy("tree_id", "layer").agg(F.min("_w").alias("least"), F.avg("_w").alias("mean"), F.max("_w").alias("most"))
+
+
+def surface_points(cylinders: DataFrame) -> DataFrame:
+    """``tree_id, x, y, z``, different ones only: 12 points around each of 4 levels of a trunk cylinder, 4 around the middle of any other, all starts and tips."""
+    a, b = orthonormal(vector("ax", "ay", "az"))
+    trunk = F.col("branch_order") == 0
+    around, levels = F.when(trunk, 12).otherwise(4), F.when(trunk, 4).otherwise(1)
+    k = F.explode(F.sequence(F.lit(0), around * levels - 1))
+    c = cylinders.withColumn("_a", around).withColumn("_k", k)
+    angle = (F.col("_k") % F.col("_a")) * (2 * math.pi) / F.col("_a")
+    along = F.when(trunk, (F.floor(F.col("_k") / F.col("_a")) + 1) / 4).otherwise(0.5) * F.col("length")
+    at = [F.col(f"s{n}") + F.col(f"a{n}") * along + F.col("radius") * (F.cos(angle) * p + F.sin(angle) * q) for n, p, q in zip("xyz", a, b, strict=True)]
+    skin = c.select("tree_id", *[x.alias(n) for n, x in zip("xyz", at, strict=True)])
+    starts = cylinders.select("tree_id", *[F.col(f"s{n}").alias(n) for n in "xyz"])
+    tips = cylinders.select("tree_id", *[(F.col(f"s{n}") + F.col(f"a{n}") * F.col("length")).alias(n) for n in "xyz"])
+    return skin.unionByName(starts).unionByName(tips).distinct()
+
+
+def crown_base(cylinders: DataFrame, dbh: DataFrame) -> DataFrame:
+    """``tree_id, crown_base``: lowest end, above the trunk's start, of the first major branch and all branches that grow from it.
+
+    Major is a first-order branch thicker than 0.05 m or a twentieth of the breast diameter, whichever is less, that reaches further out for the
+    diameter than the median of its order, or than 10; the lowest such counts, without any the lowest of the order.
+    """
+    d = F.col("dbh_cm") / 100
+    ends = cylinders.groupBy("tree_id", "branch", "branch_order").agg(
+        F.min_by(F.struct("sx", "sy", "sz", "radius", "parent"), "position").alias("_b"),
+        F.max_by(F.struct((F.col("sx") + F.col("length") * F.col("ax")).alias("x"), (F.col("sy") + F.col("length") * F.col("ay")).alias("y")), "position").alias("_t"),
+        F.min(F.least("sz", F.col("sz") + F.col("length") * F.col("az"))).alias("_low"),
+    )
+    first = ends.where("branch_order = 1").join(dbh, "tree_id")
+    x, y = F.col("_t.x") - F.col("_b.sx"), F.col("_t.y") - F.col("_b.sy")
+    first = first.withColumn("_reach", F.sqrt(x * x + y * y) / d * 2)
+    middle = first.groupBy("tree_id").agg(F.least(F.lit(10.0), F.median("_reach")).alias("_middle"))
+    first = first.join(middle, "tree_id").withColumn("_small", ~((F.col("_b.radius") * 2 > F.least(F.lit(0.05), d * 0.05)) & (F.col("_reach") > F.col("_middle"))))
+    major = first.groupBy("tree_id").agg(F.min(F.struct(F.coalesce("_small", F.lit(True)).alias("s"), F.col("_b.sz").alias("z"), "branch")).alias("_m")).select("tree_id", F.col("_m.branch").alias("ancestor"))
+    above = cylinders.select("tree_id", F.col("cyl").alias("_cyl"), F.col("branch").alias("parent"))
+    nodes = materialize(ends.select("tree_id", "branch", F.col("_b.parent").alias("_cyl"), "_low").join(above, ["tree_id", "_cyl"], "left").drop("_cyl"), "branches")
+    below = ancestors(nodes.select("tree_id", "branch", "parent"), ["tree_id", "branch"]).join(major, ["tree_id", "ancestor"]).select("tree_id", "branch")
+    ground = cylinders.groupBy("tree_id").agg(F.min_by("sz", "cyl").alias("_ground"))
+    low = nodes.join(below, ["tree_id", "branch"], "left_semi").groupBy("tree_id").agg(F.min("_low").alias("_low"))
+    return low.join(ground, "tree_id").select("tree_id", (F.col("_low") - F.col("_ground")).alias("crown_base"))

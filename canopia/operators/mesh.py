@@ -77,3 +77,12 @@ def leaf_density(blocks: DataFrame, low: float = 0.95, high: float = 0.7) -> Dat
     b = blocks.withColumn("_w", weight)
     total = b.groupBy("tree_id").agg(F.sum("_w").alias("_t"))
     return b.join(total, "tree_id").withColumn("density", F.col("_w") / F.nullif(F.col("_t"), F.lit(0.0))).drop("_w", "_t")
+
+
+def cylinder_grid(cylinders: DataFrame, steps: int = 100) -> DataFrame:
+    """``tree_id, cyl, i, j, x, y, z``: ``steps`` places along each cylinder by as many around it, both ends and the full turn included."""
+    a, b = orthonormal(vector("ax", "ay", "az"))
+    c = cylinders.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    along, angle = F.col("i") / (steps - 1) * F.col("length"), F.col("j") / (steps - 1) * (2 * math.pi)
+    at = [F.col(f"s{n}") + F.col(f"a{n}") * along + F.col("radius") * (F.sin(angle) * p + F.cos(angle) * q) for n, p, q in zip("xyz", a, b, strict=True)]
+    return c.select("tree_id", "cyl", "i", "j", *[x.alias(n) for n, x in zip("xyz", at, strict=True)])

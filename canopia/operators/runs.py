@@ -37,3 +37,8 @@ def runs_of_prefix(trees: DataFrame, files: DataFrame, exact: bool = True) -> Da
         return trees.join(f, "tree")
     size = F.sequence(F.lit(1), F.length("file"))
     return trees.join(files.withColumn("tree", F.explode(F.transform(size, lambda n: F.substring(F.col("file"), F.lit(1), n)))), "tree")
+
+
+def not_done(work: DataFrame, done: DataFrame, key: str = "file") -> DataFrame:
+    """What is still to do: rows whose key no finished item has."""
+    return work.join(done.select(key), key, "left_anti")

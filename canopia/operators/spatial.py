@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopia.functions.vectors import cross, dot, eigenvalues, norm
 from canopia.plans.shared import discard, materialize
 
 
@@ -109,3 +110,91 @@ def cover_neighbours(points: DataFrame, members: DataFrame, rcov: float) -> Data
     ball = radius_pairs(centres, points, rcov).select("tree_id", F.col("pid_a").alias("a"), F.col("pid_b").alias("pid"))
     one = ball.join(members.select("tree_id", "pid", F.col("centre").alias("b")), ["tree_id", "pid"]).where("a <> b").select("tree_id", "a", "b")
     return one.unionByName(one.select("tree_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def box_neighbourhood(points: DataFrame, corners: DataFrame, edge: float, n: int) -> DataFrame:
+    """``tree_id, box, pid``: points in the cells from ``n`` below to ``n`` above those of each box's two corners (``x0`` .. ``z1``, in any order).
+
+    The cells of the box are listed and joined by equality, so only points of those cells meet.
+    """
+    cell = lambda c: F.floor(F.col(c) / edge).cast("long")
+    span = lambda c: F.explode(F.sequence(F.least(cell(f"{c}0"), cell(f"{c}1")) - n, F.greatest(cell(f"{c}0"), cell(f"{c}1")) + n))
+    boxes = corners
+    for c in "xyz":
+        boxes = boxes.withColumn(f"_c{c}", span(c))
+    p = points.select("tree_id", "pid", *[cell(c).alias(f"_c{c}") for c in "xyz"])
+    return p.join(boxes, ["tree_id", "_cx", "_cy", "_cz"]).select("tree_id", "box", "pid")
+
+
+def nearest_between(a: DataFrame, b: DataFrame, radius: float, max_rounds: int = 40) -> DataFrame:
+    """``tree_id, pid_a, pid_b, dist``: the nearest pair between two sets of points of each tree, ties by the numbers.
+
+    Pairs within ``radius`` are looked at first; trees without one are tried again with twice that, so far pairs are never made for
+    trees whose sets are close.
+    """
+    left = materialize(a.select("tree_id").distinct().join(b.select("tree_id").distinct(), "tree_id"), "sets")
+    out = None
+    for _ in range(max_rounds):
+        pairs = radius_pairs(a.join(left, "tree_id", "left_semi"), b.join(left, "tree_id", "left_semi"), radius)
+        best = materialize(pairs.groupBy("tree_id").agg(F.min(F.struct("dist", "pid_a", "pid_b")).alias("_b")).select("tree_id", "_b.pid_a", "_b.pid_b", "_b.dist"), "nearest")
+        out = best if out is None else out.unionByName(best)
+        left = materialize(left.join(best, "tree_id", "left_anti"), "sets")
+        if left.isEmpty():
+            return out
+        radius *= 2
+    raise RuntimeError(f"no pair found in {max_rounds} rounds")
+
+
+def greedy_density_filter(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """Points that some ball of a greedy cover holds with ``least`` points or more, with the size ``n`` of their largest ball.
+
+    The balls are those of a walk in order of ``pid`` that makes a ball of each point no ball holds yet.
+    """
+    centres, _ = cover(points, radius, radius, 1)
+    balls = radius_pairs(points.join(centres, ["tree_id", "pid"], "left_semi"), points, radius)
+    size = balls.groupBy("tree_id", "pid_a").agg(F.count(F.lit(1)).alias("_n"))
+    most = balls.join(size, ["tree_id", "pid_a"]).groupBy("tree_id", F.col("pid_b").alias("pid")).agg(F.max("_n").alias("n"))
+    return most.where(F.col("n") >= least)
+
+
+def component_filter(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """Points of the connected components that have at least ``least`` cover sets of ``radius``."""
+    from canopia.operators.components import connected_components
+
+    centres, members = cover(points, radius, 1.5 * radius, 1)
+    members = materialize(members, "members")
+    near = cover_neighbours(points, members, 1.5 * radius)
+    found = connected_components(near.select(F.struct("tree_id", F.col("a").alias("p")).alias("src"), F.struct("tree_id", F.col("b").alias("p")).alias("dst")))
+    alone = centres.select(F.struct("tree_id", F.col("pid").alias("p")).alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    large = alone.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    kept = alone.join(large, "component", "left_semi").select("node.tree_id", F.col("node.p").alias("centre"))
+    return points.join(members.join(kept, ["tree_id", "centre"], "left_semi"), ["tree_id", "pid"], "left_semi")
+
+
+def extended_sets(members: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """``tree_id, centre, pid``: each cover set with the points of all its neighbours."""
+    beside = neighbours.select("tree_id", F.col("a").alias("_set"), F.col("b").alias("centre")).join(members, ["tree_id", "centre"]).select("tree_id", F.col("_set").alias("centre"), "pid")
+    return members.select("tree_id", "centre", "pid").unionByName(beside)
+
+
+def main_directions(points: DataFrame) -> DataFrame:
+    """``tree_id``, ``along_x`` .. and ``across_x`` ..: unit vectors to the largest and the smallest eigenvalue of each cloud's covariance, the largest
+    component positive; null where two eigenvalues are equal.
+
+    An eigenvector is the longest cross product of two rows of the shifted matrix. Step by step, so no expression is repeated within another.
+    """
+    pairs = ["xx", "xy", "xz", "yy", "yz", "zz"]
+    c = points.groupBy("tree_id").agg(*[F.covar_samp(p[0], p[1]).alias(p) for p in pairs])
+    first, _, last = eigenvalues(*[F.col(p) for p in pairs])
+    c = c.withColumns({"_along": first, "_across": last})
+    for name in ("along", "across"):
+        rows = [[F.col(p) - F.col(f"_{name}") if p[0] == p[1] else F.col(p) for p in row] for row in (("xx", "xy", "xz"), ("xy", "yy", "yz"), ("xz", "yz", "zz"))]
+        sides = {f"_s{i}": cross(rows[a], rows[b]) for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)))}
+        c = c.withColumns({f"{k}{n}": v for k, s in sides.items() for n, v in zip("xyz", s, strict=True)})
+        c = c.withColumns({f"_n{i}": dot(v, v) for i in range(3) for v in [[F.col(f"_s{i}{n}") for n in "xyz"]]})
+        best = F.greatest("_n0", "_n1", "_n2")
+        c = c.withColumns({f"_v{n}": F.when(F.col("_n0") == best, F.col(f"_s0{n}")).when(F.col("_n1") == best, F.col(f"_s1{n}")).otherwise(F.col(f"_s2{n}")) for n in "xyz"})
+        c = c.withColumn("_large", F.greatest(*[F.abs(f"_v{n}") for n in "xyz"])).withColumn("_size", norm([F.col(f"_v{n}") for n in "xyz"]))
+        sign = F.when(F.abs("_vx") == F.col("_large"), F.signum("_vx")).when(F.abs("_vy") == F.col("_large"), F.signum("_vy")).otherwise(F.signum("_vz"))
+        c = c.withColumns({f"{name}_{n}": F.col(f"_v{n}") * sign / F.nullif(F.col("_size"), F.lit(0.0)) for n in "xyz"})
+    return c.select("tree_id", *[f"{name}_{n}" for name in ("along", "across") for n in "xyz"])

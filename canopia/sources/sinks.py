@@ -68,3 +68,33 @@ def save_files(files: DataFrame, folder: str, name: Column) -> None:
 def save_table(rows: DataFrame, path: str) -> None:
     """A summary as CSV with a header."""
     rows.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def save_model(tables: dict[str, DataFrame], folder: str, by: str = "tree_id") -> None:
+    """A model's tables (cylinders, branches, tree attributes, distributions) as Parquet, a folder for each with one part a group."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").partitionBy(by).parquet(f"{folder}/{name}")
+
+
+def number_lines(rows: DataFrame, columns: list[str], by: str = "tree_id", order: str = "k") -> DataFrame:
+    """``by, order, line``: any table as tab-separated numbers in ``%g``; none is 0. For branch, tree and height tables as for cylinders."""
+    return rows.select(by, order, F.concat_ws("\t", *[F.format_string("%.6g", F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in columns]).alias("line"))
+
+
+def ply_mesh_lines(vertices: DataFrame, faces: DataFrame, by: str = "tree_id", scalar: str | None = None) -> DataFrame:
+    """``by, part, k, line``: the lines of an ascii PLY mesh, header, vertices (``vid, x, y, z`` and one number more) and faces (``fid, v1, v2, v3``, from 0)."""
+    n = vertices.groupBy(by).agg(F.count(F.lit(1)).alias("_v")).join(faces.groupBy(by).agg(F.count(F.lit(1)).alias("_f")), by, "left")
+    text = [F.lit("ply"), F.lit("format ascii 1.0"), F.concat(F.lit("element vertex "), F.col("_v"))] + [F.lit(f"property float {c}") for c in ["x", "y", "z", *([scalar] if scalar else [])]]
+    text += [F.concat(F.lit("element face "), F.coalesce("_f", F.lit(0))), F.lit("property list uchar int vertex_indices"), F.lit("end_header")]
+    head = n.select(by, F.lit(0).alias("part"), F.posexplode(F.array(*text)).alias("k", "line")).withColumn("k", F.col("k").cast("long"))
+    v = vertices.select(by, F.lit(1).alias("part"), F.col("vid").cast("long").alias("k"), F.format_string("%.6f %.6f %.6f" + (" %.6f" if scalar else ""), "x", "y", "z", *([scalar] if scalar else [])).alias("line"))
+    f = faces.select(by, F.lit(2).alias("part"), F.col("fid").cast("long").alias("k"), F.format_string("3 %d %d %d", "v1", "v2", "v3").alias("line"))
+    return head.unionByName(v).unionByName(f)
+
+
+def boxed_obj_lines(vertices: DataFrame, faces: DataFrame, by: str = "tree_id", box: str = "box") -> DataFrame:
+    """``by, part, k, line``: an OBJ whose faces stand in groups ``g box_<n>`` by their box, as renderers with nested volumes want it."""
+    v = vertices.select(by, F.lit(-1).cast("long").alias("part"), F.col("vid").cast("long").alias("k"), F.format_string("v %.4f %.4f %.4f", "x", "y", "z").alias("line"))
+    g = faces.select(by, F.col(box).cast("long").alias("part")).distinct().withColumn("k", F.lit(-1).cast("long")).withColumn("line", F.format_string("g box_%d", "part"))
+    f = faces.select(by, F.col(box).cast("long").alias("part"), F.col("fid").cast("long").alias("k"), F.format_string("f %d %d %d", "v1", "v2", "v3").alias("line"))
+    return v.unionByName(g.select(by, "part", "k", "line")).unionByName(f)

@@ -91,3 +91,16 @@ def test_run_names(spark, name, want):
 
     r = named(spark.createDataFrame([(name,)], "file string")).first()
     assert (r.tree, r.tree_number, r.parameters, r.iteration) == want
+
+
+def test_texts_of_models_and_meshes(spark, tmp_path):
+    from canopia.sources.sinks import boxed_obj_lines, number_lines, ply_mesh_lines, save_model
+
+    v = spark.createDataFrame([(1, k, float(k), 0.5, 0.25, 7.0) for k in range(3)], "tree_id long, vid long, x double, y double, z double, order double")
+    f = spark.createDataFrame([(1, 0, 0, 1, 2, 4)], "tree_id long, fid long, v1 int, v2 int, v3 int, box long")
+    lines = [r.line for r in ply_mesh_lines(v, f, scalar="order").orderBy("part", "k").collect()]
+    assert lines[:3] == ["ply", "format ascii 1.0", "element vertex 3"] and lines[7:] == ["element face 1", "property list uchar int vertex_indices", "end_header", *[f"{k}.000000 0.500000 0.250000 7.000000" for k in range(3)], "3 0 1 2"]
+    assert [r.line for r in boxed_obj_lines(v, f).orderBy("part", "k").collect()] == [*[f"v {k}.0000 0.5000 0.2500" for k in range(3)], "g box_4", "f 0 1 2"]
+    assert [r.line for r in number_lines(v, ["x", "y", "vid"], order="vid").orderBy("vid").collect()] == ["0.00000\t0.500000\t0.00000", "1.00000\t0.500000\t1.00000", "2.00000\t0.500000\t2.00000"]
+    save_model({"vertices": v, "faces": f}, f"{tmp_path}/model")
+    assert spark.read.parquet(f"{tmp_path}/model/vertices").count() == 3 and spark.read.parquet(f"{tmp_path}/model/faces").first()["box"] == 4

@@ -146,3 +146,79 @@ def test_subtree_sums_of_a_chain_deeper_than_64(spark):
     n = spark.createDataFrame([(1, i, i - 1 if i else None, 1.0) for i in range(70)], "tree_id long, branch long, parent long, v double")
     sums = {r.branch: (r.n_below, r.v_sum) for r in graph.subtree_sums(n, ["tree_id", "branch"], "v").collect()}
     assert sums == {i: (69 - i, 70.0 - i) for i in range(70)}
+
+
+def test_main_directions_are_eigenvectors(spark, small_dir):
+    import numpy as np
+
+    from canopia.operators.spatial import main_directions
+    from canopia.sources import tables
+
+    p = tables.points(spark, small_dir)
+    clouds = {}
+    for r in p.collect():
+        clouds.setdefault(r.tree_id, []).append((r.x, r.y, r.z))
+    got = main_directions(p).collect()
+    assert len(got) == len(clouds)
+    for r in got:
+        values, vectors = np.linalg.eigh(np.cov(np.array(clouds[r.tree_id]).T))
+        for own, k in (((r.along_x, r.along_y, r.along_z), 2), ((r.across_x, r.across_y, r.across_z), 0)):
+            assert abs(abs(float(np.dot(own, vectors[:, k]))) - 1) < 1e-6
+
+
+def test_greedy_and_component_filters(spark):
+    import random
+
+    from canopia.operators.spatial import component_filter, cover, cover_neighbours, greedy_density_filter, nearest_between
+
+    r = random.Random(4)
+    rows = [(t, t * 1000 + k, r.random(), r.random(), r.random() * 0.5) for t in (1, 2) for k in range(150)]
+    p = spark.createDataFrame(rows, "tree_id long, pid long, x double, y double, z double").cache()
+    near = lambda a, b, d: sum((x - y) ** 2 for x, y in zip(a[2:], b[2:], strict=True)) ** 0.5 < d
+    most = {}
+    for t in (1, 2):
+        cloud, seen = [x for x in rows if x[0] == t], set()
+        for a in cloud:  # the walk
+            if a[1] not in seen:
+                ball = [b[1] for b in cloud if near(a, b, 0.2)]
+                seen.update(ball)
+                for b in ball:
+                    most[b] = max(most.get(b, 0), len(ball))
+    got = {x.pid: x.n for x in greedy_density_filter(p, 0.2, 4).collect()}
+    assert got == {k: n for k, n in most.items() if n >= 4} and 0 < len(got) < len(rows)
+    centres, members = cover(p, 0.1, 0.15, 1)
+    of = {x.pid: x.centre for x in members.collect()}
+    root = {x.pid: x.pid for x in centres.collect()}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for x in cover_neighbours(p, members, 0.15).collect():
+        root[find(x.a)] = find(x.b)
+    size = {}
+    for k in root:
+        size[find(k)] = size.get(find(k), 0) + 1
+    kept = {x.pid for x in component_filter(p, 0.1, 5).collect()}
+    assert kept == {k for k, c in of.items() if size[find(c)] >= 5}
+    even, odd = p.where("pid % 2 = 0"), p.where("pid % 2 = 1")
+    for x in nearest_between(even, odd, 0.001).collect():
+        cloud = [y for y in rows if y[0] == x.tree_id]
+        want = min(sum((u - v) ** 2 for u, v in zip(a[2:], b[2:], strict=True)) ** 0.5 for a in cloud if a[1] % 2 == 0 for b in cloud if b[1] % 2)
+        assert abs(x.dist - want) < 1e-12
+
+
+def test_surfaces_stand_at_the_radius(spark):
+    from pyspark.sql import functions as F
+
+    from canopia.functions.vectors import axis_distance, vector
+    from canopia.operators.crown import surface_points
+    from canopia.operators.mesh import cylinder_grid
+
+    s = 0.5**0.5
+    c = spark.createDataFrame([(1, 1, 0, 0.2, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 2, 1, 0.05, 1.0, 0.0, 0.0, 2.0, s, 0.0, s)], "tree_id long, cyl long, branch_order int, radius double, length double, sx double, sy double, sz double, ax double, ay double, az double")
+    grid = cylinder_grid(c, 9).join(c, ["tree_id", "cyl"])
+    d, h = axis_distance(vector("x", "y", "z"), vector("sx", "sy", "sz"), vector("ax", "ay", "az"))
+    assert grid.count() == 2 * 81 and grid.where((F.abs(d - F.col("radius")) > 1e-9) | (h < -1e-9) | (h > F.col("length") + 1e-9)).count() == 0
+    assert surface_points(c).count() == 48 + 4 + 3  # the trunk's tip is the branch's start
