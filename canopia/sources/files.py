@@ -33,7 +33,7 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """
     t = spark.read.text(path).select(_stem(F.col("_metadata.file_path")).alias("file"), F.split(F.trim("value"), r"[,\s]+").alias("v"))
     n = t.select("file", F.transform("v", lambda x: x.try_cast("double")).alias("v")).where((F.size("v") >= 3) & F.forall("v", lambda x: x.isNotNull()))
-    return n.select("file", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate("xyz")], F.slice("v", 4, 10_000).alias("rest"))
+    return n.select("file", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate("xyz")], F.slice("v", F.lit(4), F.size("v")).alias("rest"))
 
 
 def read_cylinders(spark: SparkSession, path: str) -> DataFrame:
@@ -69,16 +69,19 @@ def _ply_header(raw: bytes) -> tuple[list[tuple[str, str, str]], int, bool, int]
     """Properties (name, numpy type, Spark type), vertices, whether binary, and where the data start."""
     end = raw.index(b"end_header")
     at = raw.index(b"\n", end) + 1
-    props, n, binary, own = [], 0, False, False
+    props, n, binary, own, big = [], 0, False, False, False
     for line in raw[:end].decode("ascii", "replace").split("\n"):
         w = line.split()
         if w[:1] == ["format"]:
-            binary = w[1].startswith("binary")
+            binary, big = w[1].startswith("binary"), w[1] == "binary_big_endian"
         elif w[:1] == ["element"]:
             own = w[1] == "vertex"
             n = int(w[2]) if own else n
         elif w[:1] == ["property"] and own:
-            props.append((w[2], *PLY_TYPES[w[1]]))
+            if w[1] not in PLY_TYPES:
+                raise ValueError(f"vertex property {w[-1]} of type {w[1]} cannot be read")
+            kind, column = PLY_TYPES[w[1]]
+            props.append((w[2], kind.replace("<", ">") if big else kind, column))
     return props, n, binary, at
 
 
@@ -98,18 +101,26 @@ def _cloud(raw: bytes, header) -> pd.DataFrame:
     props, n, binary, at = header(raw)
     if binary:
         a = np.frombuffer(raw, np.dtype([p[:2] for p in props]), n, at)
-        return pd.DataFrame({p[0]: a[p[0]] for p in props})
+        return pd.DataFrame({p[0]: a[p[0]].astype(a[p[0]].dtype.newbyteorder("=")) for p in props})
     a = np.array(raw[at:].split()[: n * len(props)], float).reshape(-1, len(props))
     return pd.DataFrame({p[0]: a[:, i] for i, p in enumerate(props)})
 
 
 def _read_binary_cloud(spark: SparkSession, path: str, header) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
-    first = files.select(F.substring("content", 1, 65_536).alias("h")).limit(1).collect()  # the first file's header gives the columns
-    if not first:
+
+    def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = {(p[0], p[2], i) for h in b["h"] for i, p in enumerate(header(bytes(h))[0])}
+            yield pd.DataFrame(sorted(found), columns=["name", "kind", "at"])
+
+    # The columns of all files, as wide as any has them; there are no more different ones than headers name.
+    known = files.select(F.substring("content", 1, 65_536).alias("h")).mapInPandas(columns, "name string, kind string, at int").groupBy("name").agg(F.collect_set("kind").alias("kinds"), F.min("at").alias("at")).orderBy("at", "name").collect()
+    if not known:
         return spark.createDataFrame([], "file string, pid long")
-    props = header(bytes(first[0]["h"]))[0]
-    schema = ", ".join(["file string", "pid long", *(f"`{p[0]}` {p[2]}" for p in props)])
+    widest = lambda kinds: next(k for k in ("double", "float", "long", "int") if k in kinds) if len({"float", "double"} & set(kinds)) in (0, len(kinds)) else "double"
+    names = [r["name"] for r in known]
+    schema = ", ".join(["file string", "pid long", *(f"`{r['name']}` {widest(r['kinds'])}" for r in known)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -117,13 +128,13 @@ def _read_binary_cloud(spark: SparkSession, path: str, header) -> DataFrame:
                 c = _cloud(bytes(raw), header)
                 c.insert(0, "pid", np.arange(len(c)))
                 c.insert(0, "file", name)
-                yield c[["file", "pid", *(p[0] for p in props)]]
+                yield c.reindex(columns=["file", "pid", *names])
 
     return files.select(_stem(F.col("path")).alias("file"), "content").mapInPandas(run, schema)
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """``file, pid`` and the vertex properties of PLY files, text or little-endian binary; one task reads a file."""
+    """``file, pid`` and the vertex properties of PLY files, text or binary of either byte order; one task reads a file. Columns that a file lacks are null."""
     return _read_binary_cloud(spark, path, _ply_header)
 
 

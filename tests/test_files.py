@@ -29,6 +29,12 @@ def test_ply_round_trip(spark, tmp_path):
     (tmp_path / "ascii").mkdir()
     (tmp_path / "ascii" / "a.ply").write_text("ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty uchar red\nend_header\n1.5 3\n2.5 4\n")
     assert [(r.x, r.red) for r in files.read_ply(spark, f"{tmp_path}/ascii").collect()] == [(1.5, 3), (2.5, 4)]
+    head = "ply\nformat binary_big_endian 1.0\nelement vertex 1\nproperty double x\nproperty short level\nend_header\n"
+    (tmp_path / "ascii" / "b.ply").write_bytes(head.encode() + struct.pack(">dh", 3.25, -2))
+    both = files.read_ply(spark, f"{tmp_path}/ascii").orderBy("file", "pid").collect()
+    assert [(r.file, r.x, r.red, r.level) for r in both] == [("a", 1.5, 3, None), ("a", 2.5, 4, None), ("b", 3.25, None, -2)]
+    with pytest.raises(ValueError):
+        files._ply_header(b"ply\nformat ascii 1.0\nelement vertex 1\nproperty list uchar int v\nend_header\n")
 
 
 def test_pcd_and_raster_and_obj(spark, tmp_path):
