@@ -246,11 +246,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A document is its id and its text: of rows that repeat both one stays, and different texts under one id are told apart. See :func:`similar_groups`.
     The texts are not shuffled as long as what is to go can be broadcast.
     """
+    key, text = "_key_id", "_key_hash"
+    while {key, text} & set(docs.columns):
+        key, text = f"_{key}", f"_{text}"
     groups = materialize(similar_groups(docs, id_col, text_col, ngram, similarity), "similar")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    gone = broadcast_if_small(materialize(groups.where(~F.col("_first")).select("_id", "_hash"), "gone"))
-    kept = docs.join(gone, same, "left_anti")
-    several = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(text))
+    gone = materialize(groups.where(~F.col("_first")).select(F.col("_id").alias(key), F.col("_hash").alias(text)), "gone")
+    kept = docs.join(broadcast_if_small(gone), same, "left_anti")
+    several = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key), F.xxhash64(text_col).alias(text)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     several = materialize(several, "rows_again")
     if several.isEmpty():
         return kept
