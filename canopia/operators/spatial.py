@@ -57,15 +57,16 @@ def neighbour_counts(points: DataFrame, radius: float) -> DataFrame:
     return radius_pairs(points, points, radius).groupBy("tree_id", F.col("pid_a").alias("pid")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def density_filter(points: DataFrame, radius: float, least: int) -> DataFrame:
-    """Points with enough neighbours for their height: ``least`` in the two lowest metres, above in proportion to the layer's mean, but a third at least."""
+def density_filter(points: DataFrame, radius: float, least: int, plain_layers: int = 2) -> DataFrame:
+    """Points with enough neighbours for their height: ``least`` in the ``plain_layers`` lowest metres (two; three in the older version), above in proportion
+    to the layer's mean, but a third at least."""
     n = points.join(neighbour_counts(points, radius), ["tree_id", "pid"])
     low = points.groupBy("tree_id").agg(F.min("z").alias("_low"))
     n = n.join(low, "tree_id").withColumn("layer", F.floor(F.col("z") - F.col("_low")).cast("long") + 1)
     mean = n.groupBy("tree_id", "layer").agg(F.ceil(F.avg("n")).alias("_mean"))
-    second = mean.where("layer = 2").select("tree_id", F.col("_mean").alias("_second"))
+    second = mean.where(F.col("layer") == plain_layers).select("tree_id", F.col("_mean").alias("_second"))
     scaled = F.greatest(F.ceil(F.col("_mean") * least / F.col("_second")), F.ceil(F.lit(least / 3)))
-    limit = F.when((F.col("layer") <= 2) | F.col("_second").isNull(), F.lit(least)).otherwise(scaled)
+    limit = F.when((F.col("layer") <= plain_layers) | F.col("_second").isNull(), F.lit(least)).otherwise(scaled)
     return n.join(mean, ["tree_id", "layer"]).join(second, "tree_id", "left").where(F.col("n") >= limit).select("tree_id", "pid", "x", "y", "z", "layer", "n")
 
 

@@ -122,10 +122,14 @@ def fea6_all_quantile_places(spark, sf_dir):
     return rounded(dist.quantile_places(_cylinders(spark, sf_dir)), 6)
 
 
-@query(BRD + _dense("branch_dist") + _shapes() + " " + DIFFERENCES)
+@query(BRD + _dense("branch_dist") + _shapes() + f""", e AS ({DIFFERENCES}) SELECT tree_id, dist, string_agg(CAST(CAST(mean_diff AS DECIMAL(9, 6)) AS VARCHAR), ',' ORDER BY ref) AS mean_diffs,
+  string_agg(CAST(CAST(max_diff AS DECIMAL(9, 6)) AS VARCHAR), ',' ORDER BY ref) AS max_diffs FROM e GROUP BY ALL""")
 def fea7_all_reference_differences(spark, sf_dir):
-    """Forty branch distributions, half of them of order 1 alone, against 50 reference shapes."""
-    return rounded(dist.reference_differences(dist.branch_distributions(_branches(spark, sf_dir))), 6)
+    """Forty branch distributions, half of them of order 1 alone, against 50 reference shapes: one row for each, the shapes in order of their names."""
+    d = rounded(dist.reference_differences(dist.branch_distributions(_branches(spark, sf_dir))), 6)
+    rows = d.groupBy("tree_id", "dist").agg(F.array_sort(F.collect_list(F.struct("ref", "mean_diff", "max_diff"))).alias("_r"))
+    text = lambda c: F.array_join(F.transform("_r", lambda x: x[c].cast("decimal(9,6)").cast("string")), ",").alias(f"{c}s")
+    return rows.select("tree_id", "dist", text("mean_diff"), text("max_diff"))
 
 
 @query(BRD + _dense("branch_dist") + PLACES)

@@ -71,11 +71,11 @@ def fea7_branch_reference_differences(spark, sf_dir):
     return rounded(features.reference_differences(tree.distribution(b, ["tree_id"], F.floor(F.round("height", 6)), {"value": F.col("volume")})))
 
 
-LEAF = [(0.0, 0.0, 0.0), (-0.30834, 0.66549, 0.0), (0.0, 1.0, 0.0), (0.30834, 0.66549, 0.0)]
+LEAF = [(0.0, 0.0, 0.0), (-0.25, 0.5, 0.0), (0.0, 1.0, 0.0), (0.25, 0.5, 0.0)]
 BASE = " UNION ALL ".join(f"SELECT {i} AS v, {p[0]} AS bx, {p[1]} AS b_y" for i, p in enumerate(LEAF))
 
 
-@query(f""", l AS (SELECT tree_id * 1000000 + cyl AS leaf_id, sx AS ox, sy AS oy, sz AS oz, length AS scale, ax AS dx, ay AS dy, az AS dz, -az AS nx, 0.0 AS ny, ax AS nz FROM cylinder), b AS ({BASE})
+@query(f""", l AS MATERIALIZED (SELECT tree_id * 1000000 + cyl AS leaf_id, sx AS ox, sy AS oy, sz AS oz, length AS scale, ax AS dx, ay AS dy, az AS dz, -az AS nx, 0.0 AS ny, ax AS nz FROM cylinder), b AS MATERIALIZED ({BASE})
 SELECT leaf_id, CAST(v AS BIGINT) AS v, round(ox + scale * (bx * (ny * dz - nz * dy) + b_y * dx), 4) + 0.0 AS x, round(oy + scale * (bx * (nz * dx - nx * dz) + b_y * dy), 4) + 0.0 AS y, round(oz + scale * (bx * (nx * dy - ny * dx) + b_y * dz), 4) + 0.0 AS z FROM l, b""", "cylinder")
 def geo11_leaf_vertices(spark, sf_dir):
     c = tables.cylinders(spark, sf_dir)

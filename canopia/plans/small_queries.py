@@ -87,6 +87,37 @@ def fun2_line_foot(spark, sf_dir):
     return rounded(out.select("tree_id", "cyl", d.alias("dist"), h.alias("height"), *[x.alias(n) for n, x in zip(("vx", "vy", "vz"), v, strict=True)], *[x.alias(n) for n, x in zip(("bx", "b_y", "bz"), foot, strict=True)]))
 
 
+PARENT = """, q AS (SELECT c.tree_id, c.cyl, c.ax, c.ay, c.az, p.ax AS px, p.ay AS py, p.az AS pz FROM cylinder c JOIN cylinder p ON p.tree_id = c.tree_id AND p.cyl = c.parent), x AS (SELECT *, ay * pz - az * py AS cx, az * px - ax * pz AS cy, ax * py - ay * px AS cz, ax * px + ay * py + az * pz AS d FROM q)"""
+
+
+def _with_parent(spark, sf_dir):
+    c = tables.cylinders(spark, sf_dir)
+    up = c.select("tree_id", F.col("cyl").alias("parent"), *[F.col(f"a{n}").alias(f"p{n}") for n in "xyz"])
+    return c.join(up, ["tree_id", "parent"])
+
+
+@query(PARENT + " SELECT tree_id, cyl, round(cx, 6) + 0.0 AS cx, round(cy, 6) + 0.0 AS cy, round(cz, 6) + 0.0 AS cz, round(d, 6) + 0.0 AS d FROM x", "cylinder")
+def fun1_products(spark, sf_dir):
+    """Cross and dot products of each cylinder's axis with its parent's."""
+    a, b = vectors.vector("ax", "ay", "az"), vectors.vector("px", "py", "pz")
+    return rounded(_with_parent(spark, sf_dir).select("tree_id", "cyl", *[x.alias(f"c{n}") for n, x in zip("xyz", vectors.cross(a, b), strict=True)], vectors.dot(a, b).alias("d")), 6)
+
+
+@query(PARENT + """ SELECT tree_id, cyl, round(px * cos(0.7) + cx * sin(0.7) + ax * d * (1 - cos(0.7)), 6) + 0.0 AS rx, round(py * cos(0.7) + cy * sin(0.7) + ay * d * (1 - cos(0.7)), 6) + 0.0 AS ry,
+  round(pz * cos(0.7) + cz * sin(0.7) + az * d * (1 - cos(0.7)), 6) + 0.0 AS rz FROM x""", "cylinder")
+def fun3_turned_axis(spark, sf_dir):
+    """The parent's axis turned by 0.7 about each cylinder's own."""
+    m = vectors.rotation_matrix(vectors.vector("ax", "ay", "az"), F.lit(0.7))
+    p = vectors.vector("px", "py", "pz")
+    return rounded(_with_parent(spark, sf_dir).select("tree_id", "cyl", *[vectors.dot(row, p).alias(f"r{n}") for n, row in zip("xyz", m, strict=True)]), 6)
+
+
+@query(" SELECT 'site_' || file AS cloud, split_part(split_part('site_' || file, '.', 1), '_', 3) AS tree FROM run", "run")
+def fun9_tree_of_cloud(spark, sf_dir):
+    r = tables.runs(spark, sf_dir).select(F.concat(F.lit("site_"), "file").alias("cloud"))
+    return r.select("cloud", names.tree_number(F.col("cloud")).alias("tree"))
+
+
 COV = """, c AS (SELECT tree_id, covar_samp(x, x) AS xx, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, y) AS yy, covar_samp(y, z) AS yz, covar_samp(z, z) AS zz FROM points GROUP BY tree_id),
 p AS (SELECT *, (xx + yy + zz) / 3 AS mean, sqrt((pow(xx - (xx + yy + zz) / 3, 2) + pow(yy - (xx + yy + zz) / 3, 2) + pow(zz - (xx + yy + zz) / 3, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM c),
 b AS (SELECT *, (xx - mean) / p AS ba, (yy - mean) / p AS bb, (zz - mean) / p AS bc, xy / p AS bd, xz / p AS be, yz / p AS bf FROM p), r AS (SELECT *, acos(least(greatest((ba * (bb * bc - bf * bf) - bd * (bd * bc - bf * be) + be * (bd * bf - bb * be)) / 2, -1), 1)) / 3 AS angle FROM b),
