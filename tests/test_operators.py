@@ -222,3 +222,39 @@ def test_surfaces_stand_at_the_radius(spark):
     d, h = axis_distance(vector("x", "y", "z"), vector("sx", "sy", "sz"), vector("ax", "ay", "az"))
     assert grid.count() == 2 * 81 and grid.where((F.abs(d - F.col("radius")) > 1e-9) | (h < -1e-9) | (h > F.col("length") + 1e-9)).count() == 0
     assert surface_points(c).count() == 48 + 4 + 3  # the trunk's tip is the branch's start
+
+
+def test_features_of_a_tree_by_hand(spark):
+    """Two trunk cylinders and a level branch of two: values worked out on paper."""
+    import math
+
+    from canopia.operators import distributions as dist
+    from canopia.operators import features, tree
+    from canopia.operators.crown import crown_base
+
+    rows = [
+        (1, 1, 0, 1, 1, None, 0.10, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 1, 0, 2, 2, 1, 0.08, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0),
+        (1, 2, 1, 1, 3, 2, 0.02, 0.5, 0.08, 0.0, 1.5, 1.0, 0.0, 0.0), (1, 2, 1, 2, 4, 3, 0.01, 0.5, 0.58, 0.0, 1.5, 1.0, 0.0, 0.0),
+    ]
+    c = spark.createDataFrame(rows, "tree_id long, branch long, branch_order int, position long, cyl long, parent long, radius double, length double, sx double, sy double, sz double, ax double, ay double, az double")
+    near = lambda a, b: abs(a - b) < 1e-9
+    dbh = tree.breast_diameter(c)
+    assert near(dbh.first()["dbh_cm"], 16.0)
+    b = tree.branch_table(c)
+    assert near(b.where("branch_order = 1").first()["length"] / 16.0, 0.0625) and near(features.neighbour_gap(b).first()["value"], 0.5)
+    volume = {1: 1000 * math.pi * 0.01, 2: 1000 * math.pi * 0.0064, 3: 1000 * math.pi * 0.0004 * 0.5, 4: 1000 * math.pi * 0.0001 * 0.5}
+    heights = dist.cylinder_distributions(c).where("dist = 'VolHei'")
+    got = {r.bin: r.value for r in heights.collect()}
+    assert near(got[0], volume[1]) and near(got[1], volume[2] + volume[3] + volume[4]) and len(got) == 2
+    share = volume[1] / sum(volume.values())  # 0.6006
+    assert [(r.pct, r.value) for r in dist.quantile_places(heights).orderBy("pct").collect()] == [(k, 0.5 if k <= 12 else 1.0) for k in range(1, 20)]
+    even = {r.ref: r for r in dist.reference_differences(heights).collect()}
+    assert len(even) == 50 and near(even["uniform_0_5"].mean_diff, share - 0.5) and near(even["uniform_0_5"].max_diff, share - 0.5)
+    orders = dist.order_distributions(b).where("dist = 'VolBranchOrd'")
+    sums = {(r.low, r.high): r.per_n for r in dist.interval_sums(orders, spark.createDataFrame([(1, 2.0)], "tree_id long, n double"), ["n"], dist.ORDERS, False).collect()}
+    assert near(sums[(1, 1)], (volume[3] + volume[4]) / 2) and near(sums[(1, 5)], (volume[3] + volume[4]) / 2) and sums[(2, 5)] == 0 and len(sums) == 15
+    assert near(crown_base(c, dbh).first()["crown_base"], 1.5)
+    s = dist.branch_statistics(b, ["length", "diameter"])
+    whole = {(r.orders, r.column): r for r in s.collect()}
+    assert near(whole[(0, "length")].median, 1.0) and near(whole[(1, "diameter")].mean_of_most, 1.0) and len(whole) == 4
+    assert near(next(r.value for r in dist.mean_ratios(s).collect() if (r.orders, r.a, r.b) == (0, "diameter", "length")), 0.04)
