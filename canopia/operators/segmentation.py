@@ -14,17 +14,19 @@ from canopia.plans.shared import materialize
 def layers(points: DataFrame, members: DataFrame, neighbours: DataFrame, base_band: float, max_layers: int = 5000) -> DataFrame:
     """``tree_id, centre, layer``: steps over neighbouring sets from those whose centre is within ``base_band`` of the lowest.
 
-    The front alone is joined in each round, for all trees at once. Sets that the base does not reach have no row.
+    The front alone is joined in each round, for all trees at once. As neighbours are neighbours both ways, a step from a layer leads to that layer, the
+    one before or the next, so only the last two are looked at to find what is new. Sets that the base does not reach have no row.
     """
     own = members.select("tree_id", F.col("centre").alias("pid")).distinct()
     centres = points.join(own, ["tree_id", "pid"]).select("tree_id", F.col("pid").alias("centre"), "z")
     low = centres.groupBy("tree_id").agg(F.min("z").alias("_low"))
     edges = materialize(neighbours, "neighbours")
     front = materialize(centres.join(low, "tree_id").where(F.col("z") <= F.col("_low") + base_band).select("tree_id", "centre", F.lit(0).cast("long").alias("layer")), "front")
-    reached = front
+    reached, before = front, front
     for k in range(1, max_layers + 1):
         step = edges.join(front.select("tree_id", F.col("centre").alias("a")), ["tree_id", "a"]).select("tree_id", F.col("b").alias("centre")).distinct()
-        front = materialize(step.join(reached, ["tree_id", "centre"], "left_anti").withColumn("layer", F.lit(k).cast("long")), "front")
+        last_two = before.unionByName(front).select("tree_id", "centre")
+        before, front = front, materialize(step.join(last_two, ["tree_id", "centre"], "left_anti").withColumn("layer", F.lit(k).cast("long")), "front")
         if front.isEmpty():
             return reached
         reached = reached.unionByName(front)
