@@ -194,10 +194,13 @@ def _second_look(docs: DataFrame, near: DataFrame, several: DataFrame, short: Da
     part = F.explode(F.sequence(F.shiftright("_from", 6), F.shiftright(F.col("_to") - k, 6)))
     of = short.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_from", "_to", part.alias("_part")).distinct()
     inside = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")) & (F.shiftright("_at", 6) == F.col("_part")) & F.col("_at").between(F.col("_from"), F.col("_to") - k)
-    fps = materialize(near.join(of, inside, "left_semi").select("_fp").distinct().join(several.where("_times > 2"), "_fp", "left_semi"), "looked_at")
+    # Every repeated fingerprint is marked or not: the joins give back as many rows as there are, whatever the size of a group.
+    held = near.join(of, inside, "left").groupBy("_fp").agg(F.max(F.col("_h").isNotNull()).alias("_held")).where("_held").select("_fp")
+    fps = materialize(held.join(several.where("_times > 2"), "_fp", "left_semi"), "looked_at")
     if fps.isEmpty():
         return None
-    per_doc = near.join(broadcast_if_small(fps), "_fp", "left_semi").groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.collect_set("_at").alias("_all"))
+    marked = near.join(broadcast_if_small(fps.withColumn("_marked", F.lit(True))), "_fp", "left")
+    per_doc = marked.groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.collect_set(F.when(F.col("_marked"), F.col("_at"))).alias("_all")).where(F.size("_all") > 0)
     d = docs.join(broadcast_if_small(materialize(per_doc, "looked_at_texts")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_id", "_hash", "_all", "_text")
     starts = lambda t: F.array_distinct(F.flatten(F.transform("_all", lambda p: F.sequence(F.greatest(p - w + 1, F.lit(0)), F.greatest(F.least(p, F.size(t) - min_words), F.greatest(p - w + 1, F.lit(0)))))))
     digest = lambda t, p: F.struct(p.alias("_from"), F.struct(F.xxhash64(F.slice(t, p + 1, F.lit(min_words))).alias("a"), F.xxhash64(F.lit(1), F.slice(t, p + 1, F.lit(min_words))).alias("b")).alias("_gram"))
