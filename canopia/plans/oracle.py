@@ -13,9 +13,9 @@ branch AS (SELECT b.tree_id, b.branch, b.rank, p.branch AS parent, CAST(length(b
   l_quantity / 1003.0 AS radius, l_extendedprice / 99991.0 AS length, sin(l_discount * 10) * cos(l_tax * 70) + 0.0 AS ax, sin(l_discount * 10) * sin(l_tax * 70) + 0.0 AS ay, cos(l_discount * 10) AS az FROM lineitem),
 cyl_start AS (SELECT *, coalesce(sum(length * ax) OVER w, 0.0) AS sx, coalesce(sum(length * ay) OVER w, 0.0) AS sy, coalesce(sum(length * az) OVER w, 0.0) AS z0
   FROM cyl_line WINDOW w AS (PARTITION BY branch ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cyl_id AS (SELECT c.*, b.tree_id, b.branch_order, b.parent AS above, c.z0 + (b.rank - 1) * 0.3 AS sz, row_number() OVER (PARTITION BY b.tree_id ORDER BY c.branch, c.position) AS cyl
+cyl_id AS MATERIALIZED (SELECT c.*, b.tree_id, b.branch_order, b.parent AS above, c.z0 + (b.rank - 1) * 0.3 AS sz, row_number() OVER (PARTITION BY b.tree_id ORDER BY c.branch, c.position) AS cyl
   FROM cyl_start c JOIN branch b USING (branch)),
-cylinder AS (SELECT c.tree_id, c.branch, c.branch_order, c.position, c.cyl, CASE WHEN c.position > 1 THEN c.cyl - 1 ELSE p.cyl END AS parent, c.radius, c.length, c.sx, c.sy, c.sz, c.ax, c.ay, c.az
+cylinder AS MATERIALIZED (SELECT c.tree_id, c.branch, c.branch_order, c.position, c.cyl, CASE WHEN c.position > 1 THEN c.cyl - 1 ELSE p.cyl END AS parent, c.radius, c.length, c.sx, c.sy, c.sz, c.ax, c.ay, c.az
   FROM cyl_id c LEFT JOIN cyl_id p ON p.tree_id = c.tree_id AND p.branch = c.above AND p.position = 1)""",
     "reading": """reading AS (SELECT CASE event_type WHEN 'view' THEN 'A' ELSE 'B' END AS kind, CAST(ts AS DATE) AS day, event_id AS seq, epoch_us(ts) AS micros, CAST(value AS DOUBLE) AS value
   FROM events WHERE event_type IN ('view', 'click'))""",
