@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopia.functions.vectors import cross, dot, eigenvalues, norm
@@ -70,27 +70,36 @@ def density_filter(points: DataFrame, radius: float, least: int, plain_layers: i
     return n.join(mean, ["tree_id", "layer"]).join(second, "tree_id", "left").where(F.col("n") >= limit).select("tree_id", "pid", "x", "y", "z", "layer", "n")
 
 
-def cover(points: DataFrame, dmin: float, rcov: float, nmin: int, seed: int | None = None, max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Cover sets: ``centres`` (tree_id, pid) at least ``dmin`` apart, and ``members`` (tree_id, pid, centre, dist).
+def cover(points: DataFrame, dmin: float, rcov: float, nmin: int, seed: int | None = None, max_rounds: int = 10_000, sizes: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cover sets: ``centres`` (tree_id, pid) and ``members`` (tree_id, pid, centre, dist).
 
     The centres are those that a walk over the points finds which takes each point with ``nmin`` points within ``rcov`` that no
     centre before is nearer to than ``dmin``; the walk is in order of ``pid``, or of a hash of it under ``seed``. They are found in
-    rounds instead: a point is taken if it comes before all its neighbours still open. Members go to the nearest centre
-    within ``rcov``, of equally near ones to the earlier.
+    rounds instead: a point is taken if no open point before it would shut it out; with a ``seed`` there are few rounds, in order of ``pid`` a line of
+    points takes as many as it has centres. Members go to the nearest centre within ``rcov``, of equally near ones to the earlier.
+
+    ``sizes`` names a column of relative sizes from 1 to 256: the centre's ``dmin`` shrinks with it, to a half at the least, and its ``rcov`` by as much. Then
+    a large centre may shut out a small one that would not shut it out, so what counts is the distance of the earlier.
     """
-    order = F.col("pid") if seed is None else F.xxhash64("pid", F.lit(seed))
-    dense = neighbour_counts(points, rcov).where(F.col("n") >= nmin).select("tree_id", "pid")
+    rank = lambda p: F.struct((F.col(p) if seed is None else F.xxhash64(p, F.lit(seed))).alias("o"), F.col(p).alias("p"))
+    apart = F.lit(dmin) if sizes is None else (F.col(sizes) / 512 + 0.5) * dmin
+
+    def within(a: DataFrame, b: DataFrame, radius: Column, largest: float) -> DataFrame:
+        return radius_pairs(a, b, largest) if sizes is None else varying_radius_pairs(a, b, radius, largest, largest)
+
+    balls = within(points, points, apart + (rcov - dmin), rcov)
+    dense = balls.groupBy("tree_id", F.col("pid_a").alias("pid")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= nmin).select("tree_id", "pid")
     able = points.join(dense, ["tree_id", "pid"], "left_semi")
-    rank = F.struct(order.alias("o"), F.col("pid").alias("p"))
-    near = radius_pairs(able, able, dmin).where("pid_a <> pid_b").select("tree_id", "pid_a", "pid_b")
+    near = within(able, able, apart, dmin).where(rank("pid_a") < rank("pid_b")).select("tree_id", "pid_a", "pid_b")
     edges = materialize(near, "near")
     still = materialize(able.select("tree_id", "pid"), "open")
     taken = None
-    for _ in range(max_rounds):
-        live = edges.join(still.withColumnRenamed("pid", "pid_a"), ["tree_id", "pid_a"]).join(still.withColumnRenamed("pid", "pid_b"), ["tree_id", "pid_b"])
-        first = live.withColumn("pid", F.col("pid_b")).withColumn("_r", rank).groupBy("tree_id", F.col("pid_a").alias("pid")).agg(F.min("_r").alias("_first"))
-        new = materialize(still.join(first, ["tree_id", "pid"], "left").where(F.col("_first").isNull() | (rank < F.col("_first"))).select("tree_id", "pid"), "centres")
+    for k in range(max_rounds):
+        shut = edges.join(still.withColumnRenamed("pid", "pid_a"), ["tree_id", "pid_a"]).select("tree_id", F.col("pid_b").alias("pid")).distinct()
+        new = materialize(still.join(shut, ["tree_id", "pid"], "left_anti"), "centres")
         taken = new if taken is None else taken.unionByName(new)
+        if k % 20 == 19:  # a flat table in place of a long union
+            taken = materialize(taken, "centres")
         gone = edges.join(new.withColumnRenamed("pid", "pid_a"), ["tree_id", "pid_a"]).select("tree_id", F.col("pid_b").alias("pid")).unionByName(new)
         after = materialize(still.join(gone, ["tree_id", "pid"], "left_anti"), "open")
         discard(still)
@@ -99,9 +108,10 @@ def cover(points: DataFrame, dmin: float, rcov: float, nmin: int, seed: int | No
             break
     else:
         raise RuntimeError(f"cover did not settle in {max_rounds} rounds")
+    discard(edges)
     centres = points.join(taken, ["tree_id", "pid"], "left_semi")
-    ball = radius_pairs(centres, points, rcov).withColumn("pid", F.col("pid_a"))
-    best = ball.groupBy("tree_id", "pid_b").agg(F.min(F.struct("dist", rank.alias("r"))).alias("_b"))
+    ball = within(centres, points, apart + (rcov - dmin), rcov).withColumn("pid", F.col("pid_a"))
+    best = ball.groupBy("tree_id", "pid_b").agg(F.min(F.struct("dist", rank("pid").alias("r"))).alias("_b"))
     return taken, best.select("tree_id", F.col("pid_b").alias("pid"), F.col("_b.r.p").alias("centre"), F.col("_b.dist").alias("dist"))
 
 
@@ -113,6 +123,38 @@ def cover_neighbours(points: DataFrame, members: DataFrame, rcov: float) -> Data
     return one.unionByName(one.select("tree_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
+def true_neighbours(points: DataFrame, members: DataFrame, dmin: float, rcov: float) -> DataFrame:
+    """Both directions of ``tree_id, a, b``: neighbours as :func:`cover_neighbours` finds them, without those beyond a gap or behind another set.
+
+    Along the line between the centres, a set's own points and those of the other reach so far towards each other: the pair stays if that is over 0.8 of
+    the distance, or leaves a gap under half of ``dmin``. A set without any at 0.8 looks again with 0.6 and half of ``rcov``. One with one or two left takes the
+    nearest set on the far side of its nearest one, too, if the gap there is under ``rcov``. A single candidate always stays; what one side keeps both have.
+    """
+    at = lambda n: points.select("tree_id", F.col("pid").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in "xyz"])
+    own = members.select("tree_id", "pid", "centre")
+    ball = radius_pairs(points.join(own.select("tree_id", F.col("centre").alias("pid")).distinct(), ["tree_id", "pid"], "left_semi"), points, rcov)
+    pairs = ball.select("tree_id", F.col("pid_a").alias("a"), F.col("pid_b").alias("pid")).join(own.withColumnRenamed("centre", "b"), ["tree_id", "pid"]).where("a <> b").select("tree_id", "a", "b").distinct()
+    pairs = pairs.join(at("a"), ["tree_id", "a"]).join(at("b"), ["tree_id", "b"])
+    line = {c: F.col(f"{c}_b") - F.col(f"{c}_a") for c in "xyz"}
+    pairs = pairs.withColumn("_l", F.sqrt(sum((v * v for v in line.values()), F.lit(0.0))))
+    pairs = materialize(pairs.select("tree_id", "a", "b", "_l", *[(v / F.col("_l")).alias(f"_t{c}") for c, v in line.items()]), "pairs")
+    from_centre = own.join(points, ["tree_id", "pid"]).join(at("centre"), ["tree_id", "centre"]).select("tree_id", "centre", *[(F.col(c) - F.col(f"{c}_centre")).alias(f"_v{c}") for c in "xyz"])
+    along = sum((F.col(f"_v{c}") * F.col(f"_t{c}") for c in "yz"), F.col("_vx") * F.col("_tx"))
+    reach = lambda side, f: pairs.join(from_centre.withColumnRenamed("centre", side), ["tree_id", side]).groupBy("tree_id", "a", "b").agg(f(along).alias(f"_{side}"))
+    c = pairs.join(reach("a", F.max), ["tree_id", "a", "b"]).join(reach("b", F.min), ["tree_id", "a", "b"])
+    c = c.withColumn("_both", F.col("_a") + F.abs("_b")).withColumn("_gap", F.col("_l") - F.col("_both"))
+    of = Window.partitionBy("tree_id", "a")
+    some = lambda x: F.max(x.cast("int")).over(of) == 1
+    first, wide = F.col("_both") > F.col("_l") * 0.8, (F.col("_both") > F.col("_l") * 0.6) | (F.col("_gap") < rcov / 2)
+    c = c.withColumn("_n", F.count(F.lit(1)).over(of)).withColumn("_k", F.when(some(first), first | (F.col("_gap") < dmin / 2)).otherwise(wide))
+    c = c.withColumn("_kept", F.sum(F.col("_k").cast("int")).over(of)).withColumns({f"_n{k}": F.first(f"_t{k}").over(of.orderBy("_l", "b")) for k in "xyz"})
+    opposite = sum((F.col(f"_t{k}") * F.col(f"_n{k}") for k in "yz"), F.col("_tx") * F.col("_nx")) < -0.3
+    c = c.withColumn("_o", opposite).withColumn("_none", ~some(F.col("_o") & F.col("_k"))).withColumn("_near", F.row_number().over(Window.partitionBy("tree_id", "a", "_o").orderBy("_l", "b")) == 1)
+    added = (F.col("_kept").between(1, 2)) & (F.col("_kept") < F.col("_n")) & F.col("_none") & F.col("_o") & F.col("_near") & (F.col("_gap") < rcov)
+    one = c.where((F.col("_n") == 1) | F.col("_k") | added).select("tree_id", "a", "b")
+    return one.unionByName(one.select("tree_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
 def box_neighbourhood(points: DataFrame, corners: DataFrame, edge: float, n: int) -> DataFrame:
     """``tree_id, box, pid``: points in the cells from ``n`` below to ``n`` above those of each box's two corners (``x0`` .. ``z1``, in any order).
 
