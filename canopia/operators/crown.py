@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopia.functions.vectors import orthonormal, vector
-from canopia.operators.graph import ancestors
+from canopia.operators.graph import depths
 from canopia.plans.shared import materialize
 
 
@@ -41,13 +41,13 @@ def spreads(points: DataFrame, layers: int = 20, pairs: int = 18) -> DataFrame:
     return one.groupBy("tree_id", "layer", (F.col("_s") % pairs).alias("direction")).agg(F.sum("_r").alias("spread"))
 
 
-def hull(xy: np.ndarray) -> tuple[float, float, float]:
-    """Area and centre of the convex hull of points in a plane (sorted sweep)."""
+def corners(xy: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of points in a plane, against the clock from the lowest x on (sorted sweep)."""
     p = np.unique(xy, axis=0)
     if len(p) < 3:
-        return 0.0, *p.mean(0)
+        return p
     turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-    chains = []
+    chains: list = []
     for row in (p, p[::-1]):
         chain: list = []
         for q in row:
@@ -55,31 +55,192 @@ def hull(xy: np.ndarray) -> tuple[float, float, float]:
                 chain.pop()
             chain.append(q)
         chains += chain[:-1]
-    h = np.array(chains)
-    x, y = h.T
+    return np.array(chains)
+
+
+def hull(xy: np.ndarray) -> tuple[float, float, float]:
+    """Area and centre of the convex hull of points in a plane."""
+    x, y = corners(xy).T
     x1, y1 = np.roll(x, -1), np.roll(y, -1)
     c = x * y1 - x1 * y
     area = c.sum() / 2
     if abs(area) < 1e-15:
-        return 0.0, *p.mean(0)
+        return 0.0, float(x.mean()), float(y.mean())
     return float(area), float(((x + x1) * c).sum() / (6 * area)), float(((y + y1) * c).sum() / (6 * area))
 
 
-def hulls(points: DataFrame, cell: float) -> DataFrame:
-    """``tree_id, area, xc, yc`` of the convex hull seen from above. A cell of the grid that lies between others of its row
-    and of its column holds no corner, so only the points of the outer cells are gathered."""
-    grid = points.select("tree_id", "x", "y", F.floor(F.col("y") / cell).alias("_k"), F.floor(F.col("x") / cell).alias("_j"))
-    cells = grid.select("tree_id", "_k", "_j").distinct()
-    row, column = Window.partitionBy("tree_id", "_k"), Window.partitionBy("tree_id", "_j")
-    ends = [F.col("_j") == f("_j").over(row) for f in (F.min, F.max)] + [F.col("_k") == f("_k").over(column) for f in (F.min, F.max)]
-    outer = cells.withColumn("_edge", ends[0] | ends[1] | ends[2] | ends[3]).where("_edge")
-    inside = grid.join(outer, ["tree_id", "_k", "_j"], "left_semi")
+def _corners(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+    found = [corners(np.column_stack([a, b])) for a, b in zip(x, y, strict=True)]
+    return pd.DataFrame({"x": [h[:, 0] for h in found], "y": [h[:, 1] for h in found]})
+
+
+def hull_corners(points: DataFrame, by: list[str], cells: int = 64) -> DataFrame:
+    """``by`` and ``k, x, y``: the corners of each group's convex hull seen from above, against the clock; a point or line has its ends.
+
+    A cell of a grid of ``cells`` by ``cells`` with occupied cells towards all four corners (both further on and higher, further on and lower, ...) holds no
+    corner of the hull, so only the points of the other cells are gathered.
+    """
+    ends = points.groupBy(*by).agg(*[f(c).alias(f"_{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))])
+    part = lambda c: F.coalesce(F.least(F.floor((F.col(c) - F.col(f"_{c}0")) / F.nullif(F.col(f"_{c}1") - F.col(f"_{c}0"), F.lit(0.0)) * cells), F.lit(cells - 1)), F.lit(0))
+    grid = points.select(*by, "x", "y").join(ends, by).select(*by, "x", "y", part("x").alias("_j"), part("y").alias("_k"))
+    # Of each column the lowest and highest cell, then the lowest and highest of all columns before and after.
+    line = Window.partitionBy(*by).orderBy("_j")
+    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    columns = grid.groupBy(*by, "_j").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
+    columns = columns.select(*by, "_j", *[f(c).over(w).alias(n) for f, c, w, n in ((F.min, "_lo", before, "_l0"), (F.max, "_hi", before, "_l1"), (F.min, "_lo", after, "_r0"), (F.max, "_hi", after, "_r1"))])
+    k = F.col("_k")
+    inside = F.coalesce((F.col("_l0") < k) & (F.col("_l1") > k) & (F.col("_r0") < k) & (F.col("_r1") > k), F.lit(False))
+    outer = grid.join(columns, [*by, "_j"]).where(~inside).groupBy(*by).agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
+    found = outer.select(*by, F.pandas_udf(_corners, "x array<double>, y array<double>")("x", "y").alias("_h"))
+    return found.select(*by, F.posexplode(F.arrays_zip("_h.x", "_h.y")).alias("k", "_p")).select(*by, F.col("k").cast("long").alias("k"), "_p.x", "_p.y")
+
+
+def hull_measures(hull: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and ``area, xc, yc, widest``: area and centre of gravity of hulls (of a line its middle), and the greatest distance of two corners."""
+    line = Window.partitionBy(*by).orderBy("k")
+    x1, y1 = [F.coalesce(F.lead(c).over(line), F.first(c).over(line)) for c in "xy"]
+    # From the first corner on, so that places far from the origin cost no digits.
+    x0, y0 = [F.first(c).over(line) for c in "xy"]
+    c = hull.select(*by, "x", "y", x0.alias("_x0"), y0.alias("_y0"), (F.col("x") - x0).alias("_x"), (F.col("y") - y0).alias("_y"), (x1 - x0).alias("_u"), (y1 - y0).alias("_v"))
+    c = c.withColumn("_c", F.col("_x") * F.col("_v") - F.col("_u") * F.col("_y"))
+    m = c.groupBy(*by).agg((F.sum("_c") / 2).alias("area"), F.sum((F.col("_x") + F.col("_u")) * F.col("_c")).alias("_sx"), F.sum((F.col("_y") + F.col("_v")) * F.col("_c")).alias("_sy"), F.first("_x0").alias("_x0"), F.first("_y0").alias("_y0"), *[((F.min(c) + F.max(c)) / 2).alias(f"_m{c}") for c in "xy"])
+    flat = F.col("area") < 1e-12
+    m = m.select(*by, F.when(flat, 0.0).otherwise(F.col("area")).alias("area"), *[F.when(flat, F.col(f"_m{c}")).otherwise(F.col(f"_{c}0") + F.col(f"_s{c}") / (F.col("area") * 6)).alias(f"{c}c") for c in "xy"])
+    other = hull.select(*by, F.col("x").alias("_u"), F.col("y").alias("_v"))
+    dx, dy = F.col("x") - F.col("_u"), F.col("y") - F.col("_v")
+    return m.join(hull.join(other, by).groupBy(*by).agg(F.max(F.sqrt(dx * dx + dy * dy)).alias("widest")), by)
+
+
+def hulls(points: DataFrame, cells: int = 64) -> DataFrame:
+    """``tree_id, area, xc, yc`` of each tree's convex hull seen from above."""
+    return hull_measures(hull_corners(points, ["tree_id"], cells), ["tree_id"]).drop("widest")
+
+
+def crown_diameters(cylinders: DataFrame, pairs: int = 18) -> DataFrame:
+    """``tree_id, mean, widest, area``: of the crown seen from above.
+
+    The mean is over ``pairs`` directions: from the hull's centre to the farthest tip of a cylinder in each of two opposite sectors, added up, with 0 for a
+    sector without tips. The widest is that of the hull of the model's surface.
+    """
+    m = hull_measures(hull_corners(surface_points(cylinders), ["tree_id"]), ["tree_id"])
+    tips = cylinders.select("tree_id", *[(F.col(f"s{n}") + F.col(f"a{n}") * F.col("length")).alias(n) for n in "xy"]).join(m, "tree_id")
+    dx, dy = F.col("x") - F.col("xc"), F.col("y") - F.col("yc")
+    far = tips.groupBy("tree_id", sector(dx, dy, 2 * pairs).alias("_s")).agg(F.max(F.sqrt(dx * dx + dy * dy)).alias("_r"))
+    return far.groupBy("tree_id").agg((F.sum("_r") / pairs).alias("mean")).join(m.select("tree_id", "widest", "area"), "tree_id")
+
+
+def hull_spreads(points: DataFrame, layers: int = 20, pairs: int = 18) -> DataFrame:
+    """``tree_id, layer, direction, spread``: as :func:`spreads`, measured from the centre of each layer's own hull; layers of less than three places have none."""
+    m = points.groupBy("tree_id").agg(F.min("z").alias("_z0"), F.max("z").alias("_z1"))
+    layer = F.least(F.floor((F.col("z") - F.col("_z0")) / F.nullif(F.col("_z1") - F.col("_z0"), F.lit(0.0)) * layers), F.lit(layers - 1)).cast("long")
+    p = points.join(m, "tree_id").select("tree_id", layer.alias("layer"), "x", "y").distinct()
+    enough = p.groupBy("tree_id", "layer").agg(F.count(F.lit(1)).alias("_n")).where("_n > 2").drop("_n")
+    p = p.join(enough, ["tree_id", "layer"])
+    centre = hull_measures(hull_corners(p, ["tree_id", "layer"]), ["tree_id", "layer"]).select("tree_id", "layer", "xc", "yc")
+    dx, dy = F.col("x") - F.col("xc"), F.col("y") - F.col("yc")
+    one = p.join(centre, ["tree_id", "layer"]).groupBy("tree_id", "layer", sector(dx, dy, 2 * pairs).alias("_s")).agg(F.max(F.sqrt(dx * dx + dy * dy)).alias("_r"))
+    return one.groupBy("tree_id", "layer", (F.col("_s") % pairs).alias("direction")).agg(F.sum("_r").alias("spread"))
+
+
+class Hull3:
+    """Convex hull of points in space: from a first tetrahedron on, the farthest point outside a face replaces the faces that it sees."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.points = p = np.unique(points, axis=0)
+        self.faces: dict[tuple[int, int, int], tuple[np.ndarray, float, np.ndarray]] = {}
+        size = np.abs(p - p.mean(0)).max() if len(p) else 0.0
+        self.least = 1e-10 * max(size, 1e-300)
+        first = self._tetrahedron()
+        if first is None:
+            return
+        inside = p[first].mean(0)
+        self._inside = inside
+        rest = np.setdiff1d(np.arange(len(p)), first)
+        a, b, c, d = first
+        rest = self._add([(a, b, c), (a, b, d), (a, c, d), (b, c, d)], rest)
+        while True:
+            face = next((f for f, (_, _, out) in self.faces.items() if len(out)), None)
+            if face is None:
+                return
+            normal, offset, out = self.faces[face]
+            tip = int(out[np.argmax(p[out] @ normal - offset)])
+            seen = [f for f, (n, o, _) in self.faces.items() if p[tip] @ n - o > self.least]
+            left = np.unique(np.concatenate([self.faces[f][2] for f in seen]))
+            edges = {}
+            for f in seen:
+                for e in ((f[0], f[1]), (f[1], f[2]), (f[0], f[2])):
+                    edges[tuple(sorted(e))] = edges.get(tuple(sorted(e)), 0) + 1
+                del self.faces[f]
+            self._add([(*e, tip) for e, n in edges.items() if n == 1], left[left != tip])
+
+    def _tetrahedron(self) -> list[int] | None:
+        p = self.points
+        if len(p) < 4:
+            return None
+        a = int(np.argmin(p[:, 0]))
+        b = int(np.argmax(np.linalg.norm(p - p[a], axis=1)))
+        u = p[b] - p[a]
+        off = np.linalg.norm(np.cross(p - p[a], u), axis=1)
+        c = int(np.argmax(off))
+        if off[c] <= self.least * np.linalg.norm(u):
+            return None
+        n = np.cross(u, p[c] - p[a])
+        high = np.abs((p - p[a]) @ n)
+        d = int(np.argmax(high))
+        return None if high[d] <= self.least * np.linalg.norm(n) else [a, b, c, d]
+
+    def _add(self, faces: list[tuple[int, int, int]], rest: np.ndarray) -> np.ndarray:
+        p = self.points
+        for f in faces:
+            n = np.cross(p[f[1]] - p[f[0]], p[f[2]] - p[f[0]])
+            size = np.linalg.norm(n)
+            if size == 0:
+                continue
+            n = n / size
+            if (self._inside - p[f[0]]) @ n > 0:
+                n = -n
+            offset = float(p[f[0]] @ n)
+            outside = p[rest] @ n - offset > self.least
+            self.faces[f] = (n, offset, rest[outside])
+            rest = rest[~outside]
+        return rest
+
+    def corners(self) -> np.ndarray:
+        return self.points[sorted({i for f in self.faces for i in f})] if self.faces else self.points
+
+    def volume(self) -> float:
+        p = self.points
+        return sum(abs(np.dot(p[a] - self._inside, np.cross(p[b] - self._inside, p[c] - self._inside))) for a, b, c in self.faces) / 6 if self.faces else 0.0
 
-    def one(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        area, x, y = hull(b[["x", "y"]].to_numpy())
-        return pd.DataFrame({"tree_id": [key[0]], "area": [area], "xc": [x], "yc": [y]})
 
-    return inside.select("tree_id", "x", "y").groupBy("tree_id").applyInPandas(one, "tree_id long, area double, xc double, yc double")
+def _corners3(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.DataFrame:
+    found = [Hull3(np.column_stack(p)).corners() for p in zip(x, y, z, strict=True)]
+    return pd.DataFrame({c: [h[:, i] for h in found] for i, c in enumerate("xyz")})
+
+
+def _volume(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+    return pd.Series([Hull3(np.column_stack(p)).volume() for p in zip(x, y, z, strict=True)], dtype=float)
+
+
+def hull_volumes(points: DataFrame, part: int = 5000) -> DataFrame:
+    """``tree_id, volume`` of each tree's convex hull in space; 0 for flat clouds.
+
+    Points are dealt to parts of about ``part``, whose corners alone go on, in as many rounds as it takes until no tree has more than one part or a round
+    leaves over half of the points: then nearly all are corners.
+    """
+    p = points.select("tree_id", "x", "y", "z").distinct()
+    gathered = [F.collect_list(c).alias(c) for c in "xyz"]
+    while True:
+        n = materialize(p.groupBy("tree_id").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"), F.count(F.lit(1)).alias("_n")), "hull_parts")
+        largest, total = n.agg(F.max("_parts"), F.sum("_n")).first()
+        if largest is None or largest <= 1:
+            break
+        dealt = p.join(n, "tree_id").withColumn("_part", F.pmod(F.xxhash64("x", "y", "z"), F.col("_parts"))).groupBy("tree_id", "_part").agg(*gathered)
+        h = dealt.select("tree_id", F.pandas_udf(_corners3, "x array<double>, y array<double>, z array<double>")("x", "y", "z").alias("_h"))
+        p = materialize(h.select("tree_id", F.inline(F.arrays_zip("_h.x", "_h.y", "_h.z"))).toDF("tree_id", "x", "y", "z"), "hull_corners")
+        if p.count() > total / 2:
+            break
+    return p.groupBy("tree_id").agg(*gathered).select("tree_id", F.pandas_udf(_volume, "double")("x", "y", "z").alias("volume"))
 
 
 def raster_counts(points: DataFrame, edge: float) -> DataFrame:
@@ -153,7 +314,16 @@ def crown_base(cylinders: DataFrame, dbh: DataFrame) -> DataFrame:
     major = first.groupBy("tree_id").agg(F.min(F.struct(F.coalesce("_small", F.lit(True)).alias("s"), F.col("_b.sz").alias("z"), "branch")).alias("_m")).select("tree_id", F.col("_m.branch").alias("ancestor"))
     above = cylinders.select("tree_id", F.col("cyl").alias("_cyl"), F.col("branch").alias("parent"))
     nodes = materialize(ends.select("tree_id", "branch", F.col("_b.parent").alias("_cyl"), "_low").join(above, ["tree_id", "_cyl"], "left").drop("_cyl"), "branches")
-    below = ancestors(nodes.select("tree_id", "branch", "parent"), ["tree_id", "branch"]).join(major, ["tree_id", "ancestor"]).select("tree_id", "branch")
+    # The major branch is made a root; what then has it as its root grows from it.
+    cut = nodes.join(major.withColumn("_root", F.lit(True)), (nodes["tree_id"] == major["tree_id"]) & (nodes["branch"] == major["ancestor"]), "left").select(nodes["tree_id"], "branch", F.when(F.col("_root").isNull(), F.col("parent")).alias("parent"))
+    below = depths(cut, ["tree_id", "branch"]).join(major.withColumnRenamed("ancestor", "root"), ["tree_id", "root"], "left_semi").select("tree_id", "branch")
     ground = cylinders.groupBy("tree_id").agg(F.min_by("sz", "cyl").alias("_ground"))
     low = nodes.join(below, ["tree_id", "branch"], "left_semi").groupBy("tree_id").agg(F.min("_low").alias("_low"))
     return low.join(ground, "tree_id").select("tree_id", (F.col("_low") - F.col("_ground")).alias("crown_base"))
+
+
+def crown_volumes(cylinders: DataFrame, dbh: DataFrame) -> DataFrame:
+    """``tree_id, volume`` of the hull in space of the model's surface from the crown's base up."""
+    ground = cylinders.groupBy("tree_id").agg(F.min_by("sz", "cyl").alias("_ground"))
+    from_ = crown_base(cylinders, dbh).join(ground, "tree_id").select("tree_id", (F.col("crown_base") + F.col("_ground")).alias("_from"))
+    return hull_volumes(surface_points(cylinders).join(from_, "tree_id").where(F.col("z") >= F.col("_from")))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopia.plans import crown_queries, distribution_queries, feature_queries, model_queries, more_queries, set_queries, site_queries, small_queries, space_queries, tree_queries
+from canopia.plans import attribute_queries, crown_queries, distribution_queries, feature_queries, model_queries, more_queries, set_queries, site_queries, small_queries, space_queries, tree_queries
 
-MODULES = [crown_queries, distribution_queries, feature_queries, model_queries, more_queries, set_queries, site_queries, small_queries, space_queries, tree_queries]
+MODULES = [attribute_queries, crown_queries, distribution_queries, feature_queries, model_queries, more_queries, set_queries, site_queries, small_queries, space_queries, tree_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -49,7 +49,7 @@ def geo16_spreads(spark, sf_dir):
 @query()
 def geo13_hulls(spark, sf_dir):
     """Tested against a hull over all points."""
-    return rounded(crown.hulls(tables.points(spark, sf_dir), 0.05))
+    return rounded(crown.hulls(tables.points(spark, sf_dir)))
 
 
 @query(""", c AS (SELECT tree_id, CAST(floor(x / 0.05) AS BIGINT) AS cx, CAST(floor(y / 0.05) AS BIGINT) AS cy, count(*) AS n FROM points GROUP BY ALL)

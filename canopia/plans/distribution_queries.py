@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from canopia.operators import attributes, tree
 from canopia.operators import distributions as dist
-from canopia.operators import tree
+from canopia.plans.attribute_queries import ALL, NAMES
 from canopia.plans.oracle import off_ties, with_tables
 from canopia.plans.tree_queries import A, V
 from canopia.plans.tree_queries import rounded as rounded_to
@@ -15,7 +16,6 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 BRANCH_COLUMNS = ["diameter", "volume", "area", "length", "angle", "height", "azimuth", "zenith"]
-SCALARS = ["total_volume", "trunk_volume", "branch_volume", "trunk_length", "branch_length", "area", "n_branches", "n_cylinders"]
 
 # What the SQL builds on: branches with all columns, the three families of distributions, dense ones, reference shapes.
 BR = f""", bt AS (SELECT tree_id, branch, branch_order, min(cyl) AS first_cylinder, sum({V}) AS volume, sum({A}) AS area, sum(length) AS length FROM cylinder GROUP BY ALL),
@@ -60,22 +60,18 @@ shapes AS (SELECT n, bin, ref, coalesce(d / nullif(sum(d) OVER (PARTITION BY n,
 DIFFERENCES = "SELECT tree_id, dist, ref, round(avg(abs(share - density)), 6) + 0.0 AS mean_diff, round(max(abs(share - density)), 6) + 0.0 AS max_diff FROM dense JOIN shapes USING (n, bin) GROUP BY ALL"
 PLACES = """, up AS (SELECT *, round(sum(share) OVER (PARTITION BY tree_id, dist ORDER BY bin), 9) AS c FROM dense), q AS (SELECT *, unnest(range(1, 20)) AS pct FROM up)
 SELECT tree_id, dist, pct, round((min(bin) + 1) / CAST(max(n) AS DOUBLE), 6) + 0.0 AS value FROM q WHERE c > pct / 20.0 GROUP BY ALL"""
-TOTALS = f""", sc AS (SELECT tree_id, sum({V}) AS total_volume, sum(CASE WHEN branch_order = 0 THEN {V} ELSE 0 END) AS trunk_volume, sum(CASE WHEN branch_order > 0 THEN {V} ELSE 0 END) AS branch_volume,
-  sum(CASE WHEN branch_order = 0 THEN length ELSE 0 END) AS trunk_length, sum(CASE WHEN branch_order > 0 THEN length ELSE 0 END) AS branch_length, sum({A}) AS area, count(DISTINCT branch) AS n_branches, count(*) AS n_cylinders FROM cylinder GROUP BY tree_id)"""
-
-
 def _intervals(table: str, where: str, intervals: list[tuple[int, int]], first: str, last: str) -> str:
-    per = ", ".join(f"round(v / nullif(CAST({n} AS DOUBLE), 0), 6) + 0.0 AS per_{n}" for n in SCALARS)
+    per = ", ".join(f"round(v / nullif(CAST({n} AS DOUBLE), 0), 6) + 0.0 AS per_{n}" for n in NAMES)
     spans = ", ".join(f"({a}, {b})" for a, b in intervals)
-    return TOTALS + f""", w AS (SELECT *, greatest(max(bin) OVER (PARTITION BY tree_id, dist) + 1, 10) AS n FROM {table} WHERE {where}), i AS (SELECT * FROM (VALUES {spans}) v(low, high)),
-s AS (SELECT tree_id, dist, low, high, sum(CASE WHEN bin + 1 BETWEEN {first} AND {last} THEN value ELSE 0 END) AS v FROM w, i GROUP BY ALL)
-SELECT tree_id, dist, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high, {per} FROM s JOIN sc USING (tree_id)"""
+    return ALL + f""", iw AS (SELECT *, greatest(max(bin) OVER (PARTITION BY tree_id, dist) + 1, 10) AS n FROM {table} WHERE {where}), i AS (SELECT * FROM (VALUES {spans}) v(low, high)),
+isum AS (SELECT tree_id, dist, low, high, sum(CASE WHEN bin + 1 BETWEEN {first} AND {last} THEN value ELSE 0 END) AS v FROM iw, i GROUP BY ALL)
+SELECT tree_id, dist, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high, {per} FROM isum JOIN sc USING (tree_id)"""
 
 
-def query(sql: str):
+def query(sql: str, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLE[f.__name__] = with_tables(off_ties(sql), "cylinder")
+        ORACLE[f.__name__] = with_tables(off_ties(sql), "cylinder", recursive=recursive)
         return f
 
     return add
@@ -99,16 +95,16 @@ def agg12_branch_distributions(spark, sf_dir):
     return rounded(dist.dense(dist.branch_distributions(_branches(spark, sf_dir))).select("tree_id", "dist", "bin", "value"))
 
 
-@query(CYL + _intervals("cyl_dist", "dist LIKE '%Dia' OR dist LIKE '%Hei'", dist.TENTHS, "ceil(round((low + 1) * n / 10.0, 6))", "floor(round(high * n / 10.0, 6))"))
+@query(CYL + _intervals("cyl_dist", "dist LIKE '%Dia' OR dist LIKE '%Hei'", dist.TENTHS, "ceil(round((low + 1) * n / 10.0, 6))", "floor(round(high * n / 10.0, 6))"), recursive=True)
 def fea4_all_interval_sums(spark, sf_dir):
     bins = _cylinders(spark, sf_dir).where(F.col("dist").rlike("(Dia|Hei)$"))
-    return rounded(dist.interval_sums(bins, tree.totals(tables.cylinders(spark, sf_dir)), SCALARS, dist.TENTHS, True), 6)
+    return rounded(dist.interval_sums(bins, attributes.scalars(tables.cylinders(spark, sf_dir), volume=False), NAMES, dist.TENTHS, True), 6)
 
 
-@query(BR + ORD + _intervals("order_dist", "true", dist.ORDERS, "low", "high"))
+@query(BR + ORD + _intervals("order_dist", "true", dist.ORDERS, "low", "high"), recursive=True)
 def fea5_order_interval_sums(spark, sf_dir):
-    """Sums over branch orders 1 to 5 and all intervals of them, of four measures, divided by each scalar."""
-    return rounded(dist.interval_sums(dist.order_distributions(_branches(spark, sf_dir)), tree.totals(tables.cylinders(spark, sf_dir)), SCALARS, dist.ORDERS, False), 6)
+    """Sums over branch orders 1 to 5 and all intervals of them, of four measures, divided by each of twenty scalars."""
+    return rounded(dist.interval_sums(dist.order_distributions(_branches(spark, sf_dir)), attributes.scalars(tables.cylinders(spark, sf_dir), volume=False), NAMES, dist.ORDERS, False), 6)
 
 
 @query(CYL + _dense("cyl_dist") + _shapes() + " " + DIFFERENCES)

@@ -120,7 +120,7 @@ def test_hull_of_outer_cells_is_the_whole_hull(spark):
     r = np.random.default_rng(2)
     p = r.normal(size=(400, 2))
     df = spark.createDataFrame([(1, k, float(x), float(y), 0.0) for k, (x, y) in enumerate(p)], "tree_id long, pid long, x double, y double, z double")
-    got = crown.hulls(df, 0.3).first()
+    got = crown.hulls(df, 7).first()
     assert (got.area, got.xc, got.yc) == pytest.approx(crown.hull(p))
     assert crown.hull(np.array([[0.0, 0], [2, 0], [2, 2], [0, 2], [1, 1]])) == pytest.approx((4, 1, 1)) and crown.hull(np.zeros((3, 2)))[0] == 0
 
