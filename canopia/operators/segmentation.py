@@ -88,7 +88,6 @@ def layer_table(points: DataFrame, sets: DataFrame) -> DataFrame:
     p = points.withColumnRenamed("pid", "centre").select("tree_id", "centre", "x", "y", "z")
     n = sets.join(p, ["tree_id", "centre"]).groupBy("tree_id", F.col("component").alias("node"), "segment", "parent_segment", "layer").agg(*[F.avg(c).alias(c) for c in "xyz"], F.max("z").alias("top"))
     n = materialize(n, "layer_table")
-    below = n.select("tree_id", F.col("segment").alias("_s"), (F.col("layer") + 1).alias("layer"), F.col("node").alias("up"))
-    own = n.join(below, (n["tree_id"] == below["tree_id"]) & (n["segment"] == below["_s"]) & (n["layer"] == below["layer"]), "left").select(*[n[c] for c in n.columns], F.col("up").alias("_own"))
-    out = own.join(below, (own["tree_id"] == below["tree_id"]) & (own["parent_segment"] == below["_s"]) & (own["layer"] == below["layer"]), "left")
-    return out.select(*[own[c] for c in ("tree_id", "node")], F.coalesce("_own", "up").alias("up"), *[own[c] for c in ("segment", "layer", "x", "y", "z", "top")])
+    under = lambda segment, name: n.select("tree_id", F.col("segment").alias(segment), (F.col("layer") + 1).alias("layer"), F.col("node").alias(name))
+    out = n.join(under("segment", "_own"), ["tree_id", "segment", "layer"], "left").join(under("parent_segment", "_parent"), ["tree_id", "parent_segment", "layer"], "left")
+    return out.select("tree_id", "node", F.coalesce("_own", "_parent").alias("up"), "segment", "layer", "x", "y", "z", "top")
