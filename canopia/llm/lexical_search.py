@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopia.plans.shared import broadcast_if_small, materialize
+from canopia.plans.shared import bounded_batches, broadcast_if_small, materialize
 
 #: A term is a longest run of none of these characters, with A-Z lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -71,6 +71,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An impact is ``(SCALE * tf) div (1000 * tf + 8 * m)``, where m is FLAT hundredths and the rest in proportion to the document's length over
     the mean. Documents without a term are in no shard.
     """
+    bounded_batches(docs.sparkSession)
     text = F.col(text_col)
     n = F.regexp_count(text, F.lit(TERM))
     n_docs, n_terms = docs.agg(F.count(F.when(n > 0, 1)), F.coalesce(F.sum(n), F.lit(0))).first()
