@@ -220,16 +220,17 @@ def extended_sets(members: DataFrame, neighbours: DataFrame) -> DataFrame:
     return members.select("tree_id", "centre", "pid").unionByName(beside)
 
 
-def main_directions(points: DataFrame) -> DataFrame:
-    """``tree_id``, ``along_x`` .. and ``across_x`` ..: unit vectors to the largest and the smallest eigenvalue of each cloud's covariance, the largest
-    component positive; null where two eigenvalues are equal.
+def main_directions(points: DataFrame, by: tuple[str, ...] = ("tree_id",), shape: bool = False) -> DataFrame:
+    """``by``, ``along_x`` .. and ``across_x`` ..: unit vectors to the largest and the smallest eigenvalue of each cloud's covariance, the largest
+    component positive; null where two eigenvalues are equal, and for a single point. With ``shape`` also ``n_points`` and how far the group is a line, a plane or neither (``linear``,
+    ``planar``, ``scattered``: steps between the eigenvalues as shares of the first, null where all points are one).
 
     An eigenvector is the longest cross product of two rows of the shifted matrix. Step by step, so no expression is repeated within another.
     """
     pairs = ["xx", "xy", "xz", "yy", "yz", "zz"]
-    c = points.groupBy("tree_id").agg(*[F.covar_samp(p[0], p[1]).alias(p) for p in pairs])
-    first, _, last = eigenvalues(*[F.col(p) for p in pairs])
-    c = c.withColumns({"_along": first, "_across": last})
+    c = points.groupBy(*by).agg(*[F.covar_samp(p[0], p[1]).alias(p) for p in pairs], F.count(F.lit(1)).alias("n_points"))
+    first, middle, last = eigenvalues(*[F.col(p) for p in pairs])
+    c = c.withColumns({"_along": first, "_between": middle, "_across": last})
     for name in ("along", "across"):
         rows = [[F.col(p) - F.col(f"_{name}") if p[0] == p[1] else F.col(p) for p in row] for row in (("xx", "xy", "xz"), ("xy", "yy", "yz"), ("xz", "yz", "zz"))]
         sides = {f"_s{i}": cross(rows[a], rows[b]) for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)))}
@@ -240,4 +241,6 @@ def main_directions(points: DataFrame) -> DataFrame:
         c = c.withColumn("_large", F.greatest(*[F.abs(f"_v{n}") for n in "xyz"])).withColumn("_size", norm([F.col(f"_v{n}") for n in "xyz"]))
         sign = F.when(F.abs("_vx") == F.col("_large"), F.signum("_vx")).when(F.abs("_vy") == F.col("_large"), F.signum("_vy")).otherwise(F.signum("_vz"))
         c = c.withColumns({f"{name}_{n}": F.col(f"_v{n}") * sign / F.nullif(F.col("_size"), F.lit(0.0)) for n in "xyz"})
-    return c.select("tree_id", *[f"{name}_{n}" for name in ("along", "across") for n in "xyz"])
+    e1, e2, e3 = (F.col(f"_{k}") / F.nullif(F.col("_along"), F.lit(0.0)) for k in ("along", "between", "across"))
+    more = ["n_points", (e1 - e2).alias("linear"), (e2 - e3).alias("planar"), e3.alias("scattered")] if shape else []
+    return c.select(*by, *more, *[f"{name}_{n}" for name in ("along", "across") for n in "xyz"])

@@ -137,12 +137,44 @@ def agg26_shape(spark, sf_dir):
     return rounded(c.select("tree_id", ((e1 - e2) / e1).alias("linear"), ((e2 - e3) / e1).alias("planar"), (e3 / e1).alias("scattered"), ((e1 - e2) / e1 > 0.85).alias("is_line")))
 
 
-@query()
+def _directions(by: str, names: list[str], extra: str = "") -> str:
+    """Eigenvectors of the covariances of groups, in SQL: the longest cross product of two rows of the shifted matrix."""
+    v = """, g AS (SELECT {by}, count(*) AS n_points, covar_samp(x, x) AS xx, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, y) AS yy, covar_samp(y, z) AS yz, covar_samp(z, z) AS zz FROM points GROUP BY ALL),
+p AS (SELECT *, (xx + yy + zz) / 3 AS mean, sqrt((pow(xx - (xx + yy + zz) / 3, 2) + pow(yy - (xx + yy + zz) / 3, 2) + pow(zz - (xx + yy + zz) / 3, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM g),
+b AS (SELECT *, coalesce((xx - mean) / nullif(p, 0), 0) AS ba, coalesce((yy - mean) / nullif(p, 0), 0) AS bb, coalesce((zz - mean) / nullif(p, 0), 0) AS bc, coalesce(xy / nullif(p, 0), 0) AS bd, coalesce(xz / nullif(p, 0), 0) AS be, coalesce(yz / nullif(p, 0), 0) AS bf FROM p),
+r AS (SELECT *, acos(least(greatest((ba * (bb * bc - bf * bf) - bd * (bd * bc - bf * be) + be * (bd * bf - bb * be)) / 2, -1), 1)) / 3 AS angle FROM b),
+e AS (SELECT *, mean + 2 * p * cos(angle) AS along, mean + 2 * p * cos(angle + 2.0943951023931953) AS across FROM r)""".replace("{by}", by)
+    last = "e"
+    for k in ("along", "across"):
+        rows = [(f"xx - {k}", "xy", "xz"), ("xy", f"yy - {k}", "yz"), ("xz", "yz", f"zz - {k}")]
+        sides = [[f"({a[i]}) * ({b[j]}) - ({a[j]}) * ({b[i]})" for i, j in ((1, 2), (2, 0), (0, 1))] for a, b in ((rows[0], rows[1]), (rows[0], rows[2]), (rows[1], rows[2]))]
+        v += f", {k}1 AS (SELECT *, " + ", ".join(f"{side[i]} AS s{j}{c}" for j, side in enumerate(sides) for i, c in enumerate("xyz")) + f" FROM {last})"
+        v += f", {k}2 AS (SELECT *, " + ", ".join(f"s{j}x * s{j}x + s{j}y * s{j}y + s{j}z * s{j}z AS n{j}" for j in range(3)) + f" FROM {k}1)"
+        v += f", {k}3 AS (SELECT *, " + ", ".join(f"CASE WHEN n0 = greatest(n0, n1, n2) THEN s0{c} WHEN n1 = greatest(n0, n1, n2) THEN s1{c} ELSE s2{c} END AS v{c}" for c in "xyz") + f" FROM {k}2)"
+        v += f", {k}4 AS (SELECT *, nullif(sqrt(vx * vx + vy * vy + vz * vz), 0) * CASE WHEN abs(vx) = greatest(abs(vx), abs(vy), abs(vz)) THEN sign(vx) WHEN abs(vy) = greatest(abs(vx), abs(vy), abs(vz)) THEN sign(vy) ELSE sign(vz) END AS size FROM {k}3)"
+        v += f", {k}5 AS (SELECT * EXCLUDE (size, vx, vy, vz, n0, n1, n2, s0x, s0y, s0z, s1x, s1y, s1z, s2x, s2y, s2z), " + ", ".join(f"vx / size AS {k}_x, vy / size AS {k}_y, vz / size AS {k}_z".split(", ")) + f" FROM {k}4)"
+        last = f"{k}5"
+    vectors_ = ", ".join(f"round({k}_{c}, 4) + 0.0 AS {k}_{c}" for k in ("along", "across") for c in "xyz")
+    return f"{v} SELECT {', '.join(names)}, {extra}{vectors_} FROM {last}"
+
+
+@query(_directions("tree_id", ["tree_id"]), "points")
 def fun5_main_directions(spark, sf_dir):
     """Unit vectors most along and most across each cloud; a test compares them with a numerical eigensolver."""
     return rounded(spatial.main_directions(tables.points(spark, sf_dir)))
 
 
+SHARE = "round({} / nullif(along, 0), 4) + 0.0 AS {}, "
+SHAPES = "n_points, " + SHARE.format("(along - (3 * mean - along - across))", "linear") + SHARE.format("((3 * mean - along - across) - across)", "planar") + SHARE.format("across", "scattered")
+
+
+@query(_directions("tree_id, " + ", ".join(f"CAST(floor({c} / 0.25) AS BIGINT) AS c{c}" for c in "xyz"), ["tree_id", "cx", "cy", "cz"], SHAPES), "points")
+def old7_set_shapes(spark, sf_dir):
+    """Shape and main directions of every set of points, the sets being cells of 25 cm."""
+    p = tables.points(spark, sf_dir).withColumns({f"c{c}": F.floor(F.col(c) / 0.25).cast("long") for c in "xyz"})
+    return rounded(spatial.main_directions(p, ("tree_id", "cx", "cy", "cz"), shape=True))
+
+
 @query(""", n AS (SELECT tree_id, CAST(floor(x / 0.05) AS BIGINT) AS cx, CAST(floor(y / 0.05) AS BIGINT) AS cy, count(*) AS n FROM points GROUP BY ALL), d AS (SELECT tree_id, cx + i AS cx, cy + j AS cy, sum(n) / 9.0 AS mean FROM n, (SELECT unnest([-1, 0, 1]) AS i) a, (SELECT unnest([-1, 0, 1]) AS j) b GROUP BY ALL),
 k AS (SELECT d.*, row_number() OVER (PARTITION BY d.tree_id ORDER BY round(mean, 9) DESC, d.cx, d.cy) AS k FROM d JOIN n ON n.tree_id = d.tree_id AND n.cx = d.cx AND n.cy = d.cy) SELECT tree_id, cx, cy, round(mean, 4) + 0.0 AS mean FROM k WHERE k = 1""", "points")
 def win12_densest_place(spark, sf_dir):

@@ -11,8 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from canopia.plans.shared import broadcast_if_small, materialize
+
 # Scalar types of PLY and PCD headers as numpy and Spark know them.
 PLY_TYPES = {"float": ("<f4", "float"), "double": ("<f8", "double"), "uchar": ("u1", "int"), "char": ("i1", "int"), "int": ("<i4", "int"), "uint": ("<u4", "long"), "short": ("<i2", "int"), "ushort": ("<u2", "int")}
+#: Name that fields without one are read under; they are not returned.
+PADDING = "_padding"
 PCD_TYPES = {("F", 4): ("<f4", "float"), ("F", 8): ("<f8", "double"), ("U", 1): ("u1", "int"), ("U", 2): ("<u2", "int"), ("U", 4): ("<u4", "long"), ("I", 1): ("i1", "int"), ("I", 2): ("<i2", "int"), ("I", 4): ("<i4", "int")}
 
 
@@ -36,6 +40,24 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     return n.select("file", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate("xyz")], F.slice("v", F.lit(4), F.size("v")).alias("rest"))
 
 
+def read_named_cloud(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and the named columns of text clouds separated by commas or white space, as doubles; columns that a file lacks are null.
+
+    A line with a field ``x`` or ``//x`` (either case) names a file's columns, in small letters; those of a file without one are ``x, y, z, v0 ..``. Fields beyond the names and lines with anything but numbers
+    are left out. The names, one row a file, meet the lines by a join; only the different names come to the driver.
+    """
+    t = spark.read.text(path).select(_stem(F.col("_metadata.file_path")).alias("file"), F.split(F.trim("value"), r"[,\s]+").alias("v"))
+    low = F.transform("v", lambda x: F.regexp_replace(F.lower(x), "^//", ""))
+    named = t.select("file", low.alias("names")).where(F.array_contains("names", "x")).groupBy("file").agg(F.min("names").alias("names"))
+    lines = t.select("file", F.transform("v", lambda x: x.try_cast("double")).alias("v")).where((F.size("v") >= 3) & F.forall("v", lambda x: x.isNotNull()))
+    size = lines.groupBy("file").agg(F.max(F.size("v")).alias("_n"))
+    own = F.concat(F.array(*map(F.lit, "xyz")), F.when(F.col("_n") > 3, F.transform(F.sequence(F.lit(0), F.col("_n") - 4), lambda i: F.concat(F.lit("v"), i.cast("string")))).otherwise(F.array().cast("array<string>")))
+    files = materialize(size.join(named, "file", "left").select("file", F.coalesce("names", own).alias("names")), "file_columns")
+    order = files.select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()
+    with_names = lines.join(broadcast_if_small(files), "file")
+    return with_names.select("file", *[F.get("v", F.array_position("names", r["name"]).cast("int") - 1).alias(r["name"]) for r in order])
+
+
 def read_cylinders(spark: SparkSession, path: str) -> DataFrame:
     """The 14 columns of cylinder tables; 0 as parent or extension is none."""
     names = ["radius", "length", "sx", "sy", "sz", "ax", "ay", "az", "parent", "extension", "branch", "branch_order", "position", "added"]
@@ -93,12 +115,52 @@ def _pcd_header(raw: bytes) -> tuple[list[tuple[str, str, str]], int, bool, int]
         if w and not w[0].startswith("#"):
             found[w[0]] = w[1:]
         at = end + 1
-    props = [(n, *PCD_TYPES[(t, int(s))]) for n, t, s in zip(found["FIELDS"], found["TYPE"], found["SIZE"], strict=True)]
-    return props, int(found["POINTS"][0]), found["DATA"][0] == "binary", at
+    many = [int(c) for c in found.get("COUNT", ["1"] * len(found["FIELDS"]))]
+    props = []
+    for k, (n, t, s, c) in enumerate(zip(found["FIELDS"], found["TYPE"], found["SIZE"], many, strict=True)):
+        n = f"{PADDING}{k}" if n == "_" else n
+        props += [(n if c == 1 else f"{n}_{i}", *PCD_TYPES[(t, int(s))]) for i in range(c)]  # a field of several values is as many columns
+    form = found["DATA"][0]
+    if form not in ("ascii", "binary", "binary_compressed"):
+        raise ValueError(f"PCD data of form {form} cannot be read")
+    return props, int(found["POINTS"][0]), {"ascii": False, "binary": True}.get(form, many), at
+
+
+def _unpacked(raw: bytes, size: int) -> bytes:
+    """The bytes that an LZF stream stands for: runs given as they are (a number below 32, less one) and references back (length in the upper three bits, distance in the rest and the next byte)."""
+    out, at, end = bytearray(), 0, len(raw)
+    while at < end:
+        mark = raw[at]
+        at += 1
+        if mark < 32:
+            out += raw[at : at + mark + 1]
+            at += mark + 1
+            continue
+        length = mark >> 5
+        if length == 7:
+            length += raw[at]
+            at += 1
+        back = len(out) - ((mark & 31) << 8 | raw[at]) - 1
+        at, length = at + 1, length + 2
+        if back < 0:
+            raise ValueError("compressed data refer to a place before their start")
+        piece = out[back : back + length]
+        out += (piece * (length // len(piece) + 1))[:length]  # what is referred to may still be being written
+    if len(out) != size:
+        raise ValueError(f"compressed data hold {len(out)} bytes, {size} are said")
+    return bytes(out)
 
 
 def _cloud(raw: bytes, header) -> pd.DataFrame:
     props, n, binary, at = header(raw)
+    if isinstance(binary, list):  # packed: all values of one field after those of another
+        packed, size = struct.unpack_from("<II", raw, at)
+        data, at, columns, k = _unpacked(raw[at + 8 : at + 8 + packed], size), 0, {}, 0
+        for many in binary:
+            field = np.frombuffer(data, props[k][1], n * many, at).reshape(n, many)
+            columns |= {props[k + i][0]: field[:, i] for i in range(many)}
+            at, k = at + field.nbytes, k + many
+        return pd.DataFrame(columns)
     if binary:
         a = np.frombuffer(raw, np.dtype([p[:2] for p in props]), n, at)
         return pd.DataFrame({p[0]: a[p[0]].astype(a[p[0]].dtype.newbyteorder("=")) for p in props})
@@ -111,7 +173,7 @@ def _read_binary_cloud(spark: SparkSession, path: str, header) -> DataFrame:
 
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = {(p[0], p[2], i) for h in b["h"] for i, p in enumerate(header(bytes(h))[0])}
+            found = {(p[0], p[2], i) for h in b["h"] for i, p in enumerate(header(bytes(h))[0]) if not p[0].startswith(PADDING)}
             yield pd.DataFrame(sorted(found), columns=["name", "kind", "at"])
 
     # The columns of all files, as wide as any has them; there are no more different ones than headers name.
@@ -139,7 +201,7 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pcd(spark: SparkSession, path: str) -> DataFrame:
-    """``file, pid`` and the fields of PCD files, text or binary."""
+    """``file, pid`` and the fields of PCD files, text, binary or compressed. A field of several values is as many columns (``name_0`` ..), padding is none."""
     return _read_binary_cloud(spark, path, _pcd_header)
 
 

@@ -110,3 +110,82 @@ def test_texts_of_models_and_meshes(spark, tmp_path):
     assert [r.line for r in number_lines(v, ["x", "y", "vid"], order="vid").orderBy("vid").collect()] == ["0.00000\t0.500000\t0.00000", "1.00000\t0.500000\t1.00000", "2.00000\t0.500000\t2.00000"]
     save_model({"vertices": v, "faces": f}, f"{tmp_path}/model")
     assert spark.read.parquet(f"{tmp_path}/model/vertices").count() == 3 and spark.read.parquet(f"{tmp_path}/model/faces").first()["box"] == 4
+
+
+def packed(data: bytes) -> bytes:
+    """An LZF stream of ``data``: references to the longest earlier piece wherever three bytes repeat, else runs as they are."""
+    out, run, at = bytearray(), bytearray(), 0
+
+    def flush():
+        for k in range(0, len(run), 32):
+            out.append(len(run[k : k + 32]) - 1)
+            out.extend(run[k : k + 32])
+        run.clear()
+
+    while at < len(data):
+        back = data.rfind(data[at : at + 3], max(0, at - 8000), at + 2) if at + 3 <= len(data) else -1
+        if back < 0:
+            run.append(data[at])
+            at += 1
+            continue
+        n = 3
+        while n < 264 and at + n < len(data) and data[back + n] == data[at + n]:
+            n += 1
+        flush()
+        far = at - back - 1
+        out.extend([(n - 2) << 5 | far >> 8, far & 255] if n - 2 < 7 else [7 << 5 | far >> 8, n - 9, far & 255])
+        at += n
+    flush()
+    return bytes(out)
+
+
+def test_packed_bytes_come_back():
+    r = np.random.default_rng(2)
+    for data in (b"", b"a", b"abc" * 400, b"x" * 5000, r.integers(0, 4, 6000, dtype=np.uint8).tobytes(), r.integers(0, 256, 3000, dtype=np.uint8).tobytes()):
+        assert files._unpacked(packed(data), len(data)) == data
+    with pytest.raises(ValueError):
+        files._unpacked(packed(b"abcdef"), 5)
+    with pytest.raises(ValueError):
+        files._unpacked(bytes([1 << 5, 9]), 3)
+
+
+@pytest.mark.parametrize("form", ["ascii", "binary", "binary_compressed"])
+def test_pcd_forms(spark, tmp_path, form):
+    r = np.random.default_rng(3)
+    kinds = np.dtype([("x", "<f4"), ("pad", "u1", 3), ("h", "<f4", 2), ("ring", "<u2")])
+    a = np.zeros(50, kinds)
+    a["x"], a["h"], a["ring"] = np.round(r.normal(size=50), 2), np.round(r.normal(size=(50, 2)), 2), r.integers(0, 9, 50)
+    if form == "ascii":
+        body = "\n".join(" ".join(map(str, [p["x"], *p["pad"], *p["h"], p["ring"]])) for p in a).encode()
+    elif form == "binary":
+        body = a.tobytes()
+    else:
+        raw = b"".join(np.ascontiguousarray(a[n]).tobytes() for n in kinds.names)
+        small = packed(raw)
+        body = np.array([len(small), len(raw)], "<u4").tobytes() + small
+    head = f"VERSION 0.7\nFIELDS x _ h ring\nSIZE 4 1 4 2\nTYPE F U F U\nCOUNT 1 3 2 1\nWIDTH 50\nHEIGHT 1\nPOINTS 50\nDATA {form}\n"
+    (tmp_path / "a.pcd").write_bytes(head.encode() + body)
+    got = files.read_pcd(spark, str(tmp_path)).orderBy("pid")
+    assert got.columns == ["file", "pid", "x", "h_0", "h_1", "ring"]
+    rows = got.collect()
+    assert np.allclose([[x.x, x.h_0, x.h_1, x.ring] for x in rows], np.column_stack([a["x"], a["h"], a["ring"]]))
+
+
+def test_unknown_pcd_form_is_refused():
+    with pytest.raises(ValueError, match="zipped"):
+        files._pcd_header(b"FIELDS x\nSIZE 4\nTYPE F\nPOINTS 0\nDATA zipped\n")
+
+
+def test_named_columns_of_text_clouds(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("//X Y Z Intensity\n1 2 3 4\n5 6 7 8\nno number here at\n")
+    (tmp_path / "b.txt").write_text("y,x,z\n1,2,3\n")
+    (tmp_path / "c.txt").write_text("1 2 3 4 5\n1 2 3\n")
+    (tmp_path / "d.txt").write_text("")
+    got = files.read_named_cloud(spark, str(tmp_path))
+    assert set(got.columns) == {"file", "x", "y", "z", "intensity", "v0", "v1"}
+    rows = sorted((r.file, r.x, r.y, r.z, r.intensity, r.v0, r.v1) for r in got.where("file <> 'c'").collect())
+    assert rows == [("a", 1, 2, 3, 4, None, None), ("a", 5, 6, 7, 8, None, None), ("b", 2, 1, 3, None, None, None)]
+    assert sorted((r.z, r.v0 or 0, r.v1 or 0) for r in got.where("file = 'c'").collect()) == [(3, 0, 0), (3, 4, 5)]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.txt").write_text("")
+    assert files.read_named_cloud(spark, f"{tmp_path}/none").columns == ["file"]

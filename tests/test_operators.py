@@ -258,3 +258,21 @@ def test_features_of_a_tree_by_hand(spark):
     whole = {(r.orders, r.column): r for r in s.collect()}
     assert near(whole[(0, "length")].median, 1.0) and near(whole[(1, "diameter")].mean_of_most, 1.0) and len(whole) == 4
     assert near(next(r.value for r in dist.mean_ratios(s).collect() if (r.orders, r.a, r.b) == (0, "diameter", "length")), 0.04)
+
+
+def test_shapes_of_sets(spark):
+    """A line, a plane, a single point and points in one place, each a set of its own."""
+    import numpy as np
+
+    from canopia.operators.spatial import main_directions
+
+    r = np.random.default_rng(8)
+    sets = {1: np.outer(r.normal(size=40), [1, 2, 2]) + r.normal(0, 0.001, (40, 3)), 2: r.normal(size=(60, 3)) * [1, 1, 0.001], 3: np.ones((1, 3)), 4: np.ones((5, 3))}
+    rows = [(1, k, *map(float, x)) for k, p in sets.items() for x in p]
+    p = spark.createDataFrame(rows, "tree_id long, centre long, x double, y double, z double")
+    got = {x.centre: x for x in main_directions(p, ("tree_id", "centre"), shape=True).collect()}
+    assert got[1].linear > 0.99 and abs(got[1].along_x - 1 / 3) < 0.01 and got[2].planar > 0.5 and abs(got[2].across_z) > 0.99
+    assert got[3].linear is None and got[3].along_x is None and got[4].linear is None and got[4].n_points == 5
+    for k in (1, 2):
+        e = np.linalg.eigvalsh(np.cov(sets[k].T))[::-1]
+        assert np.allclose([got[k].linear, got[k].planar, got[k].scattered], [(e[0] - e[1]) / e[0], (e[1] - e[2]) / e[0], e[2] / e[0]], atol=1e-9)
