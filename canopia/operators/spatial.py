@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopia.functions.vectors import cross, dot, eigenvalues, norm
-from canopia.plans.shared import discard, materialize
+from canopia.plans.shared import broadcast_if_small, discard, materialize
 
 
 def voxels(points: DataFrame, edge: float) -> DataFrame:
@@ -169,23 +169,57 @@ def box_neighbourhood(points: DataFrame, corners: DataFrame, edge: float, n: int
     return p.join(boxes, ["tree_id", "_cx", "_cy", "_cz"]).select("tree_id", "box", "pid")
 
 
-def nearest_between(a: DataFrame, b: DataFrame, radius: float, max_rounds: int = 40) -> DataFrame:
-    """``tree_id, pid_a, pid_b, dist``: the nearest pair between two sets of points of each tree, ties by the numbers.
+def nearest_between(a: DataFrame, b: DataFrame, edge: float, deeper: int = 8) -> DataFrame:
+    """``tree_id, pid_a, pid_b, dist``: the nearest pair between two sets of points of each tree, ties by the numbers. Points without a place and trees with one set alone have no row.
 
-    Pairs within ``radius`` are looked at first; trees without one are tried again with twice that, so far pairs are never made for
-    trees whose sets are close.
+    Pairs of cells are looked at, first those as wide as a tree, then their halves, down to ``edge`` and at most ``deeper`` times beyond. Of these a pair stays if its cells come as near to each other as the
+    nearest two points known, one of each cell; what lies in no such pair is dropped before the next round. Pairs of points are made only in what is left when these are
+    few beside the points, so sets far from each other cost no more than those that touch.
     """
-    left = materialize(a.select("tree_id").distinct().join(b.select("tree_id").distinct(), "tree_id"), "sets")
-    out = None
-    for _ in range(max_rounds):
-        pairs = radius_pairs(a.join(left, "tree_id", "left_semi"), b.join(left, "tree_id", "left_semi"), radius)
-        best = materialize(pairs.groupBy("tree_id").agg(F.min(F.struct("dist", "pid_a", "pid_b")).alias("_b")).select("tree_id", "_b.pid_a", "_b.pid_b", "_b.dist"), "nearest")
-        out = best if out is None else out.unionByName(best)
-        left = materialize(left.join(best, "tree_id", "left_anti"), "sets")
-        if left.isEmpty():
-            return out
-        radius *= 2
-    raise RuntimeError(f"no pair found in {max_rounds} rounds")
+    at = ["_cx", "_cy", "_cz"]
+    place = lambda p, s: p.select("tree_id", "pid", "x", "y", "z").where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz")).join(s.select("tree_id").distinct(), "tree_id", "left_semi")
+    a, b = materialize(place(a, b), "left_points"), materialize(place(b, a), "right_points")
+    both = a.unionByName(b).groupBy("tree_id").agg(*[(F.max(c) - F.min(c)).alias(f"_{c}") for c in "xyz"])
+    wide = both.agg(F.max(F.greatest("_x", "_y", "_z"))).first()[0]
+    side = edge
+    while wide is not None and side < wide:
+        side *= 2
+
+    def cells(p: DataFrame, n: str) -> DataFrame:
+        """Cells with their number of points and the first of these."""
+        c = p.withColumns({k: F.floor(F.col(x) / side).cast("long") for k, x in zip(at, "xyz", strict=True)}).groupBy("tree_id", *at)
+        c = c.agg(F.count(F.lit(1)).alias(f"n{n}"), F.min(F.struct("pid", "x", "y", "z")).alias(f"p{n}"))
+        return c.select("tree_id", *[F.col(k).alias(f"{k}{n}") for k in at], *[F.floor(F.col(k) / 2).cast("long").alias(f"_u{k}{n}") for k in at], f"n{n}", f"p{n}")
+
+    pairs, best, points = None, None, a.count() + b.count()
+    while True:
+        ca, cb = cells(a, "a"), cells(b, "b")
+        if pairs is None:
+            c = ca.join(cb, "tree_id")  # at most eight cells of a tree on either side
+        else:
+            up = lambda n: [F.col(f"{k}{n}").alias(f"_u{k}{n}") for k in at]
+            c = pairs.select("tree_id", *up("a"), *up("b")).join(ca, ["tree_id", *[f"_u{k}a" for k in at]]).join(cb, ["tree_id", *[f"_u{k}b" for k in at]])
+        gap = [F.greatest(F.abs(F.col(f"{k}a") - F.col(f"{k}b")) - 1, F.lit(0)) * side for k in at]
+        apart = [F.col(f"pa.{x}") - F.col(f"pb.{x}") for x in "xyz"]
+        size = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+        c = materialize(c.withColumns({"_least": size(gap), "_known": size(apart)}), "cell_pairs")
+        known = c.groupBy("tree_id").agg(F.min("_known").alias("_best"))
+        known = known if best is None else known.unionByName(best).groupBy("tree_id").agg(F.min("_best").alias("_best"))
+        best = materialize(known, "nearest_known")
+        # A point may lie outside its cell by a rounding.
+        slack = F.lit(1e-9) * (F.lit(side) + F.col("_best"))
+        pairs = materialize(c.join(broadcast_if_small(best), "tree_id").where(F.col("_least") <= F.col("_best") + slack).select("tree_id", *[f"{k}{n}" for n in "ab" for k in at], "na", "nb"), "near_cells")
+        within = lambda p, n: p.withColumns({f"{k}{n}": F.floor(F.col(x) / side).cast("long") for k, x in zip(at, "xyz", strict=True)})
+        kept = lambda p, n, tag: materialize(within(p, n).join(pairs.select("tree_id", *[f"{k}{n}" for k in at]).distinct(), ["tree_id", *[f"{k}{n}" for k in at]], "left_semi").select("tree_id", "pid", "x", "y", "z"), tag)
+        if (pairs.agg(F.sum(F.col("na") * F.col("nb"))).first()[0] or 0) <= 8 * points or side < edge / 2**deeper:
+            break
+        a, b = kept(a, "a", "left_points"), kept(b, "b", "right_points")
+        side /= 2
+    left = within(a, "a").withColumnRenamed("pid", "pid_a")
+    right = within(b, "b").select("tree_id", F.col("pid").alias("pid_b"), *[F.col(c).alias(f"_{c}") for c in "xyz"], *[f"{k}b" for k in at])
+    d = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in "xyz"), F.lit(0.0)))
+    found = pairs.join(left, ["tree_id", *[f"{k}a" for k in at]]).join(right, ["tree_id", *[f"{k}b" for k in at]]).withColumn("dist", d)
+    return found.groupBy("tree_id").agg(F.min(F.struct("dist", "pid_a", "pid_b")).alias("_b")).select("tree_id", "_b.pid_a", "_b.pid_b", "_b.dist")
 
 
 def greedy_density_filter(points: DataFrame, radius: float, least: int) -> DataFrame:

@@ -276,3 +276,20 @@ def test_shapes_of_sets(spark):
     for k in (1, 2):
         e = np.linalg.eigvalsh(np.cov(sets[k].T))[::-1]
         assert np.allclose([got[k].linear, got[k].planar, got[k].scattered], [(e[0] - e[1]) / e[0], (e[1] - e[2]) / e[0], e[2] / e[0]], atol=1e-9)
+
+
+def test_nearest_of_far_and_near_sets(spark):
+    """Sets that touch, lie far apart, are one place, or stand alone; against all pairs."""
+    import numpy as np
+
+    from canopia.operators.spatial import nearest_between
+
+    r = np.random.default_rng(12)
+    sets = {1: (r.normal(size=(300, 3)), r.normal(size=(300, 3))), 2: (r.normal(size=(400, 3)), r.normal(size=(400, 3)) + [900, -50, 3]), 3: (np.zeros((5, 3)), np.zeros((4, 3))), 4: (r.normal(size=(5, 3)), np.zeros((0, 3)))}
+    sets[5] = (np.array([[x * 0.1, y * 0.1, 0.0] for x in range(20) for y in range(20)]), np.array([[x * 0.1, y * 0.1, 5.0] for x in range(20) for y in range(20)]))
+    frame = lambda i: spark.createDataFrame([(t, 10 * k + i, *map(float, x)) for t, s in sets.items() for k, x in enumerate(s[i])] + [(1, 10_000 + i, None, 0.0, 0.0)], "tree_id long, pid long, x double, y double, z double")
+    got = {x.tree_id: (round(x.dist, 9), x.pid_a, x.pid_b) for x in nearest_between(frame(0), frame(1), 0.05).collect()}
+    want = {t: min((round(float(np.linalg.norm(p - q)), 9), 10 * i, 10 * j + 1) for i, p in enumerate(a) for j, q in enumerate(b)) for t, (a, b) in sets.items() if len(b)}
+    assert got == want
+    none = frame(0).limit(0)
+    assert nearest_between(none, frame(1), 0.05).count() == 0
