@@ -34,11 +34,15 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """The numbers, none below 0, in as few bytes each as the largest takes."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max())).newbyteorder("<")).tobytes()
+
+
 class Shard:
-    """Collects documents and lays their postings out as compressed sparse rows: of each term its documents, in order of their ids, with impacts."""
+    """Collects documents and lays their postings out as compressed sparse rows: of each term its documents, in order of their ids, with its times in each."""
 
-    def __init__(self, total_docs: int, total_terms: int) -> None:
-        self._n, self._all = total_docs, total_terms
+    def __init__(self) -> None:
         self._ids: list = []
         self._words: list[np.ndarray] = []
         self._number: defaultdict[bytes, int] = defaultdict()
@@ -56,43 +60,45 @@ class Shard:
         counts = np.array([len(w) for w in words], np.int64)
         pairs, tf = np.unique(np.concatenate(words) * len(words) + np.repeat(np.arange(len(words)), counts), return_counts=True)
         term, place = np.divmod(pairs, len(words))
-        m = np.array([FLAT + (100 - FLAT) * n * self._n // self._all for n in counts.tolist()], np.int64)
-        impact = SCALE * tf // (1000 * tf + 8 * m[place])
         return {
-            "ids": [self._ids[k] for k in order], "terms": [t.decode("utf-8", "surrogatepass") for t in self._number], "df": np.bincount(term, minlength=len(self._number)),
-            "places": place.astype("<i4").tobytes(), "impacts": impact.astype("<i4").tobytes(),
+            "ids": [self._ids[k] for k in order], "lengths": counts, "terms": [t.decode("utf-8", "surrogatepass") for t in self._number], "df": np.bincount(term, minlength=len(self._number)),
+            "places": _packed(place), "times": _packed(tf),
         }
 
 
+def impacts(times: np.ndarray, places: np.ndarray, lengths: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
+    """Of each posting ``(SCALE * tf) div (1000 * tf + 8 * m)``, where m is FLAT hundredths and the rest in proportion to the document's length over the mean."""
+    m = np.array([FLAT + (100 - FLAT) * n * n_docs // n_terms for n in lengths.tolist()], np.int64)
+    tf = times.astype(np.int64)
+    return SCALE * tf // (1000 * tf + 8 * m[places])
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_terms: int = SHARD_TERMS) -> tuple[DataFrame, int]:
-    """The index, a row for each shard, in a written table: ``ids``, ``terms``, ``df`` (documents of each term), and as bytes ``places`` and ``impacts``; and N.
+    """The index, a row for each shard, in a written table: ``ids``, ``lengths`` (terms of each document), ``terms``, ``df`` (documents of each term), and as bytes, of equal width in a shard, ``places`` and ``times``; and N.
 
-    Two scans of the texts: one counts the documents with terms (N) and their terms, the other makes the shards. No shuffle.
-    An impact is ``(SCALE * tf) div (1000 * tf + 8 * m)``, where m is FLAT hundredths and the rest in proportion to the document's length over
-    the mean. Documents without a term are in no shard.
+    One scan of the texts, no shuffle. The documents with terms (N) and their terms are counted from the shards, so impacts are made when
+    a shard is searched. Documents without a term are in no shard.
     """
     bounded_batches(docs.sparkSession)
-    text = F.col(text_col)
-    n = F.regexp_count(text, F.lit(TERM))
-    n_docs, n_terms = docs.agg(F.count(F.when(n > 0, 1)), F.coalesce(F.sum(n), F.lit(0))).first()
     kind = docs.select(F.col(id_col).alias("ids")).schema["ids"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(n_docs, n_terms)
+        shard = Shard()
         schema = None
         for batch in batches:
-            schema = schema or pa.schema([("ids", pa.list_(batch.schema.field("_id").type)), ("terms", pa.list_(pa.string())), ("df", pa.list_(pa.int32())), ("places", pa.binary()), ("impacts", pa.binary())])
+            schema = schema or pa.schema([("ids", pa.list_(batch.schema.field("_id").type)), ("lengths", pa.list_(pa.int32())), ("terms", pa.list_(pa.string())), ("df", pa.list_(pa.int32())), ("places", pa.binary()), ("times", pa.binary())])
             for i, t in zip(batch["_id"].to_pylist(), batch["_text"].to_pylist(), strict=True):
                 if words := _terms(t):
                     shard.add(i, words)
                 if shard.size >= shard_terms:
                     yield pa.RecordBatch.from_pylist([shard.row()], schema)
-                    shard = Shard(n_docs, n_terms)
+                    shard = Shard()
         if shard.size:
             yield pa.RecordBatch.from_pylist([shard.row()], schema)
 
-    shards = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).mapInArrow(run, f"ids array<{kind}>, terms array<string>, df array<int>, places binary, impacts binary")
-    return materialize(shards, "search_index"), n_docs
+    shards = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"ids array<{kind}>, lengths array<int>, terms array<string>, df array<int>, places binary, times binary")
+    index = materialize(shards, "search_index")
+    return index, index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
 
 
 def top_places(scores: np.ndarray, k: int) -> np.ndarray:
@@ -104,7 +110,7 @@ def top_places(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
 
 
-def _best(index: DataFrame, items: list[list[tuple[str, int]]], k: int) -> DataFrame:
+def _best(index: DataFrame, n_docs: int, n_terms: int, items: list[list[tuple[str, int]]], k: int) -> DataFrame:
     """``(_item, _id, score)``: of each item, by its number in ``items``, the ``k`` best documents of each shard."""
     sent = index.sparkSession.sparkContext.broadcast(items)
     kind = index.schema["ids"].dataType.elementType.simpleString()
@@ -120,13 +126,14 @@ def _best(index: DataFrame, items: list[list[tuple[str, int]]], k: int) -> DataF
                 where = pc.fill_null(pc.index_in(names, value_set=shard["terms"].values), -1).to_numpy(zero_copy_only=False)
                 ends = np.cumsum(shard["df"].values.to_numpy(), dtype=np.int64)
                 starts = ends - shard["df"].values.to_numpy()
-                places, impacts = (np.frombuffer(shard[c].as_buffer(), "<i4") for c in ("places", "impacts"))
+                places, times = (np.frombuffer(shard[c].as_buffer(), f"<u{len(shard[c].as_buffer()) // ends[-1]}") for c in ("places", "times"))
+                impact = impacts(times, places, shard["lengths"].values.to_numpy(), n_docs, n_terms)
                 found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for number, (terms, weights) in enumerate(of):
                     scores = np.zeros(len(ids), np.int64)
                     for t, w in zip(where[terms].tolist(), weights, strict=True):
                         if t >= 0:
-                            scores[places[starts[t] : ends[t]]] += w * impacts[starts[t] : ends[t]].astype(np.int64)
+                            scores[places[starts[t] : ends[t]]] += w * impact[starts[t] : ends[t]]
                     best = top_places(scores, k)
                     found.append((np.full(len(best), number), best, scores[best]))
                 item, place, score = map(np.concatenate, zip(*found, strict=True))
@@ -144,6 +151,8 @@ def search(index: DataFrame, n_docs: int, queries: DataFrame, k: int = 10, item_
     different pairs of item and term (an item is never split); each block is one pass over the index. The shards' best meet in
     a window whose rows are cut to ``k`` before they are shuffled.
     """
+    bounded_batches(index.sparkSession)
+    n_terms = index.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, n: s + n)), F.lit(0))).first()[0]
     pairs = queries.select(F.col(item_col).alias("_key"), F.explode(F.regexp_extract_all(lower_ascii(F.col(text_col)), F.lit(TERM), F.lit(0))).alias("_term")).distinct()
     pairs = materialize(pairs, "search_terms")
     wanted = broadcast_if_small(materialize(pairs.select("_term").distinct(), "search_words"))
@@ -165,9 +174,9 @@ def search(index: DataFrame, n_docs: int, queries: DataFrame, k: int = 10, item_
         items = of_block.where(F.col("_block") == b).groupBy("_key").agg(F.sort_array(F.collect_list("_x")).alias("_all")).collect()
         if items:
             names = queries.sparkSession.createDataFrame([(number, r["_key"]) for number, r in enumerate(items)], f"_item int, _key {queries.schema[item_col].dataType.simpleString()}")
-            parts.append(_best(index, [[(x["t"], x["w"]) for x in r["_all"]] for r in items], k).join(F.broadcast(names), "_item"))
+            parts.append(_best(index, n_docs, n_terms, [[(x["t"], x["w"]) for x in r["_all"]] for r in items], k).join(F.broadcast(names), "_item"))
     if not parts:
-        parts = [_best(index.limit(0), [[]], k).withColumn("_key", F.lit(None).cast(queries.schema[item_col].dataType))]
+        parts = [_best(index.limit(0), 0, 0, [[]], k).withColumn("_key", F.lit(None).cast(queries.schema[item_col].dataType))]
     rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.col("score").desc(), "_id"))
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select(F.col("_key").alias(item_col), "rank", F.col("_id").alias(id_col), "score")

@@ -194,3 +194,24 @@ def test_top_places_keep_the_lowest_of_ties():
     s = np.array([5, 0, 7, 5, 5, 9, 5, 0])
     assert sorted(top_places(s, 4).tolist()) == [0, 2, 3, 5] and sorted(top_places(s, 9).tolist()) == [0, 2, 3, 4, 5, 6] and top_places(s * 0, 3).tolist() == []
     assert lexical_search._terms("A-b_9 É") == [b"a", b"b", b"9", "É".encode()]
+
+
+def test_index_reads_each_text_once_and_sends_few_bytes_at_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    one = F.udf(lambda t: (seen.add(1), t)[1], "string").asNondeterministic()
+    rows, items = search_rows()
+    index, n = build_index(docs(spark, rows).withColumn("text", one("text")))
+    assert seen.value == len(rows)
+    got = search(index, n, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_search(rows, items) and seen.value == len(rows)
+    sizes = lambda batches: (b.from_arrays([[b.nbytes]], ["mb"]) for b in batches)
+    wide = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    sent = [r.mb for r in wide.mapInArrow(sizes, "mb long").collect()]
+    assert sum(sent) >= 40 << 20 and max(sent) <= 10 << 20
+
+
+def test_wide_numbers_in_a_shard(spark):
+    rows = [(1, "often " * 70_000 + "seldom"), (2, "seldom"), *[(k, "x y") for k in range(3, 400)]]
+    index, n = build_index(docs(spark, rows).coalesce(1))
+    got = search(index, n, spark.createDataFrame([(1, "often seldom"), (2, "y")], "item_id long, text string"))
+    assert index.count() == 1 and sorted((tuple(r) for r in got.collect()), key=str) == brute_search(rows, [(1, "often seldom"), (2, "y")])
