@@ -183,12 +183,12 @@ def _extended(docs: DataFrame, runs: DataFrame, reach: int, least: int) -> DataF
     return moved
 
 
-def _second_look(docs: DataFrame, near: DataFrame, several: DataFrame, short: DataFrame, min_words: int) -> DataFrame | None:
+def _second_look(docs: DataFrame, near: DataFrame, several: DataFrame, short: DataFrame, min_words: int, single: bool) -> DataFrame | None:
     """Spans of runs that the earlier place looked at does not hold far enough, but another does.
 
     ``short`` has what was left: ``(_id, _hash, _from, _to)``. All places of those fingerprints are looked at, and each run of ``min_words`` words
     that holds one is known by two hashes of 64 bits; the later ones of equal ones are the spans. So nothing is compared pair by pair. Fingerprints with
-    two places have no other to look at.
+    two places have no other to look at. ``single``: no rows of ``docs`` repeat both id and text.
     """
     k, w = _sizes(min_words)
     part = F.explode(F.sequence(F.shiftright("_from", 6), F.shiftright(F.col("_to") - k, 6)))
@@ -205,7 +205,8 @@ def _second_look(docs: DataFrame, near: DataFrame, several: DataFrame, short: Da
     starts = lambda t: F.array_distinct(F.flatten(F.transform("_all", lambda p: F.sequence(F.greatest(p - w + 1, F.lit(0)), F.greatest(F.least(p, F.size(t) - min_words), F.greatest(p - w + 1, F.lit(0)))))))
     digest = lambda t, p: F.struct(p.alias("_from"), F.struct(F.xxhash64(F.slice(t, p + 1, F.lit(min_words))).alias("a"), F.xxhash64(F.lit(1), F.slice(t, p + 1, F.lit(min_words))).alias("b")).alias("_gram"))
     runs = _let(_split(F.col("_text")), lambda t: F.transform(F.filter(starts(t), lambda p: p + min_words <= F.size(t)), lambda p: digest(t, p)))
-    grams = materialize(d.select("_id", "_hash", F.inline(runs)).distinct(), "runs_of_least_length")
+    grams = d.select("_id", "_hash", F.inline(runs))
+    grams = materialize(grams if single else grams.distinct(), "runs_of_least_length")
     several = materialize(grams.groupBy("_gram").agg(F.min(F.struct("_id", "_hash", "_from")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1"), "repeated_runs")
     later = join_by_key(grams, several, "_gram", "_times").where(~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_hash") == F.col("_first._hash")) & (F.col("_from") == F.col("_first._from"))))
     line = Window.partitionBy("_id", "_hash").orderBy("_from")
@@ -217,31 +218,33 @@ def _second_look(docs: DataFrame, near: DataFrame, several: DataFrame, short: Da
     return _places(docs, spans, 0).select(F.col("_i").alias("_id"), F.col("_h").alias("_hash"), F.col("_offset").alias("_start"), (F.col("_offset") + F.length("_after")).alias("_end"))
 
 
-def _copies(docs: DataFrame) -> DataFrame:
-    """``(_i, _h)``: the texts that an earlier id has as a whole."""
+def _copies(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``(_i, _h)``: the texts that an earlier id has as a whole; and whether no rows repeat both id and text."""
     texts = materialize(docs.select("_id", "_hash").distinct(), "texts")
     first = materialize(texts.groupBy("_hash").agg(F.min(F.struct("_id")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1"), "first_texts")
     found = join_by_key(texts, first, "_hash", "_times").where(~F.col("_id").eqNullSafe(F.col("_first._id")))
-    return materialize(found.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h")), "copies")
+    return materialize(found.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h")), "copies"), texts.count() == docs.count()
 
 
 def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     """``(__id, __hash, __spans)``: the characters to delete from each text, as sorted ``(start, end)``."""
-    copies = broadcast_if_small(_copies(docs))
+    copies, single = _copies(docs)
+    copies = broadcast_if_small(copies)
     is_copy = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
     # Words are counted after the join; the table in between keeps the condition from being moved to all texts.
     whole = materialize(docs.join(copies, is_copy).select("_id", "_hash", F.lit(0).alias("_start"), F.length("_text").alias("_end"), _words(F.col("_text")).alias("_n")), "whole")
     docs = docs.join(copies, is_copy, "left_anti")
     prints = materialize(_fingerprints(docs, min_words), "fingerprints")
     several = materialize(prints.groupBy("_fp").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"), "several")
-    near = materialize(join_by_key(prints, several, "_fp", "_times").distinct(), "repeated")  # rows that repeat id and text are one
+    near = join_by_key(prints, several, "_fp", "_times")
+    near = materialize(near if single else near.distinct(), "repeated")  # rows that repeat id and text are one
     discard(prints)
     runs = materialize(_runs(near, min_words), "runs")
     done = [whole.where(F.col("_n") >= min_words).drop("_n")]
     if not runs.isEmpty():
         moved = _extended(docs, runs, max(REACH, min_words), _sizes(min_words)[0])
         long = F.col("_to") - F.col("_from") >= min_words
-        more = _second_look(docs, near, several, moved.where(~long).select("_id", "_hash", "_from", "_to"), min_words)
+        more = _second_look(docs, near, several, moved.where(~long).select("_id", "_hash", "_from", "_to"), min_words, single)
         done += [moved.where(long).select("_id", "_hash", "_start", "_end"), *([] if more is None else [more])]
     found = reduce(DataFrame.unionByName, done).select("_id", "_hash", F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")).alias("_span"))
     per_doc = found.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("_span")).alias("__spans"))
@@ -265,20 +268,22 @@ def dedup_lines(
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
     marked = docs.drop(spans, removed).join(spans_of, on, "left").drop("__id", "__hash")
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("kept"), F.lit(0).alias("n"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("kept"), F.lit("").alias("gone"), F.lit(0).alias("n"))
 
     def without(done: Column, s: Column) -> Column:
-        """Copies what stands before a span; ``n`` counts spans that do not touch the one before."""
+        """Copies what stands before a span, and what is deleted; ``n`` counts spans that do not touch the one before."""
         kept = F.concat(done["kept"], F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0))))
+        first = F.greatest(s["start"], done["at"])
+        gone = F.concat(done["gone"], F.substring(text, first + 1, F.greatest(s["end"] - first, F.lit(0))))
         fresh = (s["start"] > done["at"]) | (done["n"] == 0)
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), kept.alias("kept"), (done["n"] + fresh.cast("int")).alias("n"))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), kept.alias("kept"), gone.alias("gone"), (done["n"] + fresh.cast("int")).alias("n"))
 
     some = F.coalesce(F.size("__spans") > 0, F.lit(False))
-    rest = lambda d: F.struct(F.concat(d["kept"], F.substring(text, d["at"] + 1, F.length(text))).alias("kept"), d["n"].alias("n"))
+    rest = lambda d: F.struct(F.concat(d["kept"], F.substring(text, d["at"] + 1, F.length(text))).alias("kept"), d["gone"].alias("gone"), d["n"].alias("n"))
     cut = marked.withColumn("__cut", F.when(some, F.aggregate("__spans", start, without, rest)))
     kept = F.when(some, F.col("__cut.kept")).otherwise(text)
     return cut.select(
         *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in (spans, removed)],
         F.when(some, F.col("__cut.n")).otherwise(0).cast("long").alias(spans),
-        F.when(some, _words(text) - _words(F.col("__cut.kept"))).otherwise(0).cast("long").alias(removed),
+        F.when(some, _words(F.col("__cut.gone"))).otherwise(0).cast("long").alias(removed),
     )

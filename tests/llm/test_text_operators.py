@@ -262,3 +262,21 @@ def test_line_dedup_extends_over_long_lines(spark):
     got = {r.doc_id: r for r in dedup_lines(docs(spark, rows)).collect()}
     assert got[1].n_removed == 320 and len(got[1].text.split()) == 1
     assert got[60].n_removed == 1200 and got[60].n_spans == 1
+
+
+def test_line_dedup_looks_for_repeated_rows_only_if_there_are_any(spark, monkeypatch):
+    from canopia.llm import line_dedup
+
+    plans, write = {}, line_dedup.materialize
+
+    def noted(df, tag):
+        plans[tag] = df._jdf.queryExecution().analyzed().toString()
+        return write(df, tag)
+
+    monkeypatch.setattr(line_dedup, "materialize", noted)
+    passage = words(70)
+    rows = [(1, " ".join(words(60) + passage[:42])), (2, " ".join(passage[30:] + words(60))), (3, " ".join(words(20) + passage + words(20))), (4, " " + " ".join(words(9) + passage + words(9)))]
+    for more, looked in (([], False), (rows[3:], True)):
+        got = {(r.doc_id, r.n_removed) for r in dedup_lines(docs(spark, rows + more)).collect()}
+        assert got == {(1, 0), (2, 0), (3, 0), (4, 70)}
+        assert [bool(re.search("Deduplicate|Distinct", plans[t])) for t in ("repeated", "runs_of_least_length")] == [looked] * 2
