@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ TERMS = SHAPES + WORDS
 WORD_SHARE = 0.3
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 BATCH = 512
+#: Labelled rows whose counts are dense at once while the model is fitted: 5 MB.
+FITTED = 256
 #: Repeats of a word are looked for this far back.
 BACK = 8
 
@@ -60,14 +62,32 @@ def terms(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _leading(x: np.ndarray) -> np.ndarray:
-    """The RANK leading right singular vectors of a matrix, by subspace iteration."""
-    q = np.random.default_rng(1).standard_normal((x.shape[1], RANK + 8)).astype(x.dtype)
+class Counts:
+    """Rows of :func:`terms` kept as what occurs in them; a slice is a dense block, so only a block of them is dense at once."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        """``rows`` hold pairs of two bytes each: column and count."""
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        rows = self.rows[part]
+        out = np.zeros((len(rows), TERMS), np.float32)
+        for x, r in zip(out, rows, strict=True):
+            at, n = np.frombuffer(r, "<u2").reshape(-1, 2).T
+            x[at] = n
+        return out
+
+
+def _leading(blocks: Callable[[], Iterator[np.ndarray]], columns: int) -> np.ndarray:
+    """The RANK leading right singular vectors of a matrix that comes as blocks of its rows, by subspace iteration."""
+    q = np.random.default_rng(1).standard_normal((columns, RANK + 8)).astype(np.float32)
     for _ in range(8):
-        q = np.linalg.qr(x.T @ (x @ q))[0]
-    small = (x @ q).astype(np.float64)
-    values, turn = np.linalg.eigh(small.T @ small)
-    return q @ turn[:, np.argsort(-values, kind="stable")[:RANK]].astype(x.dtype)
+        q = np.linalg.qr(sum(x.T @ (x @ q) for x in blocks()))[0]
+    values, turn = np.linalg.eigh(sum(y.T @ y for y in ((x @ q).astype(np.float64) for x in blocks())))
+    return q @ turn[:, np.argsort(-values, kind="stable")[:RANK]].astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -81,13 +101,16 @@ class Model:
     Shapes and words have a latent space each, fitted on the labelled texts; a text's vector is its place in both.
     """
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray) -> None:
-        self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-        self.axes = [_leading(x) if len(x) else np.zeros((x.shape[1], RANK), np.float32) for x in self._weighted(counts)]
-        self.vectors, self.labels = self.latent(counts), labels.astype(np.float64)
+    def __init__(self, counts: Counts, labels: np.ndarray) -> None:
+        dense = lambda: (counts[i : i + FITTED] for i in range(0, len(counts), FITTED))
+        self.idf = (np.log((1 + len(counts)) / (1 + sum(((x > 0).sum(0) for x in dense()), np.zeros(TERMS, np.int64)))) + 1).astype(np.float32)
+        spaces = [(lambda k=k: (self._weighted(x)[k] for x in dense()), n) for k, n in enumerate((SHAPES, WORDS))]
+        self.axes = [_leading(*x) if len(counts) else np.zeros((x[1], RANK), np.float32) for x in spaces]
+        self.vectors, self.labels = np.concatenate([np.zeros((0, 2 * RANK)), *(self.latent(x) for x in dense())]), labels.astype(np.float64)
         self.prior = float(labels.mean()) if len(labels) else 0.5
 
     def _weighted(self, counts: np.ndarray) -> list[np.ndarray]:
+        """The rows of both spaces, weighted, of length 1."""
         x = np.log1p(counts) * self.idf
         return [_unit(x[:, :SHAPES]), _unit(x[:, SHAPES:])]
 
@@ -139,11 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Of different texts under one id the one with the least counts is taken.
     each = texts.mapInPandas(count, "id string, label int, counts binary").groupBy("id").agg(F.min(F.struct("counts", "label")).alias("_row"))
     rows = each.select("id", "_row.*").orderBy("id").collect()
-    counts = np.zeros((len(rows), TERMS), np.float32)
-    for i, r in enumerate(rows):
-        at, n = np.frombuffer(bytes(r["counts"]), "<u2").reshape(-1, 2).T
-        counts[i, at] = n
-    return Model(counts, np.array([r["label"] for r in rows], np.int64))
+    return Model(Counts([bytes(r["counts"]) for r in rows]), np.array([r["label"] for r in rows], np.int64))
 
 
 def score_quality(
