@@ -14,13 +14,19 @@ from canopia.plans.shared import broadcast_if_small, discard, join_by_key, mater
 MIN_WORDS = 50
 #: Words by which a run is extended on either side: more than a repeated run can go on without a further fingerprint, which starts a run of its own.
 REACH = 48
-#: Words whose lengths are added up together, and neighbouring hashes whose least is taken together.
-BLOCK, EIGHT = 64, 8
+#: Words whose lengths are added up together.
+BLOCK = 64
+#: Words that are hashed together where runs of the least length are looked for.
+TEN = 10
+#: Words of so many bytes, modulo ``CYCLE``, come before all others in the order that fingerprints are chosen by: about one in six of European languages.
+COMES_FIRST, CYCLE = 2, 8
 #: Rounds in which hashes that are no window's least are left out; what a last round would still drop is kept and does no harm.
 ROUNDS = 6
-WORD_ENDS = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
+SPANS = "array<struct<start:int,end:int>>"
 SPACE = " \t\n\r\x0b\x0c"
 WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+#: A word with the white space after it.
+SPACED = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -32,26 +38,16 @@ def _split(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(SPACE)), GAP)
 
 
+def _spaced(text: Column | str) -> Column:
+    """The words of a text that begins with one, each with the white space that follows it."""
+    return F.regexp_extract_all(text, F.lit(SPACED), F.lit(0))
+
+
 def _at(value: Column) -> Column:
     """The place in a hash with its place below it."""
     return value.bitwiseAND(F.lit((1 << 31) - 1))
 
 
-def _near_least(values: Column, w: int) -> Column:
-    """``values`` without most of those that are not the least of any ``w`` neighbours.
-
-    A window of w that does not hold all eight of its value's block holds ``whole`` blocks next to it. So a window's least is
-    its block's, or below the least of those blocks on one side.
-    """
-    whole = (w - EIGHT + 1) // EIGHT
-    if whole < 1:
-        return values
-    least = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(values) - 1, 3)), lambda j: F.least(*[F.get(values, j * EIGHT + i) for i in range(EIGHT)]))
-    beside = lambda b, j, way: reduce(F.least, [F.coalesce(F.get(b, j + way * i), F.lit((1 << 63) - 1)) for i in range(1, whole + 1)]) if whole > 1 else F.coalesce(F.get(b, j + way), F.lit((1 << 63) - 1))
-    limits = lambda b: F.transform(b, lambda x, j: F.greatest(x, beside(b, j, 1), beside(b, j, -1)))
-    return _let(least, lambda b: _let(limits(b), lambda m: F.filter(values, lambda x, i: x <= F.get(m, F.shiftright(i, 3)))))
-
-
 def _thinned(values: Column, w: int, rounds: int = ROUNDS) -> Column:
     """``values`` without those between two lesser ones that all windows of ``w`` reach: the windows' least ones stay."""
     if not rounds:
@@ -70,46 +66,58 @@ def _sizes(min_words: int) -> tuple[int, int]:
 def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
     """``(_id, _hash, _at, _fp)``: the selected fingerprints of each text and the words they start at.
 
-    A fingerprint is a run of k words; the one that starts at the least of w neighbouring hashes of two words is selected (of equal
-    ones the first), where k + w - 1 = ``min_words``. So every run of ``min_words`` words, in any script, has a fingerprint of its own,
-    the same wherever it stands, and those of a longer run start at most w apart.
+    A fingerprint is a run of k words; the one that starts at the least of w neighbouring places is selected (of equal ones the first),
+    where k + w - 1 = ``min_words``. So every run of ``min_words`` words, in any script, has a fingerprint of its own,
+    the same wherever it stands, and those of a longer run start at most w apart. Places are in order of the length of their word
+    (``COMES_FIRST``), then of the hash of two words: only those that come first are hashed, and the others where w neighbours hold none of them.
     """
     k, w = _sizes(min_words)
-    # The hash above, the place below: the least of a window says where it stands. No text has 2^31 words.
-    value = lambda t: F.transform(t, lambda x, i: F.shiftleft(F.xxhash64(x, F.get(t, i + 1)), 31).bitwiseOR(i.cast("long")))
-    starts = lambda v: F.slice(v, F.lit(1), F.greatest(F.size(v) - k + 1, F.lit(0)))
-    start = lambda p: _at(p).cast("int")
+    # The hash above, the place (from 1) below: the least of a window says where it stands. No text has 2^31 words.
+    value = lambda t, i: F.shiftleft(F.xxhash64(F.get(t, i), F.get(t, i + 1)), 31).bitwiseOR((i + 1).cast("long"))
+    comes_first = lambda t: F.array_compact(F.transform(t, lambda x, i: F.when((F.octet_length(x) % CYCLE == COMES_FIRST) & (i <= F.size(t) - k), value(t, i).bitwiseOR(F.lit(-1 << 63)))))
+    ends = lambda t, u: F.concat(F.array(F.lit(0).cast("long")), u, F.array(F.greatest(F.size(t) - k + 2, F.lit(1)).cast("long")))
+    wide = lambda u, x, i: _at(F.get(u, i + 1)) - _at(x) > w
+    others = lambda t, lo, hi: F.transform(F.sequence(lo, hi - 2), lambda i: value(t, i.cast("int")).bitwiseAND(F.lit((1 << 63) - 1)))
+    fill = lambda t, u: F.flatten(F.transform(u, lambda x, i: F.when(wide(u, x, i), F.concat(F.array(x), others(t, _at(x), _at(F.get(u, i + 1))))).otherwise(F.array(x))))
+    filled = lambda t, c: _let(ends(t, c), lambda u: F.when(F.size(F.filter(u, lambda x, i: wide(u, x, i))) > 0, _let(fill(t, u), lambda v: F.slice(v, F.lit(2), F.size(v) - 2))).otherwise(c))
+    start = lambda p: _at(p).cast("int") - 1
     prints = lambda t, v: F.transform(v, lambda p: F.struct(start(p).alias("_at"), F.xxhash64(F.slice(t, start(p) + 1, F.lit(k))).alias("_fp")))
-    chosen = _let(_split(F.col("_text")), lambda t: _let(starts(value(t)), lambda v: _let(_near_least(v, w), lambda u: prints(t, _thinned(u, w)))))
+    chosen = _let(_split(F.col("_text")), lambda t: _let(comes_first(t), lambda u: _let(filled(t, u), lambda v: prints(t, _thinned(v, w)))))
     return docs.where(F.col("_text").isNotNull()).select("_id", "_hash", F.inline(chosen))
 
 
-def _linked(near: DataFrame) -> DataFrame:
-    """Repeated fingerprints ``(_fp, _id, _hash, _at)`` with an earlier place ``(_id0, _hash0, _shift)``: the one before in the same text if there is one, else the first of all."""
-    first = materialize(near.groupBy("_fp").agg(F.min(F.struct("_id", "_hash", "_at")).alias("_first"), F.count(F.lit(1)).alias("_times")), "first_places")
-    within = Window.partitionBy("_fp", "_id", "_hash").orderBy("_at")
-    linked = join_by_key(materialize(near.withColumn("_at_before", F.lag("_at").over(within)), "within"), first, "_fp", "_times")
-    own = F.col("_at_before").isNotNull()
-    return linked.select(
-        "_id", "_hash", "_at", F.when(own, F.col("_id")).otherwise(F.col("_first._id")).alias("_id0"), F.when(own, F.col("_hash")).otherwise(F.col("_first._hash")).alias("_hash0"),
-        (F.col("_at") - F.coalesce("_at_before", F.col("_first._at"))).alias("_shift"),
-    ).where(~(F.col("_id").eqNullSafe(F.col("_id0")) & (F.col("_hash") == F.col("_hash0")) & (F.col("_shift") == 0)))
+def _chains(linked: DataFrame, among: list[str], min_words: int) -> DataFrame:
+    """Chains of the fingerprints ``(_id, _hash, _at)`` of each text that stand at one distance ``_shift`` from an earlier place, each at most w on.
+
+    ``among`` ends with the columns of the earlier place's text and ``_shift``.
+    """
+    k, w = _sizes(min_words)
+    line = Window.partitionBy(*among).orderBy("_at")
+    gap = F.col("_at") - F.lag("_at").over(line) > w
+    return (
+        linked.withColumn("_run", F.sum(F.coalesce(gap.cast("int"), F.lit(0))).over(line))
+        .groupBy(*among, "_run").agg(F.min("_at").alias("_from"), (F.max("_at") + k).alias("_to"))
+        .select("_id", "_hash", "_from", "_to", F.col(among[-3]).alias("_id0"), F.col(among[-2]).alias("_hash0"), (F.col("_from") - F.col("_shift")).alias("_from0"))
+    )
 
 
 def _runs(near: DataFrame, min_words: int) -> DataFrame:
-    """``(_id, _hash, _from, _to, _id0, _hash0, _from0)``: chains of repeated fingerprints, each at most w words on, at one distance from where they stand earlier.
+    """``(_id, _hash, _from, _to, _id0, _hash0, _from0)``: chains of repeated fingerprints, each at most w words on, at one distance from where they stand earlier:
+    the place before in the same text if there is one, else the first of all.
 
     Texts are in order of their id (nulls first), then of their hash. What goes round in a circle is one run at the distance of a
     round. The words between two fingerprints of a chain may still differ.
     """
-    k, w = _sizes(min_words)
-    line = Window.partitionBy("_id", "_hash", "_id0", "_hash0", "_shift").orderBy("_at")
-    gap = F.col("_at") - F.lag("_at").over(line) > w
-    return (
-        _linked(near).withColumn("_run", F.sum(F.coalesce(gap.cast("int"), F.lit(0))).over(line))
-        .groupBy("_id", "_hash", "_id0", "_hash0", "_shift", "_run").agg(F.min("_at").alias("_from"), (F.max("_at") + k).alias("_to"))
-        .select("_id", "_hash", "_from", "_to", "_id0", "_hash0", (F.col("_from") - F.col("_shift")).alias("_from0"))
-    )
+    within = Window.partitionBy("_id", "_hash", "_fp").orderBy("_at")
+    # All places of a text come together once, for the places before and for the chains.
+    placed = near.repartition("_id", "_hash").withColumn("_at_before", F.lag("_at").over(within))
+    own = placed.where(F.col("_at_before").isNotNull()).select("_id", "_hash", "_at", (F.col("_at") - F.col("_at_before")).alias("_shift"))
+    heads = materialize(near.groupBy("_fp", "_id", "_hash").agg(F.min("_at").alias("_at")), "first_in_texts")
+    first = materialize(heads.groupBy("_fp").agg(F.min(F.struct("_id", "_hash", "_at")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1"), "first_places")
+    later = join_by_key(heads, first, "_fp", "_times").where(~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_hash") == F.col("_first._hash"))))
+    later = later.select("_id", "_hash", "_at", F.col("_first._id").alias("_id0"), F.col("_first._hash").alias("_hash0"), (F.col("_at") - F.col("_first._at")).alias("_shift"))
+    own = _chains(own, ["_id", "_hash", "_shift"], min_words)
+    return own.unionByName(_chains(later, ["_id", "_hash", "_id0", "_hash0", "_shift"], min_words))
 
 
 def _words(text: Column) -> Column:
@@ -118,7 +126,7 @@ def _words(text: Column) -> Column:
 
 def _equal(a: Column, b: Column) -> Column:
     """Which words of two lists are equal, whatever white space follows them."""
-    return F.zip_with(a, b, lambda x, y: F.btrim(x, F.lit(SPACE)).eqNullSafe(F.btrim(y, F.lit(SPACE))))
+    return F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) | F.btrim(x, F.lit(SPACE)).eqNullSafe(F.btrim(y, F.lit(SPACE))))
 
 
 def _places(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
@@ -129,19 +137,21 @@ def _places(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     """
     per_doc = materialize(wanted.groupBy("_i", "_h").agg(F.collect_set(F.struct("_pos", "_n")).alias("_all")), "places_wanted")  # at most two for each fingerprint
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    joined = lambda t, b, n: F.length(F.array_join(F.slice(t, b * BLOCK + 1, n), ""))
+    lengths = lambda t: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(t), 6)), lambda b: joined(t, b, F.lit(BLOCK)))
     by_block = lambda n: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(n), 6)), lambda b: total(F.slice(n, b * BLOCK + 1, F.lit(BLOCK))))
     part = lambda n, p: total(F.slice(n, F.shiftright(p, 6) * BLOCK + 1, p - F.shiftright(p, 6) * BLOCK))
     # Sums of blocks, and of blocks of blocks, so that very long texts cost no square.
-    up_to = lambda n, one, two, p: _let(F.shiftright(p, 6), lambda b: total(F.slice(two, F.lit(1), F.shiftright(b, 6))) + part(one, b) + part(n, p))
+    up_to = lambda t, one, two, p: _let(F.shiftright(p, 6), lambda b: total(F.slice(two, F.lit(1), F.shiftright(b, 6))) + part(one, b) + joined(t, b, p - b * BLOCK))
     before = lambda t, p: F.array_join(F.slice(t, F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach))), "")
 
     def all_places(t: Column) -> Column:
-        one = lambda x, n, a, b: F.struct(x["_pos"].alias("_pos"), x["_n"].alias("_n"), (F.col("_blank") + up_to(n, a, b, x["_pos"])).alias("_offset"), before(t, x["_pos"]).alias("_before"), F.array_join(F.slice(t, x["_pos"] + 1, x["_n"]), "").alias("_after"), F.least(x["_n"], F.size(t) - x["_pos"]).alias("_m"))
-        return _let(F.transform(t, F.length), lambda n: _let(by_block(n), lambda a: _let(by_block(a), lambda b: F.transform("_all", lambda x: one(x, n, a, b)))))
+        one = lambda x, a, b: F.struct(x["_pos"].alias("_pos"), x["_n"].alias("_n"), (F.col("_blank") + up_to(t, a, b, x["_pos"])).alias("_offset"), before(t, x["_pos"]).alias("_before"), F.array_join(F.slice(t, x["_pos"] + 1, x["_n"]), "").alias("_after"), F.least(x["_n"], F.size(t) - x["_pos"]).alias("_m"))
+        return _let(lengths(t), lambda a: _let(by_block(a), lambda b: F.transform("_all", lambda x: one(x, a, b))))
 
     d = docs.join(broadcast_if_small(per_doc), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_i", "_h", "_all", "_text", F.ltrim("_text", F.lit(SPACE)).alias("_cut"))
     d = d.select("_i", "_h", "_all", (F.length("_text") - F.length("_cut")).alias("_blank"), "_cut")
-    places = materialize(d.select("_i", "_h", F.inline(_let(F.split("_cut", WORD_ENDS), all_places))), "places")
+    places = materialize(d.select("_i", "_h", F.inline(_let(_spaced("_cut"), all_places))), "places")
     if places.count() == (per_doc.agg(F.sum(F.size("_all"))).first()[0] or 0):
         return places
     single = materialize(places.dropDuplicates(["_i", "_h", "_pos", "_n"]), "places")  # rows that repeat id and text have given the same places
@@ -161,13 +171,11 @@ def _extended(docs: DataFrame, runs: DataFrame, reach: int, least: int) -> DataF
     for i, h, p in ends:
         own = places.select("_i", "_h", "_pos", F.col("_n").alias("_n1"), *[F.col(c).alias(c + p) for c in (["_offset", "_m", "_before", "_after"] if i == "_id" else ["_before", "_after"])])
         runs = runs.join(own, F.col(i).eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_h")) & (F.col(p) == F.col("_pos")) & (F.col("_n") == F.col("_n1"))).drop("_i", "_h", "_pos", "_n1")
-    words = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, WORD_ENDS))
-    last_first = lambda c: F.reverse(words(c))
+    last_first = lambda c: F.reverse(_spaced(c))
     leading = lambda e: _let(F.array_position(e, False), lambda p: F.when(p > 0, p - 1).otherwise(F.size(e)).cast("int"))
-    runs = runs.withColumn("_left", _let(_equal(last_first("_before_from"), last_first("_before_from0")), leading))
-    a, first = F.col("_after_from"), -F.col("_left") - 1
-    differ = lambda e: F.concat(F.array(first), F.filter(F.transform(e, lambda x, i: F.when(~x, i)), F.isnotnull), F.array(F.size(e)))
-    cuts = F.when(a == F.col("_after_from0"), F.array(first, F.col("_m_from"))).otherwise(_let(_equal(words("_after_from"), words("_after_from0")), differ))
+    differ = lambda e: F.concat(F.array_compact(F.transform(e, lambda x, i: F.when(~x, i))), F.array(F.size(e)))
+    same = F.col("_after_from") == F.col("_after_from0")
+    cuts = lambda w, left: F.concat(F.array(-left - 1), F.when(same, F.array("_m_from")).otherwise(_let(_equal(w, _spaced("_after_from0")), differ)))
     bounds = lambda c: F.filter(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, j: F.struct((x + 1).alias("lo"), F.get(c, j + 1).alias("hi"))), lambda s: s["hi"] - s["lo"] >= least)
     length = lambda w, n: F.length(F.array_join(F.slice(w, F.lit(1), n), ""))
 
@@ -177,7 +185,9 @@ def _extended(docs: DataFrame, runs: DataFrame, reach: int, least: int) -> DataF
             (F.col("_from") + s["lo"]).alias("_from"), (F.col("_from") + s["hi"]).alias("_to"), at(s["lo"]).alias("_start"), at(s["hi"]).alias("_end")
         ))
 
-    every = _let(_let(cuts, bounds), lambda b: _let(words("_after_from"), lambda w: _let(last_first("_before_from"), lambda v: parts(b, w, v))))
+    every = _let(_spaced("_after_from"), lambda w: _let(last_first("_before_from"), lambda v: _let(
+        leading(_equal(v, last_first("_before_from0"))), lambda left: _let(cuts(w, left), lambda c: _let(bounds(c), lambda b: parts(b, w, v)))
+    )))
     moved = materialize(runs.select("_id", "_hash", F.inline(every)), "extended")
     discard(places)
     return moved
@@ -203,12 +213,16 @@ def _second_look(docs: DataFrame, near: DataFrame, several: DataFrame, short: Da
     per_doc = marked.groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.collect_set(F.when(F.col("_marked"), F.col("_at"))).alias("_all")).where(F.size("_all") > 0)
     d = docs.join(broadcast_if_small(materialize(per_doc, "looked_at_texts")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_id", "_hash", "_all", "_text")
     starts = lambda t: F.array_distinct(F.flatten(F.transform("_all", lambda p: F.sequence(F.greatest(p - w + 1, F.lit(0)), F.greatest(F.least(p, F.size(t) - min_words), F.greatest(p - w + 1, F.lit(0)))))))
-    digest = lambda t, p: F.struct(p.alias("_from"), F.struct(F.xxhash64(F.slice(t, p + 1, F.lit(min_words))).alias("a"), F.xxhash64(F.lit(1), F.slice(t, p + 1, F.lit(min_words))).alias("b")).alias("_gram"))
-    runs = _let(_split(F.col("_text")), lambda t: F.transform(F.filter(starts(t), lambda p: p + min_words <= F.size(t)), lambda p: digest(t, p)))
+    # Parts of TEN words are hashed once for all runs that they stand in; the last two of a run may overlap.
+    part_of = min(TEN, min_words)
+    at = [*range(0, min_words - part_of, part_of), min_words - part_of]
+    parts_from = lambda t: F.transform(t, lambda x, i: F.xxhash64(F.slice(t, i + 1, F.lit(part_of))))
+    digest = lambda h, p: F.struct(p.alias("_from"), F.xxhash64(*[F.get(h, p + i) for i in at]).alias("_a"), F.xxhash64(F.lit(1), *[F.get(h, p + i) for i in at]).alias("_b"))
+    runs = _let(_split(F.col("_text")), lambda t: _let(parts_from(t), lambda h: F.transform(F.filter(starts(t), lambda p: p + min_words <= F.size(t)), lambda p: digest(h, p))))
     grams = d.select("_id", "_hash", F.inline(runs))
     grams = materialize(grams if single else grams.distinct(), "runs_of_least_length")
-    several = materialize(grams.groupBy("_gram").agg(F.min(F.struct("_id", "_hash", "_from")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1"), "repeated_runs")
-    later = join_by_key(grams, several, "_gram", "_times").where(~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_hash") == F.col("_first._hash")) & (F.col("_from") == F.col("_first._from"))))
+    several = materialize(grams.groupBy("_a", "_b").agg(F.min(F.struct("_id", "_hash", "_from")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1"), "repeated_runs")
+    later = join_by_key(grams, several, ["_a", "_b"], "_times").where(~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_hash") == F.col("_first._hash")) & (F.col("_from") == F.col("_first._from"))))
     line = Window.partitionBy("_id", "_hash").orderBy("_from")
     apart = F.col("_from") - F.lag("_from").over(line) > min_words
     spans = later.withColumn("_run", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(line)).groupBy("_id", "_hash", "_run").agg(F.min("_from").alias("_pos"), (F.max("_from") - F.min("_from") + min_words).alias("_n"))
@@ -227,28 +241,29 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _spans(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(__id, __hash, __spans)``: the characters to delete from each text, as sorted ``(start, end)``."""
+    """``(__id, __hash, __spans, __whole)``: the characters to delete from each text, as sorted ``(start, end)``; or that an earlier id has the text as a whole."""
     copies, single = _copies(docs)
     copies = broadcast_if_small(copies)
     is_copy = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
-    # Words are counted after the join; the table in between keeps the condition from being moved to all texts.
-    whole = materialize(docs.join(copies, is_copy).select("_id", "_hash", F.lit(0).alias("_start"), F.length("_text").alias("_end"), _words(F.col("_text")).alias("_n")), "whole")
-    docs = docs.join(copies, is_copy, "left_anti")
-    prints = materialize(_fingerprints(docs, min_words), "fingerprints")
+    prints = materialize(_fingerprints(docs.join(copies, is_copy, "left_anti"), min_words), "fingerprints")
     several = materialize(prints.groupBy("_fp").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"), "several")
     near = join_by_key(prints, several, "_fp", "_times")
     near = materialize(near if single else near.distinct(), "repeated")  # rows that repeat id and text are one
     discard(prints)
     runs = materialize(_runs(near, min_words), "runs")
-    done = [whole.where(F.col("_n") >= min_words).drop("_n")]
+    done = []
     if not runs.isEmpty():
         moved = _extended(docs, runs, max(REACH, min_words), _sizes(min_words)[0])
         long = F.col("_to") - F.col("_from") >= min_words
         more = _second_look(docs, near, several, moved.where(~long).select("_id", "_hash", "_from", "_to"), min_words, single)
         done += [moved.where(long).select("_id", "_hash", "_start", "_end"), *([] if more is None else [more])]
-    found = reduce(DataFrame.unionByName, done).select("_id", "_hash", F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")).alias("_span"))
-    per_doc = found.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("_span")).alias("__spans"))
-    return materialize(per_doc.select(F.col("_id").alias("__id"), F.col("_hash").alias("__hash"), "__spans"), "spans")
+    of_text = [F.col("_i").alias("__id"), F.col("_h").alias("__hash")]
+    spans = copies.select(*of_text, F.array().cast(SPANS).alias("__spans"), F.lit(True).alias("__whole"))
+    if done:
+        found = reduce(DataFrame.unionByName, done).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")).alias("_span"))
+        per_doc = found.groupBy("_i", "_h").agg(F.array_sort(F.collect_set("_span")).alias("__spans"))
+        spans = spans.unionByName(per_doc.select(*of_text, F.col("__spans").cast(SPANS), F.lit(False).alias("__whole")))
+    return materialize(spans, "spans")
 
 
 def dedup_lines(
@@ -278,12 +293,13 @@ def dedup_lines(
         fresh = (s["start"] > done["at"]) | (done["n"] == 0)
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), kept.alias("kept"), gone.alias("gone"), (done["n"] + fresh.cast("int")).alias("n"))
 
+    whole = F.coalesce("__whole", F.lit(False)) & (_words(text) >= min_words)
     some = F.coalesce(F.size("__spans") > 0, F.lit(False))
     rest = lambda d: F.struct(F.concat(d["kept"], F.substring(text, d["at"] + 1, F.length(text))).alias("kept"), d["gone"].alias("gone"), d["n"].alias("n"))
-    cut = marked.withColumn("__cut", F.when(some, F.aggregate("__spans", start, without, rest)))
-    kept = F.when(some, F.col("__cut.kept")).otherwise(text)
+    all_gone = F.struct(F.lit("").alias("kept"), text.alias("gone"), F.lit(1).alias("n"))
+    cut = marked.withColumn("__cut", F.when(some, F.aggregate("__spans", start, without, rest)).when(whole, all_gone))
     return cut.select(
-        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in (spans, removed)],
-        F.when(some, F.col("__cut.n")).otherwise(0).cast("long").alias(spans),
-        F.when(some, _words(F.col("__cut.gone"))).otherwise(0).cast("long").alias(removed),
+        *[F.when(F.col("__cut").isNull(), text).otherwise(F.col("__cut.kept")).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in (spans, removed)],
+        F.coalesce("__cut.n", F.lit(0)).cast("long").alias(spans),
+        F.coalesce(_words(F.col("__cut.gone")), F.lit(0)).cast("long").alias(removed),
     )

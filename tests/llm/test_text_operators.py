@@ -280,3 +280,37 @@ def test_line_dedup_looks_for_repeated_rows_only_if_there_are_any(spark, monkeyp
         got = {(r.doc_id, r.n_removed) for r in dedup_lines(docs(spark, rows + more)).collect()}
         assert got == {(1, 0), (2, 0), (3, 0), (4, 70)}
         assert [bool(re.search("Deduplicate|Distinct", plans[t])) for t in ("repeated", "runs_of_least_length")] == [looked] * 2
+
+
+def test_line_dedup_hashes_few_words(spark):
+    """Places of fingerprints are words of 2, 10, 18... bytes; others only where 35 neighbours hold none of these. All windows of 35 hold a place."""
+    from canopia.llm.line_dedup import _fingerprints
+
+    few = [x * 3 for x in words(300) if len(x) % 8 != 6]
+    few = [x + "x" if len(x) % 8 == 2 else x for x in few]
+    texts = [words(300), few, [*few[:60], "by", *few[60:150], "of", "it", *few[150:]], words(15), ["by"] * 80, [*few[:40], "абвгд", *few[40:48]]]
+    d = spark.createDataFrame([(i, 0, " ".join(t)) for i, t in enumerate(texts)], "_id long, _hash long, _text string")
+    found = {}
+    for r in _fingerprints(d, 50).collect():
+        found.setdefault(r._id, set()).add(r._at)
+    for i, t in enumerate(texts):
+        starts, comes_first = range(len(t) - 15), [len(x.encode()) % 8 == 2 for x in t]
+        at = found.get(i, set())
+        assert at <= set(starts)
+        assert all(any(p in at for p in range(s, s + 35)) for s in range(len(starts) - 34))
+        for p in at:
+            lo, hi = (next((q for q in way if comes_first[q]), end) for way, end in ((range(p, -1, -1), -1), (range(p, len(starts)), len(starts))))
+            assert comes_first[p] or hi - lo > 35
+
+
+def test_line_dedup_finds_passages_without_words_that_come_first(spark):
+    """Passages of 50 words stand between words of other lengths: none, some or all of the places beside them come first."""
+    dull = lambda n: [(x * 3)[:3] for x in words(n)]
+    passages = [dull(50) for _ in range(24)]
+    for k, p in enumerate(passages):
+        p[k * 2] = "of" if k % 3 else p[k * 2]
+    rows = [(k, " ".join([*dull(60 - k), *p, *dull(45)])) for k, p in enumerate(passages)]
+    rows += [(100 + k, " ".join([*(["by"] + dull(2)) * (k + 4), *p, *["it", *dull(1)] * 12])) for k, p in enumerate(passages)]
+    got = {r.doc_id: r for r in dedup_lines(docs(spark, rows)).collect()}
+    for k, p in enumerate(passages):
+        assert got[k].n_removed == 0 and got[100 + k].n_removed >= 50 and " ".join(p) not in got[100 + k].text
