@@ -30,13 +30,16 @@ def spread(files: DataFrame, values: list[str], by: str = "tree") -> DataFrame:
 def runs_of_prefix(trees: DataFrame, files: DataFrame, exact: bool = True) -> DataFrame:
     """Files of each tree. ``exact`` compares names; otherwise a file belongs to every tree whose name it starts with, as a glob would have it.
 
-    The names a file can belong to are its own prefixes, so this is an equality join as well.
+    The names a file can belong to are its own prefixes, as long as some tree's name is, so this is an equality join as well. Spark does not know how many
+    rows a file becomes and would broadcast them all, so it is told to join sorted rows.
     """
     f = named(files) if exact else files
     if exact:
         return trees.join(f, "tree")
-    size = F.sequence(F.lit(1), F.length("file"))
-    return trees.join(files.withColumn("tree", F.explode(F.transform(size, lambda n: F.substring(F.col("file"), F.lit(1), n)))), "tree")
+    lengths = sorted(n for (n,) in trees.select(F.length("tree")).distinct().collect() if n)
+    own = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("file"))
+    prefixes = files.withColumn("tree", F.explode(F.transform(own, lambda n: F.substring(F.col("file"), F.lit(1), n))))
+    return trees.join(prefixes.hint("merge"), "tree")
 
 
 def not_done(work: DataFrame, done: DataFrame, key: str = "file") -> DataFrame:
